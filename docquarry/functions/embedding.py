@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docquarry.functions.binding import let
 from docquarry.functions.text import strip
 
 
@@ -29,7 +30,7 @@ def sha256_embedding(text: Column, dim: int = 384) -> Column:
     # byte i occurs once per full turn, and once more while i is below the remainder
     weights = [dim // 32 + (1 if i < dim % 32 else 0) for i in range(32)]
     square = sum((v * v * w for v, w in zip(values, weights, strict=True)), F.lit(0.0))
-    core = F.transform(F.array(*values), lambda v: v / F.sqrt(square))
+    core = let(F.sqrt(square), lambda size: F.transform(F.array(*values), lambda v: v / size))
     return F.when(F.length(strip(text)) > 0, _tile(core, 32, dim))
 
 
@@ -49,13 +50,16 @@ def codepoint_pattern(text: Column) -> Column:
 
 def codepoint_embedding(text: Column, dim: int = 384) -> Column:
     """Unit ramp that starts at the code-point pattern; null if blank."""
-    pattern = codepoint_pattern(text).cast("double")
     # sum of ((p + i) / 100)^2 over i = 0 .. dim - 1 in closed form
     s1 = dim * (dim - 1) / 2
     s2 = (dim - 1) * dim * (2 * dim - 1) / 6
-    square = (pattern * pattern * dim + pattern * (2 * s1) + s2) / 10000.0
-    size = F.sqrt(square)
-    ramp = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (pattern + i) / 100.0 / size
-    )
+
+    def ramp_from(start: Column) -> Column:
+        square = (start * start * dim + start * (2 * s1) + s2) / 10000.0
+        steps = F.sequence(F.lit(0), F.lit(dim - 1))
+        return let(
+            F.sqrt(square), lambda size: F.transform(steps, lambda i: (start + i) / 100.0 / size)
+        )
+
+    ramp = let(codepoint_pattern(text).cast("double"), ramp_from)
     return F.when(F.length(strip(text)) > 0, ramp)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docquarry.functions.binding import let
 from docquarry.functions.text import match_spans, strip, strip_tags
 from docquarry.schema import HEADINGS
 
@@ -78,24 +79,22 @@ def font_headings(runs: Column, level_mode: str = "per_size") -> Column:
     level; ``per_item`` numbers the headings themselves, largest first, and gives none at all
     beyond ten.
     """
-    sizes = F.slice(
-        F.reverse(F.array_sort(F.array_distinct(F.transform(runs, lambda r: r["font_size"])))),
-        1,
-        PDF_SIZES,
+    by_size = F.reverse(F.array_sort(F.array_distinct(F.transform(runs, lambda r: r["font_size"]))))
+    return let(
+        F.slice(by_size, 1, PDF_SIZES), lambda sizes: _font_headings(runs, sizes, level_mode)
     )
+
+
+def _font_headings(runs: Column, sizes: Column, level_mode: str) -> Column:
     kept = F.filter(
         runs,
         lambda r: F.array_contains(sizes, r["font_size"]) & (F.length(r["text"]) <= PDF_MAX_TEXT),
     )
-    keyed = F.array_sort(
+    largest_first = F.array_sort(
         F.transform(
             kept,
             lambda r: F.struct(
-                (-r["font_size"]).alias("key"),
-                r["position"].alias("position"),
-                r["font_size"].alias("font_size"),
-                r["page"].alias("page"),
-                strip(r["text"]).alias("text"),
+                (-r["font_size"]).alias("key"), r["position"], r["font_size"], r["page"], r["text"]
             ),
         )
     )
@@ -103,23 +102,24 @@ def font_headings(runs: Column, level_mode: str = "per_size") -> Column:
     def leveled(item, index):
         level = index + 1 if level_mode == "per_item" else F.array_position(sizes, item["font_size"])
         return F.struct(
-            item["position"].alias("position"),
+            item["position"],
             level.cast("int").alias("level"),
-            item["font_size"].alias("font_size"),
-            item["page"].alias("page"),
-            item["text"].alias("text"),
+            item["font_size"],
+            item["page"],
+            strip(item["text"]).alias("text"),
         )
 
-    ordered = F.array_sort(F.transform(keyed, leveled))
+    ordered = F.array_sort(F.transform(largest_first, leveled))
     flat = F.transform(
         ordered,
         lambda h: _heading(h["text"], h["level"], h["position"], h["page"], h["font_size"], F.lit("")),
     )
-    paths = slot_paths(flat, PDF_SLOTS)
     if level_mode == "per_item":
         none = F.expr(f"cast(array() as {HEADINGS})")
-        return F.when(F.size(flat) <= PDF_SLOTS, paths).otherwise(none)
-    return paths
+        return let(
+            flat, lambda h: F.when(F.size(h) <= PDF_SLOTS, slot_paths(h, PDF_SLOTS)).otherwise(none)
+        )
+    return slot_paths(flat, PDF_SLOTS)
 
 
 def first_line_heading(text: Column) -> Column:
@@ -183,4 +183,5 @@ def closest_heading(headings: Column, position: Column) -> Column:
     distances = F.transform(
         headings, lambda h, i: F.struct(F.abs(h["position"] - position).alias("d"), i.alias("i"))
     )
+    # the smallest struct is the smallest distance, then the earliest heading
     return F.get(headings, F.array_min(distances)["i"])

@@ -17,16 +17,15 @@ def keep_first(
 ) -> DataFrame:
     """One row per exact content within each group, the one with the smallest *order*.
 
-    *order* must be unique within a group. Only digests are aggregated, with partial sums on the
-    map side, so a group of copies of any size costs one row per task; the texts themselves move
-    once, keyed by the unique ``(group, order)``.
+    Grouping by digest keeps the first row per group already on the map side, so a group of copies
+    of any size costs one row per task and the input is computed once.
     """
-    first = (
-        df.groupBy(*within, F.sha2(content, 256).alias("__digest"))
-        .agg(F.min(order).alias(order))
-        .drop("__digest")
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return (
+        df.groupBy(*[F.col(c).alias(f"__{c}") for c in within], F.sha2(content, 256).alias("__digest"))
+        .agg(F.min_by(row, F.col(order)).alias("__row"))
+        .select("__row.*")
     )
-    return df.join(first, [*within, order], "left_semi").select(*df.columns)
 
 
 def content_filter(df: DataFrame, tests: Sequence[Column]) -> DataFrame:

@@ -116,8 +116,8 @@ def recursive_chunks(
         parts = list(splitting.split_recursively(body, order, size, overlap, measure)) if body else []
         for i, part in enumerate(parts):
             start = body.find(part)
-            known = start >= 0
-            yield i, len(parts), part, start if known else None, start + len(part) if known else None
+            found = (start, start + len(part)) if start >= 0 else (None, None)
+            yield i, len(parts), part, *found
 
     return expand_rows(df, [text], POSITIONS, cut)
 
@@ -126,29 +126,42 @@ def markdown_chunks(
     df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200, length: str = "words"
 ) -> DataFrame:
     """Sections by header, each cut further when too long; adds ``headers array<string>``."""
+    named = df.withColumn("__splitter", F.lit("markdown_header_splitter"))
+    return separator_chunks(named, "__splitter", text, size, overlap, length).drop("__splitter")
+
+
+def separator_chunks(
+    df: DataFrame,
+    splitter: str,
+    text: str = "text",
+    size: int = 1000,
+    overlap: int = 200,
+    length: str = "words",
+) -> DataFrame:
+    """Chunks by the separators, or Markdown headers, that the column *splitter* names per row.
+
+    Adds ``headers array<string>``, null except for Markdown.
+    """
     measure = splitting.LENGTHS[length]
 
-    def cut(body: str | None):
+    def sections(body: str, name: str):
+        if name == "markdown_header_splitter":
+            return splitting.markdown_sections(body)
+        return [(None, body)]
+
+    def cut(body: str | None, name: str):
+        order = SEPARATORS.get(name, splitting.SEMANTIC)
         parts = [
             (part, headers)
-            for headers, section in splitting.markdown_sections(body or "")
-            for part in splitting.split_recursively(
-                section, splitting.SEMANTIC, size, overlap, measure
-            )
+            for headers, section in sections(body or "", name)
+            for part in splitting.split_recursively(section, order, size, overlap, measure)
         ]
         for i, (part, headers) in enumerate(parts):
             start = body.find(part)
-            known = start >= 0
-            yield (
-                i,
-                len(parts),
-                part,
-                start if known else None,
-                start + len(part) if known else None,
-                headers,
-            )
+            found = (start, start + len(part)) if start >= 0 else (None, None)
+            yield i, len(parts), part, *found, headers
 
-    return expand_rows(df, [text], POSITIONS + ", headers array<string>", cut)
+    return expand_rows(df, [text, splitter], POSITIONS + ", headers array<string>", cut)
 
 
 def header_context(chunks: DataFrame, headers: str = "headers") -> DataFrame:
@@ -212,24 +225,13 @@ def split_documents(
         from docquarry.schema import HEADINGS
 
         routed = routed.withColumn("heading_hierarchy", F.lit(None).cast(HEADINGS))
-    names = {splitter: None for splitter in [*SPLITTERS.values(), DEFAULT_SPLITTER]}
-    branches = []
-    for name in names:
-        part = routed.where(F.col("text_splitter") == name)
-        if name == "markdown_header_splitter":
-            cut = markdown_chunks(part, text, size, overlap, model)
-        elif name == "token_splitter":
-            cut = token_windows(part, text, size, overlap)
-        elif settings.semantic:
-            cut = recursive_chunks(part, text, size, overlap, SEPARATORS[name], model)
-        else:
-            continue
-        if "headers" not in cut.columns:
-            cut = cut.withColumn("headers", F.lit(None).cast("array<string>"))
-        branches.append(cut)
-    out = branches[0]
-    for branch in branches[1:]:
-        out = out.unionByName(branch)
+    tokens = F.col("text_splitter") == "token_splitter"
+    out = token_windows(routed.where(tokens), text, size, overlap).withColumn(
+        "headers", F.lit(None).cast("array<string>")
+    )
+    out = out.unionByName(
+        separator_chunks(routed.where(~tokens), "text_splitter", text, size, overlap, model)
+    )
     if settings.preserve_headings:
         by_position = heading_context(out)
         by_header = header_context(

@@ -159,7 +159,8 @@ def embed(df: DataFrame, model: Model, text: str = "content", out: str = "embedd
 
 
 def _embed_remote(df: DataFrame, model: Model, text: str, out: str) -> DataFrame:
-    schema = StructType(df.schema.fields).add(out, "array<float>").add("embedding_error", "string")
+    added = StructType.fromDDL(f"{out} array<float>, embedding_error string")
+    schema = StructType([*df.schema.fields, *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

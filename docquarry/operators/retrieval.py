@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquarry.functions.binding import let
 from docquarry.functions.text import squeeze, token_length, words
 from docquarry.operators.ranking import top_k_per_group
 
@@ -33,12 +34,15 @@ def question_filters(question: Column) -> Column:
 
     values = F.zip_with(group(2), group(3), lambda q, bare: F.when(q == "", bare).otherwise(q))
     pairs = F.zip_with(group(1), values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    last = F.transform(
-        keys,
-        lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"],
-    )
-    return F.map_from_arrays(keys, last)
+
+    def last_wins(found: Column) -> Column:
+        keys = F.array_distinct(F.transform(found, lambda p: p["key"]))
+        last = F.transform(
+            keys, lambda k: F.element_at(F.filter(found, lambda p: p["key"] == k), -1)["value"]
+        )
+        return F.map_from_arrays(keys, last)
+
+    return let(pairs, last_wins)
 
 
 def value_matches(value: Column, dtype: T.DataType, wanted: Column) -> Column:
@@ -97,8 +101,11 @@ def keyword_score(question: Column, content: Column, stop_words=STOP_WORDS) -> C
     stop = F.array(*[F.lit(w) for w in stop_words])
     asked = F.filter(words(question), lambda t: ~F.array_contains(stop, t))
     held = words(content)
-    return F.aggregate(
-        asked, F.lit(0), lambda total, t: total + F.size(F.filter(held, lambda x: x == t))
+    return let(
+        held,
+        lambda h: F.aggregate(
+            asked, F.lit(0), lambda total, t: total + F.size(F.filter(h, lambda x: x == t))
+        ),
     )
 
 

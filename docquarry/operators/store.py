@@ -63,9 +63,7 @@ def contains_text(content: Column, query: str) -> Column:
 
 def has_all_terms(content: Column, query: str) -> Column:
     """Every word of *query* occurs as a word of *content*, ignoring case."""
-    held = words(content)
-    terms = F.array_distinct(words(F.lit(query)))
-    return F.forall(terms, lambda t: F.array_contains(held, t))
+    return F.size(F.array_except(words(F.lit(query)), words(content))) == 0
 
 
 def metadata_equals(filters: Mapping[str, str], metadata: str = "metadata") -> Column:
@@ -145,7 +143,7 @@ def file_listing(listed: DataFrame) -> DataFrame:
 
 
 def size_label(size: Column) -> Column:
-    return F.when(size.isNotNull(), F.format_string("%.1f KB", size / F.lit(1024.0))).otherwise(
+    return F.when(size.isNotNull(), F.format_string("%.1f KB", F.bround(size / F.lit(1024.0), 1))).otherwise(
         F.lit("N/A")
     )
 

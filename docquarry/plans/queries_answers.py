@@ -11,6 +11,7 @@ from docquarry.operators.search import nearest
 from docquarry.plans import answering, ingest
 from docquarry.plans.catalog import documents, query, questions
 from docquarry.plans.queries_retrieval import _PACKED, digest_vectors, packed_context, sparse
+from docquarry.session import cut_lineage
 from docquarry.sources.tables import read_table, text_sources
 
 
@@ -55,12 +56,12 @@ def _prompt_sql() -> str:
 
 @query(
     f"""SELECT item_id AS qid, md5({_prompt_sql()}) AS prompt_md5
-        FROM (SELECT item_id, text AS question, upper(text) AS context FROM benchmark)"""
+        FROM (SELECT item_id, text AS question, 're: ' || text AS context FROM benchmark)"""
 )
 def prompt_render(spark, folder):
     """The default template filled in."""
     asked = questions(spark, folder)
-    prompt = A.render_prompt(A.prompt_text("default"), F.upper("text"), F.col("text"))
+    prompt = A.render_prompt(A.prompt_text("default"), F.concat(F.lit("re: "), "text"), F.col("text"))
     return asked.select("qid", F.md5(prompt).alias("prompt_md5"))
 
 
@@ -200,7 +201,8 @@ def indexed(spark, folder):
         docs, F.concat_ws("/", "source", "doc_id"), F.col("text"), F.lit("text/plain")
     )
     config = EngineConfig("unused", chunks=ChunkSettings(size=120, overlap=30))
-    chunks = ingest.chunk_rows(ingest.transform(sources, config), config, 0.0)
+    # written once: vectors are made from the chunks, answers read their texts
+    chunks = cut_lineage(ingest.chunk_rows(ingest.transform(sources, config), config, 0.0))
     model = embed.native_model("sha256", 384)
     made = embed.embed(chunks.select("doc_id", "content"), model)
     vectors = made.select("doc_id", "embedding", F.xxhash64("doc_id").alias("ordinal"))

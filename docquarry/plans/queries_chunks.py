@@ -147,10 +147,10 @@ _HEADER = (
                     - row_number() OVER (PARTITION BY doc_id, h1, h2, h3 ORDER BY part) AS run
           FROM parts),
         joined AS (
-          SELECT doc_id, min(part) AS at, h1, h2, h3,
+          SELECT doc_id, min(part) AS place, h1, h2, h3,
                  string_agg(body, '  ' || chr(10) ORDER BY part) AS content
           FROM runs GROUP BY doc_id, run, h1, h2, h3)
-        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS chunk_index,
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS chunk_index,
                md5(content) AS content_md5,
                CASE WHEN h1 IS NOT NULL OR h2 IS NOT NULL THEN coalesce(h3, h2, h1) END AS closest_heading,
                CASE WHEN h1 IS NOT NULL OR h2 IS NOT NULL THEN concat_ws(' > ', h1, h2, h3) END

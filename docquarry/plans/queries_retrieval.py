@@ -275,11 +275,11 @@ _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
                  {_WORDS.format('d.text')} AS words
                FROM bm25 b JOIN benchmark q ON q.item_id = b.qid JOIN documents d ON d.doc_id = b.doc_id
                WHERE b.rank <= 12),
-        scored AS (SELECT qid, doc_id, rank AS prior_rank,
+        counted AS (SELECT qid, doc_id, rank AS prior_rank,
                  list_sum(list_transform(asked, lambda t: list_count(list_filter(words, lambda w: w = t))))::INT
                    AS keyword_score FROM held)
         SELECT *, row_number() OVER (PARTITION BY qid ORDER BY keyword_score DESC, prior_rank) AS rank
-        FROM scored QUALIFY rank <= 4""",
+        FROM counted QUALIFY rank <= 4""",
     ("tokens", "bm25"),
 )
 def keyword_rerank(spark, folder):

@@ -39,7 +39,8 @@ def scan_filter_sources(spark, folder):
                  CASE lang WHEN 'en' THEN 'markdown' WHEN 'de' THEN 'text' WHEN 'fr' THEN 'html'
                            ELSE 'csv' END AS loader
           FROM documents
-          UNION ALL SELECT 'text/plain', 'text' FROM pages)
+          UNION ALL SELECT CASE WHEN url LIKE '%.html' THEN 'text/html' ELSE 'text/plain' END,
+                 CASE WHEN url LIKE '%.html' THEN 'html' ELSE 'text' END FROM pages)
         GROUP BY ALL"""
 )
 def mime_dispatch(spark, folder):
@@ -274,8 +275,8 @@ _SLOT = (
 
 @query(
     f"""WITH runs AS (
-          SELECT doc_id, u.text, u.i - 1 AS position, 8.0 + length(u.text) % 10 AS size
-          FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS text,
+          SELECT doc_id, u.line AS text, u.i - 1 AS position, 8.0 + length(u.line) % 10 AS size
+          FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line,
                    generate_subscripts(string_split(text, chr(10)), 1) AS i) u),
         ranked AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC) AS level FROM runs),
         kept AS (SELECT doc_id, position, level, trim(text) AS text FROM ranked

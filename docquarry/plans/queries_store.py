@@ -42,14 +42,14 @@ def catalog(spark, folder):
 
 
 @query(
-    """SELECT doc_id, md5(CASE WHEN quality = 1 THEN upper(text) ELSE text END) AS content_md5
+    """SELECT doc_id, md5(CASE WHEN quality = 1 THEN 'new ' || text ELSE text END) AS content_md5
        FROM documents LEFT JOIN labels USING (doc_id)"""
 )
 def store_upsert(spark, folder):
     """Good documents arrive again with new content."""
     docs = documents(spark, folder).select("doc_id", "text")
     good = labels(spark, folder).where("quality = 1")
-    changed = docs.join(good, "doc_id", "left_semi").withColumn("text", F.upper("text"))
+    changed = docs.join(good, "doc_id", "left_semi").withColumn("text", F.concat(F.lit("new "), "text"))
     merged = store.upsert(docs, changed, "doc_id")
     return merged.select("doc_id", F.md5("text").alias("content_md5"))
 
@@ -281,7 +281,7 @@ def metadata_merge(spark, folder):
 
 
 @query(
-    """SELECT doc_id::VARCHAR AS doc_id, md5(CASE WHEN quality = 1 THEN upper(text) ELSE text END) AS content_md5
+    """SELECT doc_id::VARCHAR AS doc_id, md5(CASE WHEN quality = 1 THEN 'new ' || text ELSE text END) AS content_md5
        FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0"""
 )
 def stored_round_trip(spark, folder):
@@ -295,7 +295,7 @@ def stored_round_trip(spark, folder):
     marks = labels(spark, folder).withColumn("doc_id", F.col("doc_id").cast("string"))
     kept.add_documents(docs)
     good = docs.join(marks.where("quality = 1"), "doc_id", "left_semi")
-    kept.add_documents(good.withColumn("content", F.upper("content")))
+    kept.add_documents(good.withColumn("content", F.concat(F.lit("new "), "content")))
     kept.delete_documents(marks.where("toxic = 1").select("doc_id"))
     return kept.chunks.read().select("doc_id", F.md5("content").alias("content_md5"))
 
@@ -334,7 +334,7 @@ def stream_ingest(spark, folder):
 
 
 @query(
-    """SELECT conv_id, turn, round(v[1] / n, 6) AS v0 FROM (
+    """SELECT conv_id, turn, round((v[1] / n)::FLOAT::DOUBLE, 6) AS v0 FROM (
          SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (
            SELECT conv_id, turn, list_transform(range(0, 32), lambda i:
              (('0x' || substr(sha256(text), 1 + 2 * i, 2))::INT - 127.5) / 127.5) AS v FROM conversations))"""
