@@ -9,11 +9,14 @@ from docquarry.functions.binding import let
 from docquarry.functions.text import strip
 
 
-def _digest_bytes(hex_digest: Column, count: int) -> list[Column]:
-    # one expression per byte keeps the work in generated code, unlike a lambda
-    return [
-        F.conv(F.substring(hex_digest, 2 * i + 1, 2), 16, 10).cast("double") for i in range(count)
-    ]
+def _digest_values(hex_digest: Column, count: int, scale) -> Column:
+    """The digest bytes as doubles, each mapped by *scale*."""
+    places = F.sequence(F.lit(0), F.lit(count - 1))
+
+    def value(i: Column) -> Column:
+        return scale(F.conv(F.substr(hex_digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double"))
+
+    return F.transform(places, value)
 
 
 def _tile(core: Column, width: int, dim: int) -> Column:
@@ -24,20 +27,32 @@ def _tile(core: Column, width: int, dim: int) -> Column:
     return tiled if dim % width == 0 else F.slice(tiled, 1, dim)
 
 
+def _unit(values: Column, copies: int = 1) -> Column:
+    """Divide by the length of *values* repeated *copies* times."""
+    square = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x) * copies
+    return let(F.sqrt(square), lambda size: F.transform(values, lambda x: x / size))
+
+
 def sha256_embedding(text: Column, dim: int = 384) -> Column:
     """Unit vector of the SHA-256 bytes mapped to [-1, 1], repeated up to *dim*; null if blank."""
-    values = [(b - 127.5) / 127.5 for b in _digest_bytes(F.sha2(text, 256), 32)]
-    # byte i occurs once per full turn, and once more while i is below the remainder
-    weights = [dim // 32 + (1 if i < dim % 32 else 0) for i in range(32)]
-    square = sum((v * v * w for v, w in zip(values, weights, strict=True)), F.lit(0.0))
-    core = let(F.sqrt(square), lambda size: F.transform(F.array(*values), lambda v: v / size))
-    return F.when(F.length(strip(text)) > 0, _tile(core, 32, dim))
+
+    def from_hex(digest: Column) -> Column:
+        values = _digest_values(digest, 32, lambda b: (b - 127.5) / 127.5)
+        if dim % 32 == 0:
+            # whole turns: normalise the 32 values once, then repeat them
+            return _tile(let(values, lambda v: _unit(v, dim // 32)), 32, dim)
+        return let(_tile(values, 32, dim), lambda v: _unit(v))
+
+    return F.when(F.length(strip(text)) > 0, let(F.sha2(text, 256), from_hex))
 
 
 def md5_embedding(text: Column, dim: int = 1536) -> Column:
     """MD5 bytes mapped to [-1, 1] and repeated up to *dim*, not normalised."""
-    values = [b / 255.0 * 2.0 - 1.0 for b in _digest_bytes(F.md5(text), 16)]
-    return _tile(F.array(*values), 16, dim)
+
+    def from_hex(digest: Column) -> Column:
+        return _tile(_digest_values(digest, 16, lambda b: b / 255.0 * 2.0 - 1.0), 16, dim)
+
+    return let(F.md5(text), from_hex)
 
 
 def codepoint_pattern(text: Column) -> Column:

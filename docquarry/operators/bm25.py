@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import split_tokens
 from docquarry.operators.ranking import scan_top_k
+from docquarry.session import cut_lineage
 
 # The usual BM25 parameters.
 K1 = 1.5
@@ -29,32 +30,49 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def term_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Document frequency per term; the shuffle carries partial counts, not tokens."""
-    terms = docs.select(F.explode(F.array_distinct(split_tokens(F.col(text)))).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """``(term, df, tokens)``: document frequency per term, and the corpus under the null term.
 
-
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: number of documents and mean length in tokens."""
-    return docs.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(split_tokens(F.col(text)))).alias("avg_len")
+    The null term occurs once in every document, so its ``df`` is the number of documents and its
+    ``tokens`` their total length: one pass gives all statistics. The shuffle carries partial
+    counts, not tokens.
+    """
+    tokens = split_tokens(F.col(text))
+    listed = docs.select(tokens.alias("held")).select(
+        F.size("held").alias("length"),
+        F.explode(
+            F.concat(F.array_distinct("held"), F.array(F.lit(None).cast("string")))
+        ).alias("term"),
+    )
+    return listed.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"),
+        F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("tokens"),
     )
 
 
-def term_weights(terms: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``(term, df, idf)``; a negative idf becomes a quarter of the mean idf over all terms."""
-    n_docs = corpus.select("n_docs").scalar()
-    raw = terms.withColumn(
+def term_weights(stats: DataFrame) -> DataFrame:
+    """``(term, df, idf, avg_len)`` from :func:`term_stats`.
+
+    A negative idf becomes a quarter of the mean idf over all terms; ``avg_len`` is the mean
+    document length, the same in every row.
+    """
+    corpus = stats.where(F.col("term").isNull())
+    n_docs = corpus.select("df").scalar()
+    avg_len = corpus.select(F.col("tokens") / F.col("df")).scalar()
+    raw = stats.where(F.col("term").isNotNull()).withColumn(
         "raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + F.lit(0.5))
     )
     floor = raw.agg(F.avg("raw") * EPSILON).scalar()
     return raw.select(
-        "term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")
+        "term",
+        "df",
+        F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"),
+        avg_len.alias("avg_len"),
     )
 
 
-def _factory(corpus_text: str, avg_len: float, k1: float, b: float):
+def _factory(corpus_text: str, k1: float, b: float):
     def build(table: pa.Table):
+        avg_len = table.column("avg_len")[0].as_py() or 1.0
         # columns: term number; rows: question; value: times asked x idf
         numbers: dict[str, int] = {}
         asked: list[dict[int, float]] = []
@@ -102,39 +120,42 @@ def bm25(
     doc_id: str = "doc_id",
     text: str = "text",
     weights: DataFrame | None = None,
-    avg_len: float | None = None,
     k1: float = K1,
     b: float = B,
     **bounds,
 ) -> DataFrame:
     """Top-k documents by BM25 per question: ``(qid, doc_id, rank, score)``.
 
-    Pass stored *weights* (:func:`term_weights`) and *avg_len* to skip the statistics passes.
-    Documents that share no term with the question are left out.
+    Pass stored *weights* (:func:`term_weights`) to skip the statistics pass. Documents that share
+    no term with the question are left out.
     """
-    if weights is None or avg_len is None:
-        stats = corpus_stats(docs, text)
-        avg_len = avg_len if avg_len is not None else stats.first()["avg_len"]
-        weights = weights if weights is not None else term_weights(term_stats(docs, text), stats)
+    if weights is None:
+        # the statistics are read several times below; they are as small as the vocabulary
+        weights = term_weights(cut_lineage(term_stats(docs, text)))
     asked = questions.select(
         question_id, F.posexplode(split_tokens(F.col(question_text))).alias("at", "term")
     )
     weighted = (
-        asked.join(weights.select("term", "idf"), "term")
+        asked.join(weights.select("term", "idf", "avg_len"), "term")
         .groupBy(question_id)
-        .agg(F.array_sort(F.collect_list(F.struct("at", "term", "idf"))).alias("found"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("at", "term", "idf"))).alias("found"),
+            F.any_value("avg_len").alias("avg_len"),
+        )
         .select(
             question_id,
             F.transform("found", lambda x: x["term"]).alias("__terms"),
             F.transform("found", lambda x: x["idf"]).alias("__idf"),
+            "avg_len",
         )
     )
     return scan_top_k(
         weighted,
-        docs.select(doc_id, text).where(F.col(text).isNotNull()),
-        _factory(text, float(avg_len or 1.0), k1, b),
+        docs.select(doc_id, text),
+        _factory(text, k1, b),
         k,
         question_id=question_id,
         corpus_id=doc_id,
+        required=("__terms", text),
         **bounds,
     )

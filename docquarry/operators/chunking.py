@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docquarry.config import ChunkSettings
 from docquarry.functions import headings as H
 from docquarry.functions import mime as M
+from docquarry.functions.binding import let
 from docquarry.functions.text import spaced_tokens, token_length
 from docquarry.operators import splitting
 from docquarry.operators.expand import expand_rows
@@ -73,17 +74,17 @@ def char_windows(df: DataFrame, text: str = "text", size: int = 500, overlap: in
 
 def token_windows(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
     """Windows of *size* tokens every ``size - overlap`` until one reaches the end."""
-    count = F.size("__tokens")
-    starts = F.when(
-        count > 0,
-        F.sequence(F.lit(0), F.greatest(F.lit(0), count - overlap - 1), F.lit(size - overlap)),
-    ).otherwise(F.expr("cast(array() as array<int>)"))
+    def windows_of(tokens: Column) -> Column:
+        last = F.greatest(F.lit(0), F.size(tokens) - overlap - 1)
+        starts = F.sequence(F.lit(0), last, F.lit(size - overlap))
+        texts = F.transform(starts, lambda s: F.array_join(F.slice(tokens, s + 1, F.lit(size)), ""))
+        return F.when(F.size(tokens) > 0, texts)
+
+    # the token list stays inside one expression: exploded rows carry window texts only
     windows = (
-        df.withColumn("__tokens", spaced_tokens(F.col(text)))
-        .withColumn("__starts", starts)
-        .select("*", F.size("__starts").alias("chunk_total"), F.posexplode("__starts"))
-        .withColumn("content", F.array_join(F.slice("__tokens", F.col("col") + 1, F.lit(size)), ""))
-        .select(*df.columns, F.col("pos").alias("chunk_index"), "chunk_total", "content")
+        df.withColumn("__windows", let(spaced_tokens(F.col(text)), windows_of))
+        .select(*df.columns, F.size("__windows").alias("chunk_total"), F.posexplode("__windows"))
+        .select(*df.columns, F.col("pos").alias("chunk_index"), "chunk_total", F.col("col").alias("content"))
     )
     return first_positions(windows, text)
 

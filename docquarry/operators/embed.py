@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from docquarry.errors import EmbeddingError, ServiceError
 from docquarry.functions import embedding as E
-from docquarry.functions.text import glob_match
+from docquarry.functions.text import glob_match, strip
 
 # Metadata written in front of the text, and copied to the vector rows.
 PREFIX_KEYS = ("title", "author", "source", "category", "tags")
@@ -149,10 +149,11 @@ def embed(df: DataFrame, model: Model, text: str = "content", out: str = "embedd
     """Add the vector of *text* as ``array<float>`` and ``embedding_error`` (null when it worked)."""
     if model.native:
         vector = model.native(F.col(text), model.dim).cast("array<float>")
+        blank = F.coalesce(F.length(strip(F.col(text))), F.lit(0)) == 0
         return df.withColumns(
             {
-                out: vector,
-                "embedding_error": F.when(vector.isNull(), F.lit("blank text")),
+                out: F.when(~blank, vector),
+                "embedding_error": F.when(blank, F.lit("blank text")),
             }
         )
     return _embed_remote(df, model, text, out)

@@ -61,14 +61,15 @@ def nearest(
         vectors = vectors.where(where)
     columns = [vector_id, vector] + ([ordinal] if ordinal and ordinal != vector_id else [])
     found = scan_top_k(
-        questions.select(question_id, question_vector).where(F.col(question_vector).isNotNull()),
-        vectors.select(*columns).where(F.col(vector).isNotNull()),
+        questions.select(question_id, question_vector),
+        vectors.select(*columns),
         _factory(metric, question_vector, vector),
         k,
         question_id=question_id,
         corpus_id=vector_id,
         tie=ordinal,
         tie_descending=metric == "cosine",
+        required=(question_vector, vector),
         **bounds,
     )
     return found.withColumn("score", -F.col("score")) if metric == "l2" else found

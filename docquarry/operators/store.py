@@ -225,7 +225,9 @@ class BucketTable:
         touched = [r[0] for r in incoming.select("bucket").distinct().collect()]
         if not touched:
             return
-        stored = self._stored().where(F.col("bucket").isin(touched))
+        stored = self._stored()
+        if len(touched) < self.buckets:
+            stored = stored.where(F.col("bucket").isin(touched))
         merged = upsert(stored, incoming, self.key)
         (
             # rebalancing by bucket lets Spark split large buckets and join small ones at run time

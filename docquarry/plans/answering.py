@@ -64,7 +64,7 @@ def retrieve(
     vectors: DataFrame,
     model: E.Model,
     settings: SearchSettings,
-    bm25_weights: tuple[DataFrame, float] | None = None,
+    bm25_weights: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked chunks per question with the chunk columns: search, filter, rerank, first k.
 
@@ -76,13 +76,11 @@ def retrieve(
         "qid", "doc_id", "rank"
     )
     if settings.hybrid:
-        weights, avg_len = bm25_weights or (None, None)
         sparse = B.bm25(
             parsed.select("qid", F.col("clean").alias("text")),
             chunks.select("doc_id", F.col("content").alias("text")),
             wide,
-            weights=weights,
-            avg_len=avg_len,
+            weights=bm25_weights,
         )
         ranked = R.reciprocal_rank_fusion(ranked, sparse, k=wide).select("qid", "doc_id", "rank")
     joined = ranked.join(chunks, "doc_id").join(parsed, "qid")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.sources.tables import read_table
+from docquarry.sources.tables import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -141,9 +141,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "documents")
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents for work that is heavy per text, spread over the cores."""
+    return spread(documents(spark, folder), "doc_id")
+
+
 def file_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a file path, as ``source_id`` and ``location``, and its content type."""
-    return documents(spark, folder).withColumns(
+    return texts(spark, folder).withColumns(
         {
             "source_id": F.expr(PATH),
             "location": F.expr(PATH),
@@ -157,7 +162,7 @@ def markdown_documents(spark: SparkSession, folder: str) -> DataFrame:
     text = """array_join(transform(split(text, '\n'), (x, i) ->
         CASE WHEN length(x) BETWEEN 1 AND 60 THEN concat(repeat('#', 1 + i % 3), ' ', x) ELSE x END
     ), '\n')"""
-    return documents(spark, folder).select("doc_id", F.expr(text).alias("text"))
+    return texts(spark, folder).select("doc_id", F.expr(text).alias("text"))
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ from docquarry import schema as S
 from docquarry.clock import SystemClock
 from docquarry.config import EngineConfig
 from docquarry.operators import changes, chunking, embed, metadata
-from docquarry.operators.store import DocumentStore
+from docquarry.operators.store import DocumentStore, merge_metadata
 from docquarry.session import cut_lineage
 
 Parser = Callable[[DataFrame], DataFrame]
@@ -132,12 +132,14 @@ def source_rows(sources: DataFrame, config: EngineConfig, now: float) -> DataFra
     }
     if "document_loader" in sources.columns:
         settings["document_loader"] = F.col("document_loader")
-    given = [F.col("metadata")] if "metadata" in sources.columns else []
+    described = chunking.metadata_map(settings)
+    if "metadata" in sources.columns:
+        described = merge_metadata(F.col("metadata"), described)
     return S.conform(
         sources.withColumns(
             {
                 "indexed_at": F.lit(float(now)),
-                "metadata": F.map_concat(*given, chunking.metadata_map(settings)),
+                "metadata": described,
             }
         ),
         S.SOURCES,
@@ -240,10 +242,14 @@ def ingest(
     fresh = chunks.join(reused.select("doc_id"), "doc_id", "left_anti")
     embedded = cut_lineage(
         embed.embed(fresh.select("doc_id", "source_id", "content"), model)
-        .select("doc_id", "source_id", "embedding", "embedding_error")
+        .select("doc_id", "source_id", "embedding", "embedding_error", F.lit(False).alias("reused"))
         .unionByName(
             reused.select(
-                "doc_id", "source_id", "embedding", F.lit(None).cast("string").alias("embedding_error")
+                "doc_id",
+                "source_id",
+                "embedding",
+                F.lit(None).cast("string").alias("embedding_error"),
+                F.lit(True).alias("reused"),
             )
         )
     )
@@ -255,7 +261,7 @@ def ingest(
             "source_id",
         )
     )
-    vectors = embedded.where(F.col("embedding").isNotNull())
+    vectors = embedded.where(F.col("embedding").isNotNull()).drop("reused")
     last = store.vectors.read().agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).first()[0]
 
     gone = old.join(chunks.select("doc_id"), "doc_id", "left_anti")
@@ -269,7 +275,7 @@ def ingest(
     counts = {
         "documents_loaded": wanted.count(),
         "chunks_stored": chunks.count(),
-        "embeddings_reused": reused.count(),
+        "embeddings_reused": embedded.where("reused").count(),
         "vectors_stored": vectors.count(),
         "errors": errors.count(),
     }

@@ -9,7 +9,7 @@ from docquarry.operators import answer as A
 from docquarry.operators import chunking, embed
 from docquarry.operators.search import nearest
 from docquarry.plans import answering, ingest
-from docquarry.plans.catalog import documents, query, questions
+from docquarry.plans.catalog import documents, query, questions, texts
 from docquarry.plans.queries_retrieval import _PACKED, digest_vectors, packed_context, sparse
 from docquarry.session import cut_lineage
 from docquarry.sources.tables import read_table, text_sources
@@ -21,7 +21,7 @@ from docquarry.sources.tables import read_table, text_sources
 )
 def plain_search(spark, folder):
     """Search without generation: the chunk texts in rank order."""
-    chunks = chunking.char_windows(documents(spark, folder).select("doc_id", "text"))
+    chunks = chunking.char_windows(texts(spark, folder).select("doc_id", "text"))
     keyed = chunks.select(
         F.concat("doc_id", F.lit("#chunk"), "chunk_index").alias("chunk_id"), "content"
     )
@@ -179,10 +179,10 @@ def cited_answers(spark, folder):
 )
 def answer_sources(spark, folder):
     """Distinct sources of each answer with their excerpts."""
-    texts = documents(spark, folder).select(
+    bodies = documents(spark, folder).select(
         "doc_id", "source", F.col("lang").alias("source_type"), F.col("text").alias("content")
     )
-    ranked = sparse(spark, folder, 6).join(texts, "doc_id")
+    ranked = sparse(spark, folder, 6).join(bodies, "doc_id")
     lists = A.assemble(ranked, "source", "source_type", "content").withColumn(
         "sources", A.source_entries(F.col("documents"))
     )
@@ -196,7 +196,7 @@ def answer_sources(spark, folder):
 
 def indexed(spark, folder):
     """All documents as chunk and vector tables, computed by the indexing plan."""
-    docs = documents(spark, folder)
+    docs = texts(spark, folder)
     sources = text_sources(
         docs, F.concat_ws("/", "source", "doc_id"), F.col("text"), F.lit("text/plain")
     )
@@ -245,7 +245,7 @@ def answer_fallbacks(spark, folder):
 )
 def summary_inputs(spark, folder):
     """Opening of the five largest documents, as given to the summary prompt."""
-    top = documents(spark, folder).orderBy(F.desc("n_chars"), "doc_id").limit(5)
+    top = texts(spark, folder).orderBy(F.desc("n_chars"), "doc_id").limit(5)
     return top.select("doc_id", F.md5(A.summary_input(F.col("text"))).alias("opening_md5"))
 
 

@@ -8,7 +8,7 @@ from docquarry.config import ChunkSettings
 from docquarry.functions import headings as H
 from docquarry.functions.text import first_short_line, token_length
 from docquarry.operators import chunking, splitting
-from docquarry.plans.catalog import MIME_OF_LANG, documents, file_documents, markdown_documents, query
+from docquarry.plans.catalog import MIME_OF_LANG, file_documents, markdown_documents, query, texts
 from docquarry.plans.ingest import processing_summary
 from docquarry.plans.queries_sources import TITLE_SQL
 from docquarry.sources.tables import read_table
@@ -20,7 +20,7 @@ from docquarry.sources.tables import read_table
     ("windows",),
 )
 def char_windows(spark, folder):
-    chunks = chunking.char_windows(documents(spark, folder).select("doc_id", "text"))
+    chunks = chunking.char_windows(texts(spark, folder).select("doc_id", "text"))
     return chunks.select(
         "doc_id",
         "chunk_index",
@@ -43,7 +43,7 @@ def char_windows(spark, folder):
 )
 def token_windows(spark, folder):
     """Windows of 120 tokens with an overlap of 30; offsets of the first occurrence."""
-    docs = documents(spark, folder).select("doc_id", "text")
+    docs = texts(spark, folder).select("doc_id", "text")
     chunks = chunking.token_windows(docs, size=120, overlap=30)
     return chunks.select(
         "doc_id",
@@ -60,7 +60,7 @@ def token_windows(spark, folder):
 )
 def chunk_positions(spark, folder):
     """A repeated chunk gets the offset of its first occurrence."""
-    docs = documents(spark, folder).select("doc_id", "text")
+    docs = texts(spark, folder).select("doc_id", "text")
     chunks = chunking.first_positions(chunking.char_windows(docs, size=40, overlap=0))
     return chunks.select("doc_id", "chunk_index", F.col("chunk_start_char").alias("first_char"))
 
@@ -68,7 +68,7 @@ def chunk_positions(spark, folder):
 @query()
 def recursive_split(spark, folder):
     """Semantic chunks of up to 200 tokens with an overlap of 40."""
-    docs = documents(spark, folder).select("doc_id", "text")
+    docs = texts(spark, folder).select("doc_id", "text")
     chunks = chunking.recursive_chunks(docs, size=200, overlap=40)
     return chunks.drop("text")
 
@@ -79,7 +79,7 @@ def recursive_split(spark, folder):
 )
 def recursive_split_coverage(spark, folder):
     """Without overlap the chunks hold every visible character once, and none is too long."""
-    docs = documents(spark, folder).select("doc_id", "text")
+    docs = texts(spark, folder).select("doc_id", "text")
     chunks = chunking.recursive_chunks(docs, size=50, overlap=0)
     visible = F.length(F.regexp_replace("content", r"\s", ""))
     return chunks.groupBy("doc_id").agg(
@@ -253,7 +253,7 @@ def chunk_enrichment(spark, folder):
 )
 def inherited_metadata(spark, folder):
     """Title and source pass from the first chunk to the others; other keys do not."""
-    docs = documents(spark, folder).select(
+    docs = texts(spark, folder).select(
         "doc_id",
         "text",
         chunking.metadata_map(
@@ -296,6 +296,6 @@ def chunk_summary(spark, folder):
 )
 def token_lengths(spark, folder):
     text = F.col("text")
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id", *[token_length(text, model).alias(model) for model in ("chars", "words", "chars4")]
     )

@@ -9,7 +9,7 @@ from docquarry.functions import embedding as V
 from docquarry.functions.text import first_short_line, split_tokens
 from docquarry.operators import changes, chunking, embed
 from docquarry.plans import ingest
-from docquarry.plans.catalog import documents, file_documents, query
+from docquarry.plans.catalog import documents, file_documents, query, texts
 from docquarry.plans.queries_sources import TITLE_SQL
 from docquarry.session import scratch_path
 from docquarry.sources.tables import read_table, text_sources
@@ -23,7 +23,7 @@ from docquarry.sources.tables import read_table, text_sources
 )
 def chunk_links(spark, folder):
     """Chunk ids and their order below the source."""
-    docs = documents(spark, folder).select(F.expr("source || '/' || doc_id").alias("source_id"), "text")
+    docs = texts(spark, folder).select(F.expr("source || '/' || doc_id").alias("source_id"), "text")
     chunks = chunking.char_windows(docs)
     return chunks.select(
         ingest.chunk_id(F.col("source_id"), F.col("chunk_index")).alias("doc_id"),
@@ -87,7 +87,7 @@ def filter_chain_counts(spark, folder):
 )
 def content_filters(spark, folder):
     """Documents that pass every filter; unlabelled ones do not."""
-    joined = documents(spark, folder).join(read_table(spark, folder, "labels"), "doc_id")
+    joined = texts(spark, folder).join(read_table(spark, folder, "labels"), "doc_id")
     tests = [F.col("quality") == 1, F.col("toxic") == 0, F.col("n_chars") >= 500]
     title = F.trim(F.get(F.split("text", "\n"), F.lit(0)))
     return changes.content_filter(joined, tests).select("doc_id", title.alias("title"))
@@ -101,7 +101,7 @@ def content_filters(spark, folder):
 )
 def dedup_counts(spark, folder):
     """Documents per source before and after dropping exact copies within the source."""
-    docs = documents(spark, folder).select("source", "doc_id", "text")
+    docs = texts(spark, folder).select("source", "doc_id", "text")
     kept = changes.keep_first(docs, ["source"], "text", "doc_id")
     before = docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
     after = kept.groupBy("source").agg(F.count(F.lit(1)).alias("kept"))
@@ -116,7 +116,7 @@ def dedup_counts(spark, folder):
 )
 def dedup_exact(spark, folder):
     """First of the equal chunks of each document."""
-    docs = documents(spark, folder).select("doc_id", "text")
+    docs = texts(spark, folder).select("doc_id", "text")
     chunks = chunking.char_windows(docs, size=120, overlap=0).drop("text")
     kept = changes.keep_first(chunks, ["doc_id"])
     return kept.select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
@@ -150,7 +150,7 @@ def load_errors(spark, folder):
 def reindex_diff(spark, folder):
     """What must be indexed again: labelled documents are indexed, the toxic ones with another
     text, those of low quality with another chunk size."""
-    docs = documents(spark, folder).withColumn("source_id", F.col("doc_id").cast("string"))
+    docs = texts(spark, folder).withColumn("source_id", F.col("doc_id").cast("string"))
     labelled = docs.join(read_table(spark, folder, "labels"), "doc_id")
     text = F.when(F.col("toxic") == 1, F.upper("text")).otherwise(F.col("text"))
     indexed = labelled.select(
@@ -183,7 +183,7 @@ def reindex_diff(spark, folder):
 )
 def incremental_chunks(spark, folder):
     """Chunks to embed, to keep and to delete when the texts of toxic documents changed."""
-    docs = documents(spark, folder).select("doc_id", "text")
+    docs = texts(spark, folder).select("doc_id", "text")
     chunks = chunking.char_windows(docs).select(F.col("doc_id").cast("string").alias("source_id"), "content")
     labels = read_table(spark, folder, "labels").select(
         F.col("doc_id").cast("string").alias("source_id"), "toxic"
@@ -260,7 +260,7 @@ def _hash_sql(function: str, text: str, width: int, value: str) -> str:
 )
 def hash_embedding(spark, folder):
     """SHA-256 embedding of whole texts, dimension 384."""
-    docs = documents(spark, folder).select("doc_id", V.sha256_embedding(F.col("text")).alias("v"))
+    docs = texts(spark, folder).select("doc_id", V.sha256_embedding(F.col("text")).alias("v"))
     return docs.select(
         "doc_id",
         *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in (0, 17, 383)],
@@ -273,7 +273,7 @@ def hash_embedding(spark, folder):
         FROM (SELECT doc_id, {_hash_sql("md5", "text", 16, "{b} / 255.0 * 2.0 - 1.0")} AS v FROM documents)"""
 )
 def md5_embedding(spark, folder):
-    docs = documents(spark, folder).select("doc_id", V.md5_embedding(F.col("text")).alias("v"))
+    docs = texts(spark, folder).select("doc_id", V.md5_embedding(F.col("text")).alias("v"))
     return docs.select(
         "doc_id",
         *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in (0, 15, 1523)],
@@ -289,7 +289,7 @@ def md5_embedding(spark, folder):
 )
 def codepoint_embedding(spark, folder):
     text = F.col("text")
-    docs = documents(spark, folder).select(
+    docs = texts(spark, folder).select(
         "doc_id", V.codepoint_pattern(text).alias("pattern"), V.codepoint_embedding(text).alias("v")
     )
     return docs.select(
@@ -310,7 +310,7 @@ def embedding_text(spark, folder):
         "tags": F.array_join(F.array("lang", "source"), ", "),
     }
     prepared = embed.prepared_text(F.col("text"), fields)
-    return documents(spark, folder).select("doc_id", F.md5(prepared).alias("prepared_md5"))
+    return texts(spark, folder).select("doc_id", F.md5(prepared).alias("prepared_md5"))
 
 
 @query(
@@ -323,7 +323,7 @@ def embedding_text(spark, folder):
 )
 def vector_metadata(spark, folder):
     """What is stored beside a vector: a preview, defaults and the known keys."""
-    docs = documents(spark, folder).select("doc_id", "source", F.col("lang").alias("category"), "text")
+    docs = texts(spark, folder).select("doc_id", "source", F.col("lang").alias("category"), "text")
     chunks = chunking.char_windows(docs, size=3000, overlap=500)
     rows = embed.vector_metadata(chunks.withColumnRenamed("chunk_total", "total_chunks"))
     return rows.withColumn("text", F.md5("text")).withColumnRenamed("text", "text_md5")
@@ -365,7 +365,7 @@ def remote_embedding(spark, folder):
         return [[float(len(t)), float(len(t.split()))] for t in texts]
 
     model = embed.Model("measure", 2, remote=measure)
-    made = embed.embed(documents(spark, folder).select("doc_id", "text"), model, "text")
+    made = embed.embed(texts(spark, folder).select("doc_id", "text"), model, "text")
     return made.select(
         "doc_id",
         F.col("embedding_error").isNotNull().cast("int").alias("failed"),
@@ -381,7 +381,7 @@ def remote_embedding(spark, folder):
 )
 def embedding_cache(spark, folder):
     """Chunks of labelled documents come from the cache, the others are embedded."""
-    docs = documents(spark, folder).select("doc_id", "source", "text")
+    docs = texts(spark, folder).select("doc_id", "source", "text")
     chunks = chunking.char_windows(docs).select("doc_id", "source", "chunk_index", "content")
     model = embed.native_model("sha256", 32)
     labelled = chunks.join(read_table(spark, folder, "labels"), "doc_id", "left_semi")
@@ -405,7 +405,7 @@ def embedding_cache(spark, folder):
 )
 def embedding_overrides(spark, folder):
     """Texts of toxic documents have a predefined vector, copies of them too."""
-    docs = documents(spark, folder).select("doc_id", "text")
+    docs = texts(spark, folder).select("doc_id", "text")
     toxic = read_table(spark, folder, "labels").where("toxic = 1")
     given = (
         docs.join(toxic, "doc_id", "left_semi")
@@ -436,7 +436,7 @@ def ingest_counters(spark, folder):
         buckets=8,
     )
     engine = Engine(spark, config)
-    docs = documents(spark, folder).withColumn("doc_id", F.col("doc_id").cast("string"))
+    docs = texts(spark, folder).withColumn("doc_id", F.col("doc_id").cast("string"))
     sources = text_sources(docs, F.col("doc_id"), F.col("text"), F.lit("text/plain"))
     first = engine.index(sources).counts
     second = engine.index(sources).counts

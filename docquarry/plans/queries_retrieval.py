@@ -11,8 +11,9 @@ from docquarry.operators import bm25 as B
 from docquarry.operators import chunking, evaluate
 from docquarry.operators import retrieval as R
 from docquarry.operators.search import centroids, first_k, nearest
-from docquarry.plans.catalog import documents, query, questions, vectors
+from docquarry.plans.catalog import documents, query, questions, texts, vectors
 from docquarry.plans.ingest import ordinals
+from docquarry.session import cut_lineage
 from docquarry.sources.tables import read_table
 
 
@@ -35,7 +36,7 @@ def by_center(spark, folder, k, metric, where=None):
 
 def digest_vectors(df, text="text"):
     """Digest embeddings in double precision, as the SQL twins compute them."""
-    return df.withColumn("embedding", sha256_embedding(F.col(text), 32)).where("embedding IS NOT NULL")
+    return df.withColumn("embedding", sha256_embedding(F.col(text), 32))
 
 
 def digest_sql(text):
@@ -141,7 +142,7 @@ def first_vectors(spark, folder):
 )
 def vector_append(spark, folder):
     """Insertion numbers grow in (source, id) order without one task seeing all rows."""
-    docs = documents(spark, folder).select(
+    docs = texts(spark, folder).select(
         F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("source_id")
     )
     numbered = ordinals(docs, 100)
@@ -167,7 +168,7 @@ def vector_append(spark, folder):
 )
 def topk_text(spark, folder):
     """Nearest chunks of all documents to every benchmark passage under the digest embedding."""
-    chunks = chunking.char_windows(documents(spark, folder).select("doc_id", "text"))
+    chunks = chunking.char_windows(texts(spark, folder).select("doc_id", "text"))
     keyed = chunks.select(
         F.concat("doc_id", F.lit("#chunk"), "chunk_index").alias("chunk_id"), "content"
     )
@@ -222,7 +223,7 @@ def metadata_match(spark, folder):
 
     held = chunking.metadata_map({"lang": F.col("lang")})
     asked = F.create_map(F.lit("lang"), F.lit("DE"))
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id",
         test(source="RC1", lang="EN").alias("text_hit"),
         test(n_chars=" 1500 ").alias("number_hit"),
@@ -233,7 +234,7 @@ def metadata_match(spark, folder):
 
 
 def sparse(spark, folder, k):
-    return B.bm25(questions(spark, folder), documents(spark, folder), k)
+    return B.bm25(questions(spark, folder), texts(spark, folder), k)
 
 
 @query(
@@ -252,7 +253,7 @@ def bm25_topk(spark, folder):
 )
 def postings_index(spark, folder):
     """Inverted index summed up per term."""
-    index = B.postings(documents(spark, folder))
+    index = B.postings(texts(spark, folder))
     return index.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences")
     )
@@ -261,8 +262,8 @@ def postings_index(spark, folder):
 @query("SELECT term, round(idf, 6) AS idf FROM idf", ("tokens", "bm25"))
 def term_weights(spark, folder):
     """Inverse document frequencies with the floor for very common terms."""
-    docs = documents(spark, folder)
-    weights = B.term_weights(B.term_stats(docs), B.corpus_stats(docs))
+    docs = texts(spark, folder)
+    weights = B.term_weights(cut_lineage(B.term_stats(docs)))
     return weights.select("term", F.round("idf", 6).alias("idf"))
 
 
@@ -285,8 +286,8 @@ _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
 def keyword_rerank(spark, folder):
     """The twelve best by BM25 reordered by word counts, first four kept."""
     asked = questions(spark, folder).withColumnRenamed("text", "question")
-    texts = documents(spark, folder).select("doc_id", F.col("text").alias("content"))
-    ranked = sparse(spark, folder, 12).join(asked, "qid").join(texts, "doc_id")
+    bodies = documents(spark, folder).select("doc_id", F.col("text").alias("content"))
+    ranked = sparse(spark, folder, 12).join(asked, "qid").join(bodies, "doc_id")
     return R.keyword_rerank(ranked, 4).select(
         "qid", "doc_id", "prior_rank", "keyword_score", "rank"
     )
@@ -315,7 +316,7 @@ _DENSE_DOCS = f"""vectors_of AS (
 )
 def rrf_fusion(spark, folder):
     """Vector and BM25 lists over whole documents fused by reciprocal ranks."""
-    stored = digest_vectors(documents(spark, folder).select("doc_id", "text"))
+    stored = digest_vectors(texts(spark, folder).select("doc_id", "text"))
     asked = digest_vectors(questions(spark, folder))
     dense = nearest(asked, stored, 10, "cosine")
     return rounded(R.reciprocal_rank_fusion(dense, sparse(spark, folder, 10), k=4)).select(
@@ -332,8 +333,8 @@ _PACKED = """ranked AS (
 
 def packed_context(spark, folder):
     """Up to six documents per passage within 2000 tokens."""
-    texts = documents(spark, folder).select("doc_id", "source", F.col("text").alias("content"))
-    ranked = sparse(spark, folder, 6).join(texts, "doc_id")
+    bodies = documents(spark, folder).select("doc_id", "source", F.col("text").alias("content"))
+    ranked = sparse(spark, folder, 6).join(bodies, "doc_id")
     return R.pack_context(ranked, 2000)
 
 
@@ -439,8 +440,8 @@ def simplify_paths(spark, folder):
 def golden_hit_rate(spark, folder):
     """Share of passages found word for word in one of the three best documents."""
     asked = questions(spark, folder).withColumnRenamed("text", "expected")
-    texts = documents(spark, folder).select("doc_id", F.col("text").alias("found"))
-    best = sparse(spark, folder, 3).join(texts, "doc_id").select("qid", "found")
+    bodies = documents(spark, folder).select("doc_id", F.col("text").alias("found"))
+    best = sparse(spark, folder, 3).join(bodies, "doc_id").select("qid", "found")
     hits = (
         asked.join(best, "qid", "left")
         .select("qid", F.contains(F.lower("found"), F.lower("expected")).alias("hit"))

@@ -14,6 +14,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer partitions than cores as many as there are cores.
+
+    A file of one row group is one task, however large. Large tables have partitions enough and
+    come back unchanged. Only for plain scans: the number of partitions is read from the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def memory_source(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     """``(source_id, text, content_type, metadata)`` rows as a source."""
     return spark.createDataFrame(list(rows), MEMORY)
