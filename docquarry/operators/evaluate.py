@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.errors import EvaluationError
 from docquarry.functions.text import basename
 from docquarry.operators.ranking import top_k_per_group
 
@@ -122,6 +123,22 @@ def evaluate(run: DataFrame, qrels: DataFrame, metrics: Sequence[str] = DEFAULT_
     return select_metrics(values, metrics)
 
 
+def run_evaluations(evaluations: Iterable[Evaluation], load) -> DataFrame:
+    """``(category, test, metric, value)`` of several evaluations in one plan.
+
+    *load* gives the run and the judgements of a test: ``load(test) -> (run, qrels)``.
+    """
+    parts = [
+        evaluate(*load(e.test), e.metrics).select(
+            F.lit(e.category).alias("category"), F.lit(e.test).alias("test"), "metric", "value"
+        )
+        for e in evaluations
+    ]
+    if not parts:
+        raise EvaluationError("no evaluations given")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def select_metrics(values: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Keep the requested names, each once with its largest value."""
     wanted = []

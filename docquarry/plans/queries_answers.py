@@ -10,7 +10,13 @@ from docquarry.operators import chunking, embed
 from docquarry.operators.search import nearest
 from docquarry.plans import answering, ingest
 from docquarry.plans.catalog import documents, query, questions, texts
-from docquarry.plans.queries_retrieval import _PACKED, digest_vectors, packed_context, sparse
+from docquarry.plans.queries_retrieval import (
+    _PACKED,
+    digest_sql,
+    digest_vectors,
+    packed_context,
+    sparse,
+)
 from docquarry.session import cut_lineage
 from docquarry.sources.tables import read_table, text_sources
 
@@ -205,18 +211,67 @@ def indexed(spark, folder):
     chunks = cut_lineage(ingest.chunk_rows(ingest.transform(sources, config), config, 0.0))
     model = embed.native_model("sha256", 384)
     made = embed.embed(chunks.select("doc_id", "content"), model)
-    vectors = made.select("doc_id", "embedding", F.xxhash64("doc_id").alias("ordinal"))
+    # ties go by chunk id here; a stored vector table has insertion numbers for that
+    vectors = made.select("doc_id", "embedding", F.col("doc_id").alias("ordinal"))
     return chunks, vectors, model
 
 
-@query()
+def _answers_sql() -> str:
+    unit = (
+        "list_transform(v, lambda x: (x / sqrt(12 * list_sum(list_transform(v, lambda y: y * y))))"
+        "::FLOAT::DOUBLE)"
+    )
+    break_ = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+    return f"""WITH t AS (
+        SELECT source || '/' || doc_id AS source_id, regexp_extract_all(text, '\\s*\\S+|\\s+') AS tokens
+        FROM documents WHERE length(text) > 0),
+      chunks AS (
+        SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY u.s) - 1 AS i,
+               array_to_string(list_slice(tokens, u.s + 1, u.s + 120), '') AS content
+        FROM t, LATERAL (SELECT unnest(range(0, greatest(0, len(tokens) - 30 - 1) + 1, 90)) AS s) u),
+      stored AS (SELECT *, {unit} AS e FROM (
+        SELECT source_id, source_id || '#chunk' || i AS doc_id, content, {digest_sql("content")} AS v
+        FROM chunks WHERE trim(content, ' ' || chr(10)) <> '')),
+      asked AS (SELECT qid, question, {unit} AS e FROM (
+        SELECT qid, question, {digest_sql("clean")} AS v FROM (
+          SELECT item_id AS qid, text AS question, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean
+          FROM benchmark))),
+      ranked AS (
+        SELECT qid, question, source_id, content, row_number() OVER (PARTITION BY qid ORDER BY
+                 round(12 * list_distance(a.e, s.e) ** 2, 9), doc_id) AS rank
+        FROM asked a, stored s QUALIFY rank <= 4),
+      entries AS (
+        SELECT qid, min(rank) AS rank, source_id || '|text/plain|' || CASE WHEN length(content) > 100
+                 THEN substr(content, 1, 100) || '...' ELSE content END AS entry
+        FROM ranked GROUP BY qid, entry),
+      listed AS (SELECT qid, string_agg(entry, chr(10) ORDER BY rank) AS sources, count(*) AS num_sources
+                 FROM entries GROUP BY qid),
+      prompts AS (SELECT qid, any_value(question) AS question, count(*) AS num_documents_retrieved,
+                         string_agg(content, {break_} ORDER BY rank) AS context
+                  FROM ranked GROUP BY qid)
+      SELECT qid, question, reply || chr(10) || chr(10) || 'Sources:' AS answer, sources, num_sources,
+             num_documents_retrieved
+      FROM (SELECT *, {_chat_sql("topic", "prompt")} AS reply FROM (SELECT *, {_prompt_sql()} AS prompt FROM prompts))
+           JOIN listed USING (qid)"""
+
+
+# the prompt itself holds the citation "[n]", so every echoed answer gets a list of sources
+@query(_answers_sql())
 def answer_questions(spark, folder):
     """From documents and questions to cited answers, in one plan."""
     chunks, vectors, model = indexed(spark, folder)
     answers = answering.answer_questions(
         questions(spark, folder), chunks, vectors, model, SearchSettings(k=4), now=0.0
     )
-    return answers.withColumn("sources", F.to_json("sources"))
+    shown = F.transform("sources", lambda s: F.concat_ws("|", s["path"], s["type"], s["excerpt"]))
+    return answers.select(
+        "qid",
+        "question",
+        "answer",
+        F.array_join(shown, "\n").alias("sources"),
+        F.col("num_sources").cast("bigint").alias("num_sources"),
+        F.col("num_documents_retrieved").cast("bigint").alias("num_documents_retrieved"),
+    )
 
 
 @query(

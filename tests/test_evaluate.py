@@ -48,6 +48,14 @@ def test_names():
     assert [e.test for e in E.default_evaluations()] == list(E.DEFAULT_TESTS)
 
 
+def test_several_evaluations(spark):
+    run = spark.createDataFrame([(1, "a", 1.0)], "qid int, doc_id string, score double")
+    qrels = spark.createDataFrame([(1, "a", 1)], "qid int, doc_id string, rel int")
+    tests = [E.Evaluation("retrieval", name, ["MRR@1"]) for name in ("one", "two")]
+    rows = E.run_evaluations(tests, lambda test: (run, qrels)).collect()
+    assert sorted((r["test"], r["metric"], r["value"]) for r in rows) == [("one", "MRR@1", 1.0), ("two", "MRR@1", 1.0)]
+
+
 def test_alias_and_unknown_names(spark):
     run = spark.createDataFrame([(1, "a", 1.0)], "qid int, doc_id string, score double")
     qrels = spark.createDataFrame([(1, "a", 1)], "qid int, doc_id string, rel int")
