@@ -48,7 +48,7 @@ def html_headings(html: Column) -> Column:
 
     def of_level(level: int) -> Column:
         pattern = rf"(?is)<h{level}[^>]*>(.+?)</h{level}>"
-        return F.transform(
+        found = F.transform(
             match_spans(html, pattern),
             lambda s: F.struct(
                 s["position"].alias("position"),
@@ -56,6 +56,9 @@ def html_headings(html: Column) -> Column:
                 strip(strip_tags(F.regexp_extract(s["match"], pattern, 1))).alias("text"),
             ),
         )
+        none = F.expr("cast(array() as array<struct<position:int,level:int,text:string>>)")
+        # most pages lack most levels; a substring test is far cheaper than two regex passes
+        return F.when(F.contains(F.lower(html), F.lit(f"<h{level}")), found).otherwise(none)
 
     ordered = F.array_sort(F.concat(*[of_level(level) for level in range(1, 7)]))
     flat = F.transform(

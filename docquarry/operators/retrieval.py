@@ -104,7 +104,7 @@ def keyword_score(question: Column, content: Column, stop_words=STOP_WORDS) -> C
     return let(
         held,
         lambda h: F.aggregate(
-            asked, F.lit(0), lambda total, t: total + F.size(F.filter(h, lambda x: x == t))
+            asked, F.lit(0), lambda total, t: total + F.size(h) - F.size(F.array_remove(h, t))
         ),
     )
 

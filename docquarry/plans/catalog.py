@@ -146,6 +146,11 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     return spread(documents(spark, folder), "doc_id")
 
 
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Web pages, spread over the cores."""
+    return spread(read_table(spark, folder, "pages"), "page_id")
+
+
 def file_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a file path, as ``source_id`` and ``location``, and its content type."""
     return texts(spark, folder).withColumns(

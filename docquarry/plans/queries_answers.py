@@ -9,7 +9,7 @@ from docquarry.operators import answer as A
 from docquarry.operators import chunking, embed
 from docquarry.operators.search import nearest
 from docquarry.plans import answering, ingest
-from docquarry.plans.catalog import documents, query, questions, texts
+from docquarry.plans.catalog import documents, pages, query, questions, texts
 from docquarry.plans.queries_retrieval import (
     _PACKED,
     digest_sql,
@@ -108,8 +108,7 @@ def canned_answers(spark, folder):
 
 
 @query(
-    """SELECT conv_id, turn, 'system:be brief|user:' || text AS raw_answer FROM conversations
-       WHERE role = 'user'"""
+    """SELECT conv_id, turn, 'system:be brief|user:' || text AS raw_answer FROM conversations"""
 )
 def chat_model(spark, folder):
     """A pluggable chat model called with message lists, the system prompt first."""
@@ -117,7 +116,7 @@ def chat_model(spark, folder):
     def echo(batches):
         return ["|".join(f"{m['role']}:{m['content']}" for m in messages) for messages in batches]
 
-    turns = read_table(spark, folder, "conversations").where("role = 'user'")
+    turns = read_table(spark, folder, "conversations")
     replied = A.generate(turns, echo, system_prompt="be brief", prompt="text")
     return replied.select("conv_id", "turn", "raw_answer")
 
@@ -138,8 +137,8 @@ _CITED = """cited AS (
 )
 def extract_citations(spark, folder):
     """Citations in the markup of every page, in order of first mention."""
-    pages = read_table(spark, folder, "pages")
-    found = pages.select("page_id", F.posexplode(A.citations(F.col("html"))).alias("place", "c"))
+    html_pages = pages(spark, folder)
+    found = html_pages.select("page_id", F.posexplode(A.citations(F.col("html"))).alias("place", "c"))
     return found.select(
         "page_id",
         F.col("c.source").alias("source"),

@@ -8,7 +8,14 @@ from docquarry.config import ChunkSettings
 from docquarry.functions import headings as H
 from docquarry.functions.text import first_short_line, token_length
 from docquarry.operators import chunking, splitting
-from docquarry.plans.catalog import MIME_OF_LANG, file_documents, markdown_documents, query, texts
+from docquarry.plans.catalog import (
+    MIME_OF_LANG,
+    file_documents,
+    markdown_documents,
+    pages,
+    query,
+    texts,
+)
 from docquarry.plans.ingest import processing_summary
 from docquarry.plans.queries_sources import TITLE_SQL
 from docquarry.sources.tables import read_table
@@ -94,9 +101,9 @@ def recursive_split_coverage(spark, folder):
 )
 def html_split_coverage(spark, folder):
     """The same for pages cut at their tags, measured in characters."""
-    pages = read_table(spark, folder, "pages").select("page_id", "html")
+    html_pages = pages(spark, folder).select("page_id", "html")
     chunks = chunking.recursive_chunks(
-        pages, "html", size=800, overlap=0, separators=splitting.HTML, length="chars"
+        html_pages, "html", size=800, overlap=0, separators=splitting.HTML, length="chars"
     )
     visible = F.length(F.regexp_replace("content", r"\s", ""))
     return chunks.groupBy("page_id").agg(

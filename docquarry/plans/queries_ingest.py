@@ -198,24 +198,22 @@ def incremental_chunks(spark, folder):
     )
 
 
-@query()
-def transform_with_steps(spark, folder):
-    """Custom parser for one content type, an extracted column, a filter and deduplication."""
-
-    def by_line(part):
-        lines = part.select(
-            "source_id", "location", "content_type", F.posexplode(F.split("text", "\n"))
-        )
-        return lines.select(
-            "source_id",
-            "location",
-            "content_type",
-            F.col("pos").alias("chunk_index"),
-            F.col("col").alias("content"),
-        )
+def by_line(part):
+    """A custom parser: every line is a chunk."""
+    lines = part.select("source_id", "location", "content_type", F.posexplode(F.split("text", "\n")))
+    return lines.select(
+        "source_id",
+        "location",
+        "content_type",
+        F.col("pos").alias("chunk_index"),
+        F.col("col").alias("content"),
+    )
 
+
+def transformed(spark, folder, types):
+    """Custom parser for some content types, an extracted column, a filter and deduplication."""
     steps = ingest.Transforms(
-        parsers={"text/csv": by_line},
+        parsers=dict.fromkeys(types, by_line),
         extractors={"n_words": F.size(split_tokens(F.col("content")))},
         filters=[F.length("content") >= 20],
         deduplicate=True,
@@ -225,12 +223,17 @@ def transform_with_steps(spark, folder):
     return ingest.transform(docs, config, steps)
 
 
+@query()
+def transform_with_steps(spark, folder):
+    """All optional steps, with a parser for one type and the splitters for the others."""
+    return transformed(spark, folder, ["text/csv"])
+
+
 @query(
     """WITH lines AS (
          SELECT path AS source_id, u.i - 1 AS chunk_index, u.line AS content FROM files,
            LATERAL (SELECT unnest(string_split(text, chr(10))) AS line,
-                    generate_subscripts(string_split(text, chr(10)), 1) AS i) u
-         WHERE lang = 'es')
+                    generate_subscripts(string_split(text, chr(10)), 1) AS i) u)
        SELECT source_id, chunk_index, md5(content) AS content_md5,
               len(regexp_extract_all(content, '\\S+')) AS n_words
        FROM lines WHERE length(content) >= 20
@@ -238,8 +241,9 @@ def transform_with_steps(spark, folder):
     ("files",),
 )
 def custom_parser(spark, folder):
-    """The part of :func:`transform_with_steps` that the custom parser made."""
-    chunks = transform_with_steps(spark, folder).where(F.col("content_type") == "text/csv")
+    """The same steps with the parser for every content type."""
+    types = ["text/markdown", "text/plain", "text/html", "text/csv"]
+    chunks = transformed(spark, folder, types)
     return chunks.select("source_id", "chunk_index", F.md5("content").alias("content_md5"), "n_words")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,10 +152,9 @@ def vector_append(spark, folder):
     within = F.col("ordinal") - 100 - F.shiftleft(part, 33)
     numbered = numbered.select("doc_id", "source_id", part.alias("part"), within.alias("at"))
     sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left")
-    offsets = before.groupBy(F.col("a.part").alias("part")).agg(
-        F.coalesce(F.sum("b.size"), F.lit(0)).alias("offset")
-    )
+    # one row per partition, so this window and the broadcast stay small
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     return numbered.join(F.broadcast(offsets), "part").select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         "source_id",

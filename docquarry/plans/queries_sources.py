@@ -13,6 +13,7 @@ from docquarry.plans.catalog import (
     documents,
     file_documents,
     markdown_documents,
+    pages,
     query,
 )
 from docquarry.sources import corpora, loaders, tables
@@ -144,8 +145,8 @@ def _html_text_sql() -> str:
 
 @query(_html_text_sql())
 def html_text(spark, folder):
-    pages = read_table(spark, folder, "pages")
-    return pages.select("page_id", X.html_text(F.col("html")).alias("text"))
+    html_pages = pages(spark, folder)
+    return html_pages.select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
 TITLE_SQL = (
@@ -235,8 +236,8 @@ def markdown_title(spark, folder):
                     regexp_extract(html, '(?is)<h1[^>]*>(.+?)</h1>', 1) AS h FROM pages)"""
 )
 def html_title(spark, folder):
-    pages = read_table(spark, folder, "pages")
-    return pages.select("page_id", X.html_title(F.col("html")).alias("title"))
+    html_pages = pages(spark, folder)
+    return html_pages.select("page_id", X.html_title(F.col("html")).alias("title"))
 
 
 @query(
@@ -247,8 +248,8 @@ def html_title(spark, folder):
                     unnest(regexp_extract_all(html, '(?is)<h1[^>]*>.+?</h1>')) AS m FROM pages)"""
 )
 def html_headings(spark, folder):
-    pages = read_table(spark, folder, "pages")
-    return pages.select("page_id", F.inline(H.html_headings(F.col("html")))).select(
+    html_pages = pages(spark, folder)
+    return html_pages.select("page_id", F.inline(H.html_headings(F.col("html")))).select(
         "page_id", "level", "position", "text", "path", "font_size"
     )
 

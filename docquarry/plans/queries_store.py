@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docquarry.config import ChunkSettings, EngineConfig
 from docquarry.operators import chunking, store
 from docquarry.operators import embed as E
-from docquarry.plans.catalog import MIME_OF_LANG, PATH, documents, query
+from docquarry.plans.catalog import PATH, documents, query, texts
 from docquarry.session import scratch_path
 from docquarry.sources.tables import read_table
 from docquarry.streaming.ingest import embed_stream, index_stream
@@ -103,7 +103,7 @@ def generated_ids(spark, folder):
 
 @query("SELECT doc_id FROM documents WHERE text ILIKE '%AUlich%'")
 def search_ilike(spark, folder):
-    docs = documents(spark, folder)
+    docs = texts(spark, folder)
     return store.search(docs, match=store.contains_text(F.col("text"), "AUlich")).select("doc_id")
 
 
@@ -113,7 +113,7 @@ def search_ilike(spark, folder):
 )
 def search_terms_and(spark, folder):
     """Documents that hold all words of the query."""
-    docs = documents(spark, folder)
+    docs = texts(spark, folder)
     match = store.has_all_terms(F.col("text"), "The WITH for")
     return store.search(docs, match=match).select("doc_id")
 
@@ -301,9 +301,9 @@ def stored_round_trip(spark, folder):
 
 
 @query(
-    f"""SELECT path AS source_id, {MIME_OF_LANG} AS content_type,
-               greatest(1, (len(regexp_extract_all(text, '\\S+')) + 9999) // 10000) AS chunk_count
-        FROM files WHERE lang <> 'fr' AND lang <> 'en'""",
+    """SELECT path AS source_id, 'text/plain' AS content_type,
+              greatest(1, (len(regexp_extract_all(text, '\\S+')) + 9999) // 10000) AS chunk_count
+       FROM files""",
     ("files",),
 )
 def stream_ingest(spark, folder):
@@ -320,10 +320,10 @@ def stream_ingest(spark, folder):
     engine = Engine(spark, config)
     schema = documents(spark, folder).schema
     arriving = spark.readStream.schema(schema).parquet(f"{folder}/documents*.parquet")
-    sources = arriving.where("lang NOT IN ('fr', 'en')").select(
+    sources = arriving.select(
         F.expr(PATH).alias("source_id"),
         F.expr(PATH).alias("location"),
-        F.expr(MIME_OF_LANG).alias("content_type"),
+        F.lit("text/plain").alias("content_type"),
         "text",
         F.sha2("text", 256).alias("content_hash"),
         F.col("n_chars").alias("size_bytes"),
