@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.functions.binding import unnest
 from docquarry.functions.text import split_tokens
 from docquarry.operators.ranking import scan_top_k
 from docquarry.session import cut_lineage
@@ -25,7 +26,7 @@ EPSILON = 0.25
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Inverted index ``(term, doc_id, tf)`` over white-space tokens."""
-    terms = docs.select(F.col(doc_id), F.explode(split_tokens(F.col(text))).alias("term"))
+    terms = unnest(docs.select(doc_id, text), split_tokens(F.col(text)), value="term")
     return terms.groupBy("term", doc_id).agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -37,11 +38,9 @@ def term_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     counts, not tokens.
     """
     tokens = split_tokens(F.col(text))
-    listed = docs.select(tokens.alias("held")).select(
-        F.size("held").alias("length"),
-        F.explode(
-            F.concat(F.array_distinct("held"), F.array(F.lit(None).cast("string")))
-        ).alias("term"),
+    marked = F.concat(F.array_distinct("held"), F.array(F.lit(None).cast("string")))
+    listed = unnest(docs.select(tokens.alias("held")), marked, value="term").select(
+        F.size("held").alias("length"), "term"
     )
     return listed.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docquarry.config import ChunkSettings
 from docquarry.functions import headings as H
 from docquarry.functions import mime as M
-from docquarry.functions.binding import let
+from docquarry.functions.binding import let, unnest
 from docquarry.functions.text import spaced_tokens, token_length
 from docquarry.operators import splitting
 from docquarry.operators.expand import expand_rows
@@ -81,10 +81,12 @@ def token_windows(df: DataFrame, text: str = "text", size: int = 1000, overlap:
         return F.when(F.size(tokens) > 0, texts)
 
     # the token list stays inside one expression: exploded rows carry window texts only
-    windows = (
-        df.withColumn("__windows", let(spaced_tokens(F.col(text)), windows_of))
-        .select(*df.columns, F.size("__windows").alias("chunk_total"), F.posexplode("__windows"))
-        .select(*df.columns, F.col("pos").alias("chunk_index"), "chunk_total", F.col("col").alias("content"))
+    listed = df.withColumn("__windows", let(spaced_tokens(F.col(text)), windows_of))
+    windows = unnest(listed, F.col("__windows")).select(
+        *df.columns,
+        F.col("pos").alias("chunk_index"),
+        F.size("__windows").alias("chunk_total"),
+        F.col("col").alias("content"),
     )
     return first_positions(windows, text)
 

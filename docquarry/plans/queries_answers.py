@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.config import ChunkSettings, EngineConfig, SearchSettings
+from docquarry.functions.binding import unnest
 from docquarry.operators import answer as A
 from docquarry.operators import chunking, embed
 from docquarry.operators.search import nearest
@@ -138,7 +139,7 @@ _CITED = """cited AS (
 def extract_citations(spark, folder):
     """Citations in the markup of every page, in order of first mention."""
     html_pages = pages(spark, folder)
-    found = html_pages.select("page_id", F.posexplode(A.citations(F.col("html"))).alias("place", "c"))
+    found = unnest(html_pages, A.citations(F.col("html")), "place", "c")
     return found.select(
         "page_id",
         F.col("c.source").alias("source"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import headings as H
 from docquarry.functions import mime as M
 from docquarry.functions import text as X
+from docquarry.functions.binding import unnest
 from docquarry.operators import metadata
 from docquarry.plans.catalog import (
     MIME_OF_LANG,
@@ -249,9 +250,8 @@ def html_title(spark, folder):
 )
 def html_headings(spark, folder):
     html_pages = pages(spark, folder)
-    return html_pages.select("page_id", F.inline(H.html_headings(F.col("html")))).select(
-        "page_id", "level", "position", "text", "path", "font_size"
-    )
+    found = unnest(html_pages, H.html_headings(F.col("html"))).select("page_id", "col.*")
+    return found.select("page_id", "level", "position", "text", "path", "font_size")
 
 
 @query(
@@ -260,7 +260,7 @@ def html_headings(spark, folder):
 )
 def markdown_headings(spark, folder):
     docs = markdown_documents(spark, folder)
-    return docs.select("doc_id", F.inline(H.markdown_headings(F.col("text")))).select(
+    return unnest(docs, H.markdown_headings(F.col("text"))).select("doc_id", "col.*").select(
         "doc_id", F.col("position").cast("bigint").alias("position"), "level", "text", "path"
     )
 
@@ -289,7 +289,7 @@ _SLOT = (
 def font_headings(spark, folder):
     """Headings from font runs: each line is a run whose size follows its length."""
     docs = documents(spark, folder).select("doc_id", F.expr(RUNS).alias("runs"))
-    return docs.select("doc_id", F.inline(H.font_headings(F.col("runs")))).select(
+    return unnest(docs, H.font_headings(F.col("runs"))).select("doc_id", "col.*").select(
         "doc_id", F.col("position").cast("bigint").alias("position"), "level", "text", "path"
     )
 

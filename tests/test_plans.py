@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.functions import embedding as V
-from docquarry.operators import store
+from docquarry.functions import headings as H
+from docquarry.operators import chunking, store
 from docquarry.operators.changes import keep_first
 from docquarry.operators.ranking import top_k_per_group
 from docquarry.plans import catalog
@@ -53,8 +54,9 @@ def test_native_paths_have_no_python(spark, folder):
 def test_row_local_steps_do_not_shuffle(spark, folder):
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     assert "Exchange" not in plan(docs.select(V.sha256_embedding(F.col("text"))))
-    pages = QUERIES["html_headings"](spark, folder)
-    assert "Exchange" not in plan(pages)
+    pages = read_table(spark, folder, "pages")
+    assert "Exchange" not in plan(pages.select(H.html_headings(F.col("html"))))
+    assert "Exchange" not in plan(chunking.token_windows(docs))
 
 
 def test_copies_are_dropped_on_the_map_side(spark):
