@@ -12,8 +12,8 @@ is cut by hash buckets: sums per (leaf, bucket) decide which buckets are in, and
 one bucket that holds the border are ordered, so a source with a third of all rows is no hot task.
 
 Null texts and texts without words have no tokens; they cost nothing and are taken where the prefix
-reaches them. Null domains, languages and sources are the nodes ``(none)``. Repeated rows are told
-apart by a number, equal hashes are ordered by id. Extra columns are carried. Weights of zero give
+reaches them. Null domains, languages and sources are the nodes ``(none)``. Rows with one id stand at
+one place of the order and are taken together. Extra columns are carried. Weights of zero give
 nothing. Unlisted nodes have ``default_weight``.
 """
 
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import Written
 
 NONE = "(none)"
-BUCKETS = 4096
 LEVELS = ("domain", "language", "origin")
 
 # Weights of the query and the pipeline, in parts; unlisted nodes weigh DEFAULT_WEIGHT.
@@ -216,18 +215,24 @@ def mix(
     ends = Written(
         parts.read().join(border.read().select(*level, "cut"), level, "left").join(last, level, "left"), "ends"
     )
-    named = [F.col(n).alias(f"__{n}") for n in LEVELS]
-    joined = kept.join(ends.read().select(*named, "epochs", "cut", "last"), [f"__{n}" for n in LEVELS])
-    place = _md5(F.col("epochs"), seed, key)
+    ends = ends.read().select(*[F.col(n).alias(f"__{n}") for n in (*LEVELS, "epochs", "cut", "last")])
+    place = _md5(F.col("__epochs"), seed, key)
     bucket = F.conv(F.substring("__place", 1, 3), 16, 10).cast("int")
     at = F.struct(F.col("__place").alias("place"), F.coalesce(F.col(key), F.lit(-(1 << 62))).alias("k"))
-    taken = F.col("cut").isNull() | (F.col("__bucket") < F.col("cut")) | (
-        (F.col("__bucket") == F.col("cut")) & F.coalesce(at <= F.col("last"), F.lit(False))
+    taken = F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut")) | (
+        (F.col("__bucket") == F.col("__cut")) & F.coalesce(at <= F.col("__last"), F.lit(False))
     )
+    times = F.col("__epochs") + F.when(taken & (F.col("__epochs") < max_epochs), 1).otherwise(0)
     return (
-        joined.withColumn("__place", place)
+        kept.join(ends, [f"__{n}" for n in LEVELS])
+        .withColumn("__place", place)
         .withColumn("__bucket", bucket)
-        .withColumn("mix_epochs", F.col("epochs") + F.when(taken & (F.col("epochs") < max_epochs), 1).otherwise(0))
-        .where("mix_epochs > 0")
-        .select(*docs.columns, F.col("__domain").alias("mix_domain"), F.col("__tokens").alias("mix_tokens"), F.col("mix_epochs").cast("long"))
+        .withColumn("__times", times.cast("long"))
+        .where("__times > 0")
+        .select(
+            *[F.col(f"`{c}`") for c in docs.columns],
+            F.col("__domain").alias("mix_domain"),
+            F.col("__tokens").alias("mix_tokens"),
+            F.col("__times").alias("mix_epochs"),
+        )
     )
