@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import delete_path, mix64, utf8_rows
+from docquarry.llm.common import Written, mix64, utf8_rows
 from docquarry.llm.suffix_sort import permuted_prefixes, suffix_array
 from docquarry.session import scratch_path
 
@@ -145,7 +145,8 @@ def _find_runs(width: int, shards: int):
         if len(keys):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys.to_numpy() % shards, pa.int32()), pa.nulls(len(keys), pa.binary()), keys, runs,
+                    pa.array(keys.to_numpy() % shards + shards, pa.int32()), pa.nulls(len(keys), pa.binary()),
+                    keys, runs,
                 ],
                 names=["shard", "blob", "k", "runs"],
             )
@@ -208,11 +209,20 @@ def _find_runs(width: int, shards: int):
     return run
 
 
+def _flat(group: pa.Table, lists: str, name: str) -> pa.Table:
+    """The rows of *group* with a list, one row for each of its values."""
+    held = group.filter(group.column(lists).is_valid()).combine_chunks()
+    if not held.num_rows:
+        return pa.table({"k": pa.array([], pa.int64()), name: pa.array([], pa.int64())})
+    values = held.column(lists).chunk(0)
+    return pa.table({"k": held.column("k").take(values.value_parent_indices()), name: values.flatten()})
+
+
 def _repeated_runs(group: pa.Table) -> pa.Table:
     """Shard side of step 2: runs whose anchor is in two texts."""
     blobs = group.column("blob").drop_null()
     records = np.concatenate([np.zeros(0, _RECORD), *[np.frombuffer(b.as_buffer(), _RECORD) for b in blobs]])
-    passed = group.filter(group.column("runs").is_valid()).select(["k", "runs"])
+    passed = _flat(group, "runs", "run")
     if not len(records):
         return passed
     records = records[np.argsort(records["anchor"], kind="stable")]
@@ -220,12 +230,9 @@ def _repeated_runs(group: pa.Table) -> pa.Table:
     twice, _ = _in_two(records["anchor"], rows)
     keep = twice & (rows != SOMEWHERE)
     start = records["start"][keep].astype(np.int64) | records["high"][keep].astype(np.int64) << 32
-    shard = np.full(len(start), 0, np.int64)
-    # records and passed runs share a shard number only by chance: take it from a record's own
-    number = [s.as_py() for s, b in zip(group.column("shard"), group.column("blob"), strict=True) if b.is_valid]
-    shard[:] = number[0]
-    keys, runs = _grouped(rows[keep], _pack(start, shard, records["length"][keep]))
-    return pa.concat_tables([passed, pa.table({"k": keys, "runs": runs})])
+    shard = np.full(len(start), group.column("shard")[0].as_py(), np.int64)
+    run = _pack(start, shard, records["length"][keep])
+    return pa.concat_tables([passed, pa.table({"k": rows[keep], "run": run})])
 
 
 _SEGMENT = np.dtype([("id", "<i8"), ("row", "<i8"), ("start", "<i8"), ("length", "u1")])
@@ -271,7 +278,7 @@ def _send_segments(width: int, shards: int):
         keys, spans = _spans(gone)
         if len(keys):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.to_numpy() % shards, pa.int32()), pa.nulls(len(keys), pa.binary()), keys, spans],
+                [pa.array(keys.to_numpy() % shards + shards, pa.int32()), pa.nulls(len(keys), pa.binary()), keys, spans],
                 names=["shard", "blob", "k", "spans"],
             )
 
@@ -281,14 +288,13 @@ def _send_segments(width: int, shards: int):
         for batch in batches:
             for k, ident, text, runs in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_rows(batch.column(2)),
-                batch.column(3), strict=True,
+                batch.column(3).to_pylist(), strict=True,
             ):
-                for part in runs.values.to_pylist() if isinstance(runs.values, pa.ListArray) else [runs.values.to_pylist()]:
-                    for packed in part or ():
-                        start, shard, length = packed >> 28, packed >> 8 & 0xFFFFF, packed & 0xFF
-                        segment = text[start : start + length + width - 1]
-                        by_shard.setdefault(shard, []).append((segment, ident, k, start))
-                        held += len(segment) + 150
+                for packed in runs:
+                    start, shard, length = packed >> 28, packed >> 8 & 0xFFFFF, packed & 0xFF
+                    segment = text[start : start + length + width - 1]
+                    by_shard.setdefault(shard, []).append((segment, ident, k, start))
+                    held += len(segment) + 150
                 if held > FLUSH_SEGMENT_BYTES:
                     yield from flush(by_shard)
                     by_shard, held = {}, 0
@@ -322,7 +328,7 @@ def _shard_spans(width: int):
     """Shard side of step 3."""
 
     def found(group: pa.Table) -> pa.Table:
-        passed = group.filter(group.column("spans").is_valid()).select(["k", "spans"])
+        passed = _flat(group, "spans", "span")
         segments: list[tuple[bytes, int, int, int]] = []
         unpack = zstandard.ZstdDecompressor()
         for blob in group.column("blob").drop_null():
@@ -344,8 +350,8 @@ def _shard_spans(width: int):
         for text, _, row, start in stay:
             edge = np.flatnonzero(np.diff(np.concatenate(([0], masks[text].view(np.int8), [0]))))
             gone += [(row, start + a, b - a + width - 1) for a, b in edge.reshape(-1, 2).tolist()]
-        keys, spans = _spans(gone)
-        return pa.concat_tables([passed, pa.table({"k": keys, "spans": spans})])
+        rows = np.array(gone, np.int64).reshape(-1, 3)
+        return pa.concat_tables([passed, pa.table({"k": rows[:, 0], "span": rows[:, 1] << 16 | rows[:, 2]})])
 
     return found
 
@@ -365,7 +371,7 @@ def _cut(width: int, keep_bytes: bool):
                 if copy and len(text) >= width:
                     kept, removed, spans = b"", len(text), 1
                 elif not copy and parts:
-                    packed = np.concatenate([np.array(p, np.int64) for p in parts])
+                    packed = np.array(parts, np.int64)
                     start, size = packed >> 16, packed & 0xFFFF
                     depth = np.zeros(len(text) + 1, np.int32)
                     np.add.at(depth, start, 1)
@@ -418,28 +424,26 @@ def suffix_dedup(
     state = texts.select("k", "digest", "ident").join(firsts, "digest").select(
         "k", F.col("first.k").alias("first_k"), (F.col("ident") > F.col("first.ident")).alias("copy")
     )
-    from docquarry.llm.common import Written
-
     rows = Written(state, "textrows")
     own = rows.read().where("k = first_k").select("k")
     found = (
         texts.select("k", "text").join(own.hint("shuffle_hash"), "k", "left_semi")
         .mapInArrow(_find_runs(width, shards), _FOUND)
         .groupBy("shard")
-        .applyInArrow(_repeated_runs, "k long, runs array<bigint>")
+        .applyInArrow(_repeated_runs, "k long, run long")
     )
     runs = Written(found, "runs")
-    lists = runs.read().groupBy("k").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    lists = runs.read().groupBy("k").agg(F.collect_list("run").alias("runs"))
     spans = Written(
         texts.select("k", "ident", "text").join(lists.hint("shuffle_hash"), "k")
         .select("k", "ident", "text", "runs")
         .mapInArrow(_send_segments(width, shards), _SPANS)
         .groupBy("shard")
-        .applyInArrow(_shard_spans(width), "k long, spans array<bigint>"),
+        .applyInArrow(_shard_spans(width), "k long, span long"),
         "spans",
     )
     runs.delete()
-    removed = spans.read().groupBy(F.col("k").alias("first_k")).agg(F.collect_list("spans").alias("spans"))
+    removed = spans.read().groupBy(F.col("k").alias("first_k")).agg(F.collect_list("span").alias("spans"))
     of_row = rows.read().join(removed, "first_k", "left").select("k", "copy", "spans")
     return (
         texts.select("k", "doc_id", "text").join(of_row.hint("shuffle_hash"), "k")
@@ -447,8 +451,3 @@ def suffix_dedup(
         .mapInArrow(_cut(width, keep_bytes), f"doc_id {docs.schema[key].dataType.simpleString()}, {RESULT}")
     )
 
-
-def forget_texts(spark, name: str, path: str) -> None:
-    """Drop the written texts of a finished run."""
-    spark.sql(f"drop table if exists {name}")
-    delete_path(spark, path)
