@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import mix64, utf8_rows
@@ -80,47 +80,37 @@ class Features:
         return np.unique(np.concatenate(found) >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
-def class_counts(labelled: DataFrame, make: Callable[[], Features], classes: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents per class that have each feature, ``[classes, 2**bits]``, and documents per class.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, keep: Column | None = None
+) -> tuple[DataFrame, np.ndarray]:
+    """``(key, text, grade)`` of at most *per_class* documents of label 0 and of 1, and the labels' counts.
 
-    Every task adds up its own rows and sends its non-zero counts; Spark adds the tasks' counts.
-    The result has at most ``classes * 2**bits`` rows whatever the input.
+    Labels are chosen by their smallest seeded hashes among those that *keep*, before any text is
+    read, so the chosen keys, 2 * *per_class* at most, go to the texts and no text is shuffled for it.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = make()
-        counts = np.zeros((classes, (1 << bits) + 1), np.int64)
-        for batch in batches:
-            grades = batch.column(0).to_numpy()
-            for grade, text in zip(grades, utf8_rows(batch.column(1)), strict=True):
-                counts[grade, features(text)] += 1
-                counts[grade, -1] += 1
-        at = np.flatnonzero(counts.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["at", "n"])
-
-    sums = (
-        labelled.select(F.col("grade").cast("int"), "text")
-        .mapInArrow(run, "at long, n long")
-        .groupBy("at")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
+    known = labels.where(F.col(label).isin(0, 1)).select(
+        F.col("doc_id").alias("key"), F.col(label).cast("int").alias("grade")
     )
-    counts = np.zeros(classes * ((1 << bits) + 1), np.int64)
-    counts[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    counts = counts.reshape(classes, -1)
-    return counts[:, :-1], counts[:, -1]
-
-
-def bounded_sample(labelled: DataFrame, per_class: int, key: str, seed: int) -> DataFrame:
-    """At most *per_class* rows of every grade, those of the smallest seeded hashes.
-
-    Spark cuts the ranking in every task before the shuffle, so a large class costs *per_class* rows
-    per task.
-    """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("grade").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return labelled.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).drop("r")
+    if keep is not None:
+        known = known.where(keep)
+    known = known.distinct()
+    found = dict(known.groupBy("grade").count().collect())
+    chosen = [
+        known.where(F.col("grade") == grade).orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(per_class)
+        for grade in (0, 1)
+    ]
+    picked = F.broadcast(chosen[0].union(chosen[1]))
+    texts = docs.select(F.col("doc_id").alias("key"), "text").join(picked, "key")
+    # a document that stands in several rows counts once
+    return texts.dropDuplicates(["key", "grade"]), np.array([found.get(0, 0), found.get(1, 0)])
+
+
+def class_counts(grades: np.ndarray, rows: list[np.ndarray], classes: int, bits: int) -> np.ndarray:
+    """Documents per class that have each feature."""
+    counts = np.zeros((classes, 1 << bits), np.int64)
+    for grade, columns in zip(grades, rows, strict=True):
+        counts[grade, columns] += 1
+    return counts
 
 
 def sample_features(sample: DataFrame, make: Callable[[], Features]) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -1,10 +1,9 @@
 """Quality classifier: naive Bayes support vectors.
 
-Indicators of n-grams are scaled by the log-count ratio of the classes, counted over all labelled
-rows of the training folds; a linear model with hinge loss is then fitted on them by dual coordinate
-descent, interpolated with the plain ratio's sign and turned into a probability by a logistic curve.
-The fit uses at most ``per_class`` rows of each class (a documented bound, chosen by a seeded hash);
-counting, ratios and scoring cover every row and whole texts.
+Indicators of n-grams are scaled by the log-count ratio of the classes; a linear model with hinge
+loss is then fitted on them by dual coordinate descent and turned into a probability by a logistic
+curve. The fit, ratios included, uses at most ``per_class`` labelled rows of each class (a documented
+bound; rows are chosen by a seeded hash). Scoring covers every row and whole texts.
 
 The model is two vectors of 2**18 columns, the only data sent to the tasks.
 
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import fold, utf8_rows
-from docquarry.llm.linear import BITS, Features, bounded_sample, class_counts, sample_features
+from docquarry.llm.linear import BITS, Features, class_counts, labelled_sample, sample_features
 
 FOLDS = 4
 HELD_OUT = 2
@@ -104,17 +103,21 @@ def logistic_curve(margins: np.ndarray, positive: np.ndarray, weight: np.ndarray
     return float(a), float(b)
 
 
-def fit_quality(labelled: DataFrame, per_class: int = PER_CLASS, seed: int = SEED) -> QualityModel:
-    """Model from ``(key, text, grade)`` with grades 0 and 1."""
-    counts, sizes = class_counts(labelled, quality_features, 2, BITS)
-    if not sizes.all():
+def fit_quality(sample: DataFrame, sizes: np.ndarray | None = None, seed: int = SEED) -> QualityModel:
+    """Model from a bounded *sample* ``(key, text, grade)`` with grades 0 and 1.
+
+    *sizes* are the documents per class it stands for, by default its own.
+    """
+    grades, rows = sample_features(sample, quality_features)
+    own = np.bincount(grades, minlength=2)
+    sizes = own if sizes is None else sizes
+    if not own.all():
         share = (sizes[1] + 0.5) / (sizes.sum() + 1.0)
         return QualityModel(np.zeros(1 << BITS), 0.0, 1.0, float(np.log(share / (1 - share))))
+    counts = class_counts(grades, rows, 2, BITS)
     ratio = log_count_ratio(counts)
     # a column that a handful of documents have says nothing about others
     ratio[counts.sum(axis=0) < 5] = 0.0
-    grades, rows = sample_features(bounded_sample(labelled, per_class, "key", seed), quality_features)
-    rows = [r[ratio[r] != 0.0] if len(r) else r for r in rows]
     values = [ratio[r] / np.sqrt(len(r) + 1.0) for r in rows]
     y = np.where(grades == 1, 1.0, -1.0)
     shares = np.array([(y < 0).mean(), (y > 0).mean()])
@@ -132,13 +135,10 @@ def fit_quality(labelled: DataFrame, per_class: int = PER_CLASS, seed: int = SEE
     return QualityModel(final.weights.astype(np.float32), bias, slope, offset)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """``(key, text, grade)`` of the labelled documents outside the held-out fold."""
-    known = labels.where(F.col(label).isNotNull()).select(
-        F.col("doc_id").alias("key"), F.col(label).cast("int").alias("grade")
-    )
-    texts = docs.select(F.col("doc_id").alias("key"), "text").where(fold("doc_id", folds) != held_out)
-    return texts.join(known, "key")
+def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = SEED) -> QualityModel:
+    """Model from ``labels.quality``, of documents outside the held-out fold only."""
+    sample, sizes = labelled_sample(docs, labels, "quality", per_class, seed, fold("key", FOLDS) != HELD_OUT)
+    return fit_quality(sample, sizes, seed)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, accept: float = ACCEPT) -> DataFrame:

@@ -74,8 +74,7 @@ def op7_embedding_links(spark: SparkSession, folder: str) -> DataFrame:
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document."""
     docs = table(spark, folder, "documents")
-    labelled = quality.training_rows(docs, read_table(spark, folder, "labels"), "quality")
-    scored = quality.score_quality(docs, quality.fit_quality(labelled))
+    scored = quality.score_quality(docs, quality.learn_quality(docs, read_table(spark, folder, "labels")))
     held_out = fold("doc_id", quality.FOLDS) == quality.HELD_OUT
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 

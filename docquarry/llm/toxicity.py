@@ -3,11 +3,10 @@
 P(grade > k) = sigmoid(w.x - t_k): the grades share the weights w and differ in their ordered
 thresholds t_1 <= t_2 only. The expected severity is the sum of P(grade > k).
 
-Labels are yes or no; the grades of a training text come from them and from corpus counts: 0 for
-no; for yes 1 or 2, by the density of marker features in the text (features whose log-count ratio,
-over all labelled rows, exceeds ``MARK``), cut at the median of the labelled toxic rows of the
-sample. The model is fitted on at most ``per_class`` rows per label (a documented bound, chosen by
-a seeded hash); counts and scores cover all rows and whole texts.
+Labels are yes or no; the grades of a training text are 0 for no, and for yes 1 or 2, by its number
+of marker features (those whose log-count ratio exceeds ``MARK``), cut at the median of the toxic
+texts. The model is fitted on at most ``per_class`` rows per label (a documented bound; rows are chosen by
+a seeded hash). Scores cover all rows and whole texts.
 
 Null and empty texts have no features and score by the thresholds. Null labels are left out.
 Repeated ids and extra columns are allowed. Without both labels every severity is the share of
@@ -22,10 +21,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docquarry.llm.common import utf8_rows
-from docquarry.llm.linear import BITS, Features, bounded_sample, class_counts, sample_features
+from docquarry.llm.linear import BITS, Features, class_counts, labelled_sample, sample_features
 
 PER_CLASS = 4_000
 MARK = 3.0
@@ -106,17 +104,21 @@ def fit_ordinal(
     return w * scale, thresholds()
 
 
-def fit_toxicity(labelled: DataFrame, per_class: int = PER_CLASS, seed: int = SEED) -> ToxicityModel:
-    """Model from ``(key, text, grade)`` with grades 0 (clean) and 1 (toxic)."""
-    counts, sizes = class_counts(labelled, toxicity_features, 2, BITS)
-    if not sizes.all():
+def fit_toxicity(sample: DataFrame, sizes: np.ndarray, seed: int = SEED) -> ToxicityModel:
+    """Model from a bounded *sample* ``(key, text, grade)`` with grades 0 (clean) and 1 (toxic).
+
+    *sizes* are the documents per label that it stands for.
+    """
+    labels, rows = sample_features(sample, toxicity_features)
+    own = np.bincount(labels, minlength=2)
+    if not own.all():
         share = sizes[1] / max(1, sizes.sum())
         odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return ToxicityModel(np.zeros(1 << BITS), np.array([-odds, 700.0]))
-    shares = (counts + 0.5) / (sizes[:, None] + 1.0)
+    counts = class_counts(labels, rows, 2, BITS)
+    shares = (counts + 0.5) / (own[:, None] + 1.0)
     ratio = np.log(shares[1] / shares[0])
     ratio[counts.sum(axis=0) < 3] = 0.0
-    labels, rows = sample_features(bounded_sample(labelled, per_class, "key", seed), toxicity_features)
     # only columns that tell the labels apart carry weight
     scale = np.where(np.abs(ratio) > 1.0, np.minimum(np.abs(ratio), 5.0) / 2.0, 0.0)
     rows = [r[scale[r] > 0] if len(r) else r.astype(np.int64) for r in rows]
@@ -156,8 +158,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, flag: float = FLAG) ->
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """Severity of every document, learned from ``labels.toxic``."""
-    known = labels.where(F.col("toxic").isNotNull()).select(
-        F.col("doc_id").alias("key"), F.col("toxic").cast("int").alias("grade")
-    )
-    labelled = docs.select(F.col("doc_id").alias("key"), "text").join(known, "key")
-    return score_toxicity(docs, fit_toxicity(labelled, per_class))
+    sample, sizes = labelled_sample(docs, labels, "toxic", per_class, SEED)
+    return score_toxicity(docs, fit_toxicity(sample, sizes))
