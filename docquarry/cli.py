@@ -89,7 +89,7 @@ def run(args, spark, out=None) -> int:
         else:
             result = engine.index_directory(args.folder, args.force)
         show([{"success": result.success, **result.counts}])
-        show(rows(result.errors.limit(100)))
+        show(row.asDict(recursive=True) for row in result.errors.toLocalIterator())
         return 0 if result.success else 1
     if args.command == "clear":
         if args.all:

@@ -29,9 +29,10 @@ DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 PPTX = "application/vnd.openxmlformats-officedocument.presentationml.presentation"
 XLSX = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
 
-# Other registered extensions are known, and not supported; only unregistered ones are sniffed.
+# Other registered extensions are known, and not supported; only unregistered ones are sniffed. The
+# table is the one Python ships: a fresh instance does not read the files of a machine.
 BY_EXTENSION = {
-    **mimetypes.types_map,
+    **mimetypes.MimeTypes(filenames=()).types_map[True],
     **{ext: mime for mime, exts in SUPPORTED.items() for ext in exts},
 }
 

@@ -72,8 +72,27 @@ def char_windows(df: DataFrame, text: str = "text", size: int = 500, overlap: in
     )
 
 
-def token_windows(df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+# Characters per token of the models whose windows are arithmetic.
+CHARACTERS = {"chars": 1, "chars4": 4}
+
+
+def token_windows(
+    df: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200, model: str = "words"
+) -> DataFrame:
     """Windows of *size* tokens every ``size - overlap`` until one reaches the end."""
+    if model in CHARACTERS:
+        unit = CHARACTERS[model]
+        last = F.greatest(F.lit(0), F.length(text) - overlap * unit - 1)
+        starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), last, F.lit((size - overlap) * unit)))
+        placed = unnest(df.withColumn("__starts", starts), F.col("__starts"))
+        windows = placed.select(
+            *df.columns,
+            F.col("pos").alias("chunk_index"),
+            F.size("__starts").alias("chunk_total"),
+            F.substring(F.col(text), F.col("col") + 1, F.lit(size * unit)).alias("content"),
+        )
+        return first_positions(windows, text)
+
     def windows_of(tokens: Column) -> Column:
         last = F.greatest(F.lit(0), F.size(tokens) - overlap - 1)
         starts = F.sequence(F.lit(0), last, F.lit(size - overlap))
@@ -229,7 +248,7 @@ def split_documents(
 
         routed = routed.withColumn("heading_hierarchy", F.lit(None).cast(HEADINGS))
     tokens = F.col("text_splitter") == "token_splitter"
-    out = token_windows(routed.where(tokens), text, size, overlap).withColumn(
+    out = token_windows(routed.where(tokens), text, size, overlap, model).withColumn(
         "headers", F.lit(None).cast("array<string>")
     )
     out = out.unionByName(

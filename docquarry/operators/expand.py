@@ -6,8 +6,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
+
+# Rows go back in parts of about this many characters, far below what an Arrow column can hold.
+PART_CHARACTERS = 64 << 20
+
+
+def _size(row: tuple) -> int:
+    return sum(len(value) for value in row if isinstance(value, (str, bytes, list)))
 
 
 def expand_rows(
@@ -15,25 +23,29 @@ def expand_rows(
 ) -> DataFrame:
     """Append the columns *fields* (DDL); each input row yields one row per tuple of *fn*.
 
-    *fn* gets the values of *inputs*. The other columns are carried as Arrow arrays.
+    *fn* gets the values of *inputs*. The tuples of a row come back as one list beside the row, whose
+    other columns cross once; the list is exploded in the JVM, where unused columns are pruned.
     """
     added = StructType.fromDDL(fields)
-    out = StructType(df.schema.fields + added.fields)
-    arrow = to_arrow_schema(added)
+    out = StructType([*df.schema.fields]).add("__rows", ArrayType(added))
+    kind = to_arrow_schema(out).field("__rows").type
+
+    def part(batch: pa.RecordBatch, lists: list[list[dict]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, kind)], names=out.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            origin: list[int] = []
-            rows: list[tuple] = []
             values = [batch.column(name).to_pylist() for name in inputs]
+            lists: list[list[dict]] = []
+            start = held = 0
             for i, args in enumerate(zip(*values, strict=True)):
-                before = len(rows)
-                rows.extend(fn(*args))
-                origin.extend([i] * (len(rows) - before))
-            taken = batch.take(pa.array(origin, pa.int64()))
-            made = [
-                pa.array([row[j] for row in rows], arrow.field(j).type) for j in range(len(added))
-            ]
-            yield pa.RecordBatch.from_arrays(taken.columns + made, names=out.names)
-
-    return df.mapInArrow(run, out)
+                rows = list(fn(*args))
+                lists.append([dict(zip(added.names, row, strict=True)) for row in rows])
+                held += sum(map(_size, rows))
+                if held > PART_CHARACTERS:
+                    yield part(batch.slice(start, i + 1 - start), lists)
+                    lists, start, held = [], i + 1, 0
+            if lists:
+                yield part(batch.slice(start), lists)
+
+    return df.mapInArrow(run, out).select(*[F.col(f"`{c}`") for c in df.columns], F.inline("__rows"))

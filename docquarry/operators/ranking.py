@@ -89,6 +89,7 @@ class _Leaders:
         by_tie = pc.sort_indices(ties, sort_keys=[("", order)]) if len(ties) else pa.array([], pa.int64())
         by_tie = by_tie.to_numpy()
         scores = np.round(scores[by_tie], SCORE_DECIMALS)
+        scores = np.where(np.isfinite(scores), scores, -np.inf)
         chosen = best_rows(scores, self.k)
         new_scores = np.take_along_axis(scores, chosen.T, axis=0).T
         new_ids = _values(ids)[by_tie][chosen]

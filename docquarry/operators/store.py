@@ -310,8 +310,9 @@ class DocumentStore:
         limit: int | None = None,
         *,
         mode: str = "terms",
-        limit_first: bool = True,
+        limit_first: bool = False,
     ) -> DataFrame:
+        """Chunks that match; *limit_first* takes the first chunks and filters those only."""
         match = None
         if query:
             test = has_all_terms if mode == "terms" else contains_text

@@ -72,40 +72,9 @@ def prompt_render(spark, folder):
     return asked.select("qid", F.md5(prompt).alias("prompt_md5"))
 
 
-def _chat_sql(style: str, text: str) -> str:
-    cases = []
-    for groups, reply in A.CHAT_RULES[style]:
-        test = " AND ".join(
-            "(" + " OR ".join(f"contains(lower({text}), '{word}')" for word in group) + ")" for group in groups
-        )
-        escaped = reply.replace("'", "''")
-        cases.append(f"WHEN {test} THEN '{escaped}'")
-    default = "'" + A.CHAT_DEFAULTS[style].replace("'", "''") + "'"
-    if style == "topic":
-        default += f" || lower({text})"
-    return "CASE " + " ".join(cases) + f" ELSE {default} END"
-
-
-@query(
-    f"""SELECT conv_id, turn, {_chat_sql("topic", "message")} AS topic, {_chat_sql("facts", "message")} AS facts
-        FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Question: ' WHEN 'system' THEN 'Who created Python? '
-                 ELSE 'Summarize: ' END || text AS message FROM conversations)"""
-)
-def canned_answers(spark, folder):
-    """Both deterministic chat stand-ins on every turn."""
-    lead = (
-        F.when(F.col("role") == "user", "Question: ")
-        .when(F.col("role") == "system", "Who created Python? ")
-        .otherwise("Summarize: ")
-    )
-    turns = read_table(spark, folder, "conversations").withColumn("message", F.concat(lead, "text"))
-    message = F.col("message")
-    return turns.select(
-        "conv_id",
-        "turn",
-        A.canned_answer(message, "topic").alias("topic"),
-        A.canned_answer(message, "facts").alias("facts"),
-    )
+def repeat_prompt(batches):
+    """A chat model that repeats what it is asked."""
+    return ["Asked: " + messages[-1]["content"] for messages in batches]
 
 
 @query(
@@ -251,7 +220,7 @@ def _answers_sql() -> str:
                   FROM ranked GROUP BY qid)
       SELECT qid, question, reply || chr(10) || chr(10) || 'Sources:' AS answer, sources, num_sources,
              num_documents_retrieved
-      FROM (SELECT *, {_chat_sql("topic", "prompt")} AS reply FROM (SELECT *, {_prompt_sql()} AS prompt FROM prompts))
+      FROM (SELECT *, 'Asked: ' || prompt AS reply FROM (SELECT *, {_prompt_sql()} AS prompt FROM prompts))
            JOIN listed USING (qid)"""
 
 
@@ -261,7 +230,7 @@ def answer_questions(spark, folder):
     """From documents and questions to cited answers, in one plan."""
     chunks, vectors, model = indexed(spark, folder)
     answers = answering.answer_questions(
-        questions(spark, folder), chunks, vectors, model, SearchSettings(k=4), now=0.0
+        questions(spark, folder), chunks, vectors, model, SearchSettings(k=4), now=0.0, chat=repeat_prompt
     )
     shown = F.transform("sources", lambda s: F.concat_ws("|", s["path"], s["type"], s["excerpt"]))
     return answers.select(
@@ -277,7 +246,7 @@ def answer_questions(spark, folder):
 @query(
     f"""WITH {_PACKED}
         SELECT item_id AS qid, CASE WHEN n > 0
-               THEN {_chat_sql("topic", "text")} ELSE '{A.NOTHING_FOUND}' END AS answer,
+               THEN 'Asked: ' || text ELSE '{A.NOTHING_FOUND}' END AS answer,
                coalesce(n, 0) AS num_documents_retrieved
         FROM benchmark LEFT JOIN (SELECT qid, count(*) AS n FROM packed GROUP BY qid) c ON c.qid = item_id""",
     ("tokens", "bm25"),
@@ -287,7 +256,7 @@ def answer_fallbacks(spark, folder):
     packed = packed_context(spark, folder).withColumn("source_type", F.lit("text"))
     lists = A.assemble(packed, "source", "source_type", "content")
     asked = questions(spark, folder).withColumnRenamed("text", "question").join(lists, "qid", "left")
-    replied = A.generate(asked, prompt="question")
+    replied = A.generate(asked, repeat_prompt, prompt="question")
     return A.finish_answers(replied, 0.0).select(
         "qid", "answer", F.col("num_documents_retrieved").cast("bigint").alias("num_documents_retrieved")
     )

@@ -64,9 +64,12 @@ class Tools:
     def tool_index_stats(self) -> dict:
         return rows(self.engine.stats())[0]
 
-    def tool_documents(self, limit: int = 1000) -> list[dict]:
-        """A page of the listing; read :meth:`Engine.documents` for all of it."""
-        return rows(self.engine.documents().limit(limit))
+    def tool_documents(self, after: str | None = None, limit: int = 1000) -> list[dict]:
+        """A page of the listing in path order; ``after`` is the last path of the page before."""
+        listed = self.engine.documents()
+        if after is not None:
+            listed = listed.where(F.col("file_path") > after)
+        return rows(listed.orderBy("file_path").limit(limit))
 
     def tool_get_document(self, path: str) -> dict | None:
         found = rows(self.engine.documents().where(F.col("file_path") == path).limit(1))

@@ -131,7 +131,7 @@ def get_document(spark: SparkSession, root: str, source_id: str) -> DataFrame:
     """One file, or no row when it is missing or unsupported."""
     location = resolve(root, source_id)
     files, path = _file_system(spark, location)
-    if not files.exists(path):
+    if not files.exists(path) or not files.getFileStatus(path).isFile():
         return describe(scan(spark, root).where(F.lit(False)))
     one = spark.read.format("binaryFile").load(location).withColumn("source_id", F.lit(source_id))
     return describe(one)
@@ -143,8 +143,8 @@ def get_documents(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
 
 
 def document_exists(spark: SparkSession, root: str, source_id: str) -> bool:
-    files, path = _file_system(spark, resolve(root, source_id))
-    return files.exists(path)
+    """Whether the id names a file of a supported type; a folder is none."""
+    return not get_document(spark, root, source_id).isEmpty()
 
 
 def document_metadata(spark: SparkSession, root: str) -> DataFrame:

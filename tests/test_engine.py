@@ -173,6 +173,7 @@ def test_scan(spark, tree):
     assert files.get_document(spark, tree, "sub/c.html").count() == 1
     assert files.get_document(spark, tree, "missing.txt").count() == 0
     assert files.document_exists(spark, tree, "a.txt") and not files.document_exists(spark, tree, "zz")
+    assert files.get_document(spark, tree, "sub").count() == 0 and not files.document_exists(spark, tree, "sub")
     wanted = spark.createDataFrame([("a.txt",), ("zz",)], "source_id string")
     assert files.get_documents(spark, tree, wanted).count() == 1
     assert files.document_metadata(spark, tree).where("source_id = 'b.md'").first()["size_bytes"] == 24

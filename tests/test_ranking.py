@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docquarry.operators import bm25 as B
-from docquarry.operators.ranking import best_rows, top_k_per_group
+from docquarry.operators.ranking import _Leaders, best_rows, top_k_per_group
 from docquarry.operators.search import nearest
 
 
@@ -107,3 +107,12 @@ def test_large_k_cuts_groups_twice(spark):
     df = spark.range(5000).select(F.lit(1).alias("g"), "id")
     rows = top_k_per_group(df, ["g"], [F.desc("id")], 1500).agg(F.count("*"), F.min("id"), F.max("rank")).first()
     assert tuple(rows) == (1500, 3500, 1500)
+
+
+def test_scores_that_are_no_numbers_are_left_out():
+    import pyarrow as pa
+
+    leaders = _Leaders(2, False)
+    ids = pa.array([1, 2, 3, 4])
+    leaders.add(ids, ids, np.array([[np.nan], [0.5], [np.inf], [0.25]]))
+    assert leaders.ids.tolist() == [[2, 4]]

@@ -126,3 +126,17 @@ def test_settings(monkeypatch):
     assert (found.size, found.overlap) == (300, 30)
     with pytest.raises(InvalidConfiguration):
         ChunkSettings(size=10, overlap=10)
+
+
+def test_one_long_text_with_many_chunks(spark):
+    body = "\n\n".join(f"paragraph {i} " + "word " * 480 for i in range(1_000))
+    df = spark.createDataFrame([(1, body)], "id int, text string")
+    chunks = chunking.recursive_chunks(df, size=500, overlap=0)
+    row = chunks.selectExpr("count(*) AS n", "sum(length(content)) AS size", "max(length(text)) AS whole").first()
+    assert row["n"] >= 1_000 and row["whole"] == len(body) and row["size"] > 0.95 * len(body)
+
+
+def test_token_windows_obey_the_model(spark):
+    df = spark.createDataFrame([("x" * 1_000,)], "text string")
+    sizes = {m: [len(r["content"]) for r in chunking.token_windows(df, size=100, overlap=0, model=m).collect()] for m in ("chars", "chars4")}
+    assert sizes == {"chars": [100] * 10, "chars4": [400, 400, 200]}

@@ -65,8 +65,8 @@ def test_search(kept):
     assert ids(kept.search_documents(metadata_filter={"type": "article"})) == ["d1", "d3"]
     assert ids(kept.search_documents(metadata_filter={"type": "article", "author": "a"})) == ["d3"]
     assert ids(kept.search_documents(limit=2)) == ["d1", "d2"]
-    assert ids(kept.search_documents(metadata_filter={"author": "a"}, limit=1)) == []
-    assert ids(kept.search_documents(metadata_filter={"author": "a"}, limit=1, limit_first=False)) == ["d2"]
+    assert ids(kept.search_documents(metadata_filter={"author": "a"}, limit=1, limit_first=True)) == []
+    assert ids(kept.search_documents(metadata_filter={"author": "a"}, limit=1)) == ["d2"]
     assert len(ids(kept.search_documents(limit=0))) == 3
 
 
