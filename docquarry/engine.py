@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,35 +32,39 @@ class Engine:
         chat: A.ChatModel | None = None,
         clock=None,
         steps: ingest.Transforms | None = None,
+        models: Mapping[str, E.Model] | None = None,
     ) -> None:
         self.spark = spark
         self.config = config
         self.model = model or E.native_model(config.embedding_model, config.embedding_dim)
+        self.models = models
         self.chat = chat
         self.clock = clock or SystemClock()
         self.steps = steps
         self.store = ST.DocumentStore(spark, config.data_dir, config.buckets)
 
     # indexing
-    def index(self, sources: DataFrame, force: bool = False) -> ingest.IngestResult:
-        """Index a ``sources`` frame."""
+    def index(self, sources: DataFrame, force: bool = False, load=None) -> ingest.IngestResult:
+        """Index a ``sources`` frame; *load* makes the texts of those that are stale."""
         return ingest.ingest(
             sources,
             self.store,
             self.config,
             model=self.model,
+            models=self.models,
             steps=self.steps,
             clock=self.clock,
             force=force,
+            load=load,
         )
 
     def index_directory(self, folder: str | None = None, force: bool = False) -> ingest.IngestResult:
         found = files.read_documents(self.spark, folder or self.config.documents_dir)
-        return self.index(self._loaded(found), force)
+        return self.index(found, force, self._loaded)
 
     def index_file(self, source_id: str, folder: str | None = None) -> ingest.IngestResult:
         found = files.get_document(self.spark, folder or self.config.documents_dir, source_id)
-        return self.index(self._loaded(found))
+        return self.index(found, load=self._loaded)
 
     def _loaded(self, found: DataFrame) -> DataFrame:
         loaded = loaders.load_documents(found, join_records=True)

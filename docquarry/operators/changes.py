@@ -40,13 +40,14 @@ def reindex_reasons(
     *,
     chunk_size: int,
     chunk_overlap: int,
-    model: str,
+    model: str | Column,
     model_version: str,
 ) -> DataFrame:
     """Add ``reason`` (null when the source is up to date) to every incoming source.
 
     Both sides have ``source_id, content_hash, last_modified``; *indexed* also has
-    ``chunk_size, chunk_overlap, embedding_model, embedding_model_version``.
+    ``chunk_size, chunk_overlap, embedding_model, embedding_model_version``. *model* may be a column
+    of the incoming side.
     """
     old = indexed.select(
         "source_id",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docquarry import schema as S
 from docquarry.functions.text import words
-from docquarry.session import cut_lineage
+from docquarry.session import Scratch, cut_lineage
 
 # ---------------------------------------------------------------- plain operators
 
@@ -192,13 +192,21 @@ def merge_metadata(old: Column, new: Column) -> Column:
 
 
 class BucketTable:
-    """A keyed parquet table, partitioned by the hash bucket of its key."""
+    """A keyed parquet table, partitioned by the hash bucket of *by*, its key unless given.
 
-    def __init__(self, spark: SparkSession, path: str, ddl: str, key: str, buckets: int) -> None:
+    Whatever concerns some values of *by* reads and rewrites their buckets only. Rows that replace
+    nothing are appended. A rewritten bucket holds one placeholder row that is not ``live``, so that
+    a bucket that lost all its rows is overwritten like the others.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, ddl: str, key: str, buckets: int, by: str | None = None
+    ) -> None:
         self.spark, self.path, self.ddl, self.key, self.buckets = spark, path, ddl, key, buckets
+        self.by = by or key
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(self.by), F.lit(self.buckets)).cast("int")
 
     def _stored(self) -> DataFrame:
         full = f"{self.ddl}, live boolean, bucket int"
@@ -208,31 +216,63 @@ class BucketTable:
             return S.empty(self.spark, full)
         return self.spark.read.schema(full).parquet(self.path)
 
+    def located(self) -> DataFrame:
+        """All rows with their ``bucket``, the partition column that joins and filters prune by."""
+        return self._stored().where("live").drop("live")
+
     def read(self) -> DataFrame:
-        return self._stored().where("live").drop("live", "bucket")
+        return self.located().drop("bucket")
+
+    def _buckets_of(self, values: DataFrame) -> list[int]:
+        """Buckets of some values of *by*; at most ``buckets`` rows reach the driver."""
+        return [r[0] for r in values.select(self._bucket()).distinct().collect()]
+
+    def of(self, owners: DataFrame) -> DataFrame:
+        """Rows whose *by* is in *owners*; only their buckets are read."""
+        rows = self.located().where(F.col("bucket").isin(self._buckets_of(owners)))
+        return rows.drop("bucket").join(owners.select(self.by), self.by, "left_semi")
+
+    def of_value(self, value: str) -> DataFrame:
+        """Rows of one value of *by*, from its bucket."""
+        held = self.spark.createDataFrame([(value,)], f"{self.by} string")
+        rows = self.located().where(F.col("bucket").isin(self._buckets_of(held)))
+        return rows.where(F.col(self.by) == value).drop("bucket")
 
     def get(self, ids: Sequence[str]) -> DataFrame:
-        """Rows of some ids; only their buckets are read."""
-        held = self.spark.createDataFrame([(i,) for i in ids], f"{self.key} string")
-        buckets = [r[0] for r in held.select(self._bucket()).distinct().collect()]
-        rows = self._stored().where(F.col("bucket").isin(buckets)).where("live")
-        return rows.where(F.col(self.key).isin(list(ids))).drop("live", "bucket")
-
-    def _merge(self, incoming: DataFrame) -> None:
-        """Replace the rows of *incoming* (with ``live``, unique keys) in their buckets."""
-        incoming = cut_lineage(incoming.withColumn("bucket", self._bucket()))
-        # at most `buckets` rows reach the driver
-        touched = [r[0] for r in incoming.select("bucket").distinct().collect()]
-        if not touched:
-            return
-        stored = self._stored()
-        if len(touched) < self.buckets:
-            stored = stored.where(F.col("bucket").isin(touched))
-        merged = upsert(stored, incoming, self.key)
+        """Rows of some keys; the filter reaches the scan, and the buckets where the key names them."""
+        rows = self.located()
+        if self.by == self.key:
+            held = self.spark.createDataFrame([(i,) for i in ids], f"{self.key} string")
+            rows = rows.where(F.col("bucket").isin(self._buckets_of(held)))
+        return rows.where(F.col(self.key).isin(list(ids))).drop("bucket")
+
+    def _write(self, incoming: DataFrame | None, gone: DataFrame, on: str) -> None:
+        """Remove the rows whose *on* is in *gone*, then add *incoming*; both are written tables."""
+        stored = self.located()
+        if on == self.by:
+            stored = stored.where(F.col("bucket").isin(self._buckets_of(gone)))
+        # two narrow columns decide which buckets hold a row to remove
+        held = stored.select(on, "bucket").join(gone, on, "left_semi").select("bucket").distinct()
+        rewrite = [r[0] for r in held.collect()]
+        rows = S.empty(self.spark, self.ddl) if incoming is None else incoming
+        placed = rows.withColumns({"live": F.lit(True), "bucket": self._bucket()})
+        if rewrite:
+            kept = self.located().where(F.col("bucket").isin(rewrite)).join(gone, on, "left_anti")
+            full = S.conform(kept.withColumn("live", F.lit(True)), f"{self.ddl}, live boolean, bucket int")
+            holders = self.spark.createDataFrame([(b, False) for b in rewrite], "bucket int, live boolean")
+            merged = (
+                full.unionByName(placed.where(F.col("bucket").isin(rewrite)))
+                .unionByName(S.conform(holders, f"{self.ddl}, live boolean, bucket int"))
+            )
+            self._save(merged, "overwrite")
+        if incoming is not None:
+            self._save(placed.where(~F.col("bucket").isin(rewrite)), "append")
+
+    def _save(self, rows: DataFrame, mode: str) -> None:
         (
             # rebalancing by bucket lets Spark split large buckets and join small ones at run time
-            merged.hint("rebalance", "bucket")
-            .write.mode("overwrite")
+            rows.hint("rebalance", "bucket")
+            .write.mode(mode)
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket")
             .parquet(self.path)
@@ -240,13 +280,20 @@ class BucketTable:
 
     def upsert(self, rows: DataFrame) -> None:
         """Insert or replace *rows*; their keys must be unique."""
-        self._merge(S.conform(rows, self.ddl).withColumn("live", F.lit(True)))
+        with Scratch(self.spark) as scratch:
+            incoming = scratch.cut(S.conform(rows, self.ddl))
+            self._write(incoming, incoming.select(self.key), self.key)
+
+    def replace(self, rows: DataFrame, owners: DataFrame) -> None:
+        """Put *rows* in the place of all rows whose *by* is in *owners*; both are written tables."""
+        self._write(S.conform(rows, self.ddl), owners.select(self.by).distinct(), self.by)
 
-    def delete(self, ids: DataFrame) -> None:
-        """Delete the rows whose key is in *ids*."""
-        gone = self.read().join(ids.select(self.key).distinct(), self.key, "left_semi")
-        marker = S.conform(gone.select(self.key), self.ddl).withColumn("live", F.lit(False))
-        self._merge(marker)
+    def delete(self, ids: DataFrame, on: str | None = None) -> None:
+        """Delete the rows whose key, or column *on*, is in *ids*."""
+        column = on or self.key
+        with Scratch(self.spark) as scratch:
+            gone = scratch.cut(ids.select(column).distinct())
+            self._write(None, gone, column)
 
     def clear(self) -> None:
         S.empty(self.spark, f"{self.ddl}, live boolean, bucket int").write.mode("overwrite").option(
@@ -254,16 +301,9 @@ class BucketTable:
         ).partitionBy("bucket").parquet(self.path)
 
     def purge(self, target: str) -> BucketTable:
-        """A compact copy without deletion markers at *target*."""
-        copy = BucketTable(self.spark, target, self.ddl, self.key, self.buckets)
-        (
-            self._stored()
-            .where("live")
-            .hint("rebalance", "bucket")
-            .write.mode("overwrite")
-            .partitionBy("bucket")
-            .parquet(target)
-        )
+        """A compact copy without placeholders and small files at *target*."""
+        copy = BucketTable(self.spark, target, self.ddl, self.key, self.buckets, self.by)
+        copy._save(self._stored().where("live"), "overwrite")
         return copy
 
 
@@ -273,8 +313,8 @@ class DocumentStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self.sources = BucketTable(spark, f"{self.root}/sources", S.SOURCES, "source_id", buckets)
-        self.chunks = BucketTable(spark, f"{self.root}/chunks", S.CHUNKS, "doc_id", buckets)
-        self.vectors = BucketTable(spark, f"{self.root}/vectors", S.VECTORS, "doc_id", buckets)
+        self.chunks = BucketTable(spark, f"{self.root}/chunks", S.CHUNKS, "doc_id", buckets, "source_id")
+        self.vectors = BucketTable(spark, f"{self.root}/vectors", S.VECTORS, "doc_id", buckets, "source_id")
         self.settings = BucketTable(spark, f"{self.root}/settings", S.SETTINGS, "key", 1)
 
     # documents
@@ -331,22 +371,15 @@ class DocumentStore:
         return listed.orderBy(F.desc("indexed_at"), "source_id")
 
     def get_source(self, source_id: str) -> DataFrame:
-        chunks = self.chunks.read().where(F.col("source_id") == source_id)
-        return source_list(self.sources.get([source_id]), chunks)
+        return source_list(self.sources.get([source_id]), self.chunks.of_value(source_id))
 
     def source_chunks(self, source_id: str) -> DataFrame:
-        return ordered_chunks(self.chunks.read().where(F.col("source_id") == source_id))
+        return ordered_chunks(self.chunks.of_value(source_id))
 
     def remove_sources(self, ids: DataFrame) -> None:
         """Delete sources, their chunks and their vectors."""
-        chunk_ids = cut_lineage(
-            self.chunks.read()
-            .join(ids.select("source_id").distinct(), "source_id", "left_semi")
-            .select("doc_id")
-        )
-        self.vectors.delete(chunk_ids)
-        self.chunks.delete(chunk_ids)
-        self.sources.delete(ids)
+        for table in (self.vectors, self.chunks, self.sources):
+            table.delete(ids, "source_id")
 
     def update_source_metadata(self, changes: DataFrame) -> None:
         """Merge ``(source_id, metadata)`` into known sources."""

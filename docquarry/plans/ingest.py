@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from docquarry.clock import SystemClock
 from docquarry.config import EngineConfig
 from docquarry.operators import changes, chunking, embed, metadata
 from docquarry.operators.store import DocumentStore, merge_metadata
-from docquarry.session import cut_lineage
+from docquarry.session import Scratch, cut_lineage
 
 Parser = Callable[[DataFrame], DataFrame]
 
@@ -44,6 +45,7 @@ class IngestResult:
         return self.counts["errors"] == 0
 
 
+COUNTERS = ("documents_loaded", "chunks_stored", "embeddings_reused", "vectors_stored", "errors")
 CHUNK_COLUMNS = (
     "source_id",
     "location",
@@ -118,14 +120,17 @@ def chunk_rows(chunks: DataFrame, config: EngineConfig, now: float) -> DataFrame
     )
 
 
+def chosen_model(config: EngineConfig) -> Column:
+    """Name of the model of a source, by its path."""
+    return embed.model_for_path(F.col("source_id"), config.model_map, config.embedding_model)
+
+
 def source_rows(sources: DataFrame, config: EngineConfig, now: float) -> DataFrame:
     """Rows of the ``sources`` table, with the settings they were indexed under."""
     settings = {
         "chunk_size": F.lit(config.chunks.size),
         "chunk_overlap": F.lit(config.chunks.overlap),
-        "embedding_model": embed.model_for_path(
-            F.col("source_id"), config.model_map, config.embedding_model
-        ),
+        "embedding_model": chosen_model(config),
         "embedding_model_version": F.lit(config.embedding_version),
         "tokenizer": F.lit(config.chunks.token_model),
         "text_splitter": chunking.splitter_name(F.col("content_type"), config.chunks.semantic),
@@ -164,16 +169,20 @@ def indexed_settings(stored: DataFrame) -> DataFrame:
 
 
 def stale_sources(sources: DataFrame, store: DocumentStore, config: EngineConfig) -> DataFrame:
-    """Sources that are new or whose content, settings or model changed, with ``reason``."""
+    """``(source_id, reason)`` of sources that are new or whose content, settings or model changed.
+
+    Only ids, hashes and times are compared; no text passes the join.
+    """
     judged = changes.reindex_reasons(
-        sources,
+        sources.select("source_id", "content_hash", "last_modified"),
         indexed_settings(store.sources.read()),
         chunk_size=config.chunks.size,
         chunk_overlap=config.chunks.overlap,
-        model=config.embedding_model,
+        model=chosen_model(config),
         model_version=config.embedding_version,
     )
-    return judged.where(F.col("reason").isNotNull())
+    stale = judged.where(F.col("reason").isNotNull())
+    return stale.groupBy("source_id").agg(F.min("reason").alias("reason"))
 
 
 def ordinals(vectors: DataFrame, first: int) -> DataFrame:
@@ -188,98 +197,126 @@ def ordinals(vectors: DataFrame, first: int) -> DataFrame:
     return ordered.withColumn("ordinal", F.lit(first) + F.monotonically_increasing_id())
 
 
+def embed_by_model(chunks: DataFrame, models: Mapping[str, embed.Model]) -> DataFrame:
+    """Vectors of *chunks*, each by the model that its column ``model`` names."""
+    parts = [
+        embed.embed(chunks.where(F.col("model") == name) if len(models) > 1 else chunks, model)
+        for name, model in models.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ingest(
     sources: DataFrame,
     store: DocumentStore,
     config: EngineConfig,
     *,
     model: embed.Model | None = None,
+    models: Mapping[str, embed.Model] | None = None,
     steps: Transforms | None = None,
     clock=None,
     force: bool = False,
+    load: Callable[[DataFrame], DataFrame] | None = None,
 ) -> IngestResult:
     """Index *sources* (with ``text``, optionally ``load_error``) into *store*.
 
-    Unchanged sources are skipped unless *force*. A changed source replaces its old chunks; vectors
-    of chunks whose text is unchanged are reused.
+    Unchanged sources are skipped unless *force*; *load* turns the others into texts, so nothing is
+    parsed before it is known to be needed. A changed source replaces its old chunks; vectors of
+    chunks with the same text and model are reused. *models* are those of ``config.model_map`` that
+    are not native; *model* is the default one.
     """
     now = (clock or SystemClock()).time()
-    model = model or embed.native_model(config.embedding_model, config.embedding_dim)
-    if "load_error" not in sources.columns:
-        sources = sources.withColumn("load_error", F.lit(None).cast("string"))
-    failed = sources.where(F.col("load_error").isNotNull() | F.col("text").isNull())
-    errors = failed.select(
-        F.lit("loading").alias("stage"),
-        F.lit("LoadError").alias("error_type"),
-        F.coalesce("load_error", F.lit("no text")).alias("error_message"),
-        "source_id",
-    )
-    usable = sources.where(F.col("load_error").isNull() & F.col("text").isNotNull())
-    wanted = (
-        usable.withColumn("reason", F.lit("forced"))
-        if force
-        else stale_sources(usable, store, config)
-    )
-    wanted = cut_lineage(wanted.drop("content") if "content" in wanted.columns else wanted)
-    chunks = cut_lineage(chunk_rows(transform(wanted, config, steps), config, now))
-
-    key = ["source_id", "chunk_hash"]
-    old = cut_lineage(
-        store.chunks.read()
-        .join(wanted.select("source_id"), "source_id", "left_semi")
-        .select("doc_id", *key)
-    )
-    reusable = (
-        store.vectors.read()
-        .join(old.select("doc_id", "chunk_hash"), "doc_id")
-        .groupBy(*key)
-        .agg(F.any_value("embedding").alias("embedding"))
-    )
-    same_model = wanted.where(F.col("reason").isin("content", "chunking", "modified"))
-    reused = chunks.join(same_model.select("source_id"), "source_id", "left_semi").join(
-        reusable, key
-    )
-    fresh = chunks.join(reused.select("doc_id"), "doc_id", "left_anti")
-    embedded = cut_lineage(
-        embed.embed(fresh.select("doc_id", "source_id", "content"), model)
-        .select("doc_id", "source_id", "embedding", "embedding_error", F.lit(False).alias("reused"))
-        .unionByName(
-            reused.select(
-                "doc_id",
-                "source_id",
-                "embedding",
-                F.lit(None).cast("string").alias("embedding_error"),
-                F.lit(True).alias("reused"),
+    named = {config.embedding_model: model or embed.native_model(config.embedding_model, config.embedding_dim)}
+    for name in config.model_map.values():
+        if name not in named:
+            given = (models or {}).get(name)
+            named[name] = given or embed.native_model(name, config.embedding_dim)
+    spark = sources.sparkSession
+    with Scratch(spark) as scratch:
+        if force:
+            wanted = sources.withColumn("reason", F.lit("forced"))
+        else:
+            stale = scratch.cut(stale_sources(sources, store, config))
+            if stale.isEmpty():
+                return IngestResult(dict.fromkeys(COUNTERS, 0), S.empty(spark, S.ERRORS))
+            wanted = sources.join(stale, "source_id")
+        if load:
+            wanted = load(wanted)
+        if "load_error" not in wanted.columns:
+            wanted = wanted.withColumn("load_error", F.lit(None).cast("string"))
+        loaded = scratch.cut(wanted.drop("content") if "content" in wanted.columns else wanted)
+        unusable = F.col("load_error").isNotNull() | F.col("text").isNull()
+        errors = loaded.where(unusable).select(
+            F.lit("loading").alias("stage"),
+            F.lit("LoadError").alias("error_type"),
+            F.coalesce("load_error", F.lit("no text")).alias("error_message"),
+            "source_id",
+        )
+        usable = loaded.where(~unusable)
+        owners = usable.select("source_id")
+        chunks = scratch.cut(
+            chunk_rows(transform(usable, config, steps), config, now).withColumn("model", chosen_model(config))
+        )
+
+        key = ["source_id", "chunk_hash", "model"]
+        kept = (
+            store.vectors.of(owners)
+            .select("doc_id", "model", "embedding")
+            .join(store.chunks.of(owners).select("doc_id", "source_id", "chunk_hash"), "doc_id")
+            .groupBy(*key)
+            .agg(F.any_value("embedding").alias("embedding"))
+        )
+        if force:
+            kept = kept.where(F.lit(False))
+        # names of models are stored with their version, so another version is another model
+        versioned = F.concat_ws(":", "model", F.lit(config.embedding_version))
+        asked = chunks.select("doc_id", "source_id", "content", "model", "chunk_hash")
+        matched = scratch.cut(
+            asked.withColumn("named", F.col("model"))
+            .withColumn("model", versioned)
+            .join(kept, key, "left")
+            .select(
+                "doc_id", "source_id", F.col("named").alias("model"), "embedding",
+                F.when(F.col("embedding").isNull(), F.col("content")).alias("content"),
             )
         )
-    )
-    errors = errors.unionByName(
-        embedded.where(F.col("embedding_error").isNotNull()).select(
-            F.lit("embedding").alias("stage"),
-            F.lit("EmbeddingError").alias("error_type"),
-            F.col("embedding_error").alias("error_message"),
-            "source_id",
+        columns = ["doc_id", "source_id", "model", "embedding", "embedding_error", "reused"]
+        fresh = embed_by_model(matched.where(F.col("embedding").isNull()).drop("embedding"), named)
+        reused = matched.where(F.col("embedding").isNotNull()).withColumn(
+            "embedding_error", F.lit(None).cast("string")
+        )
+        embedded = scratch.cut(
+            fresh.withColumn("reused", F.lit(False)).select(*columns)
+            .unionByName(reused.withColumn("reused", F.lit(True)).select(*columns))
+        )
+        errors = cut_lineage(
+            errors.unionByName(
+                embedded.where(F.col("embedding_error").isNotNull()).select(
+                    F.lit("embedding").alias("stage"),
+                    F.lit("EmbeddingError").alias("error_type"),
+                    F.col("embedding_error").alias("error_message"),
+                    "source_id",
+                )
+            )
+        )
+        vectors = embedded.where(F.col("embedding").isNotNull()).drop("reused")
+        last = store.vectors.read().agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).first()[0]
+        store.chunks.replace(chunks, owners)
+        store.vectors.replace(scratch.cut(ordinals(vectors.withColumn("model", versioned), last)), owners)
+        store.sources.replace(source_rows(usable, config, now), owners)
+        counts = embedded.agg(
+            F.count_if("reused").alias("reused"), F.count("embedding").alias("vectors")
+        ).first()
+        return IngestResult(
+            {
+                "documents_loaded": usable.count(),
+                "chunks_stored": chunks.count(),
+                "embeddings_reused": counts["reused"],
+                "vectors_stored": counts["vectors"],
+                "errors": errors.count(),
+            },
+            errors,
         )
-    )
-    vectors = embedded.where(F.col("embedding").isNotNull()).drop("reused")
-    last = store.vectors.read().agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).first()[0]
-
-    gone = old.join(chunks.select("doc_id"), "doc_id", "left_anti")
-    store.vectors.delete(gone)
-    store.chunks.delete(gone)
-    store.chunks.upsert(chunks)
-    store.vectors.upsert(ordinals(vectors, last))
-    store.sources.upsert(source_rows(wanted, config, now))
-
-    errors = cut_lineage(errors)
-    counts = {
-        "documents_loaded": wanted.count(),
-        "chunks_stored": chunks.count(),
-        "embeddings_reused": embedded.where("reused").count(),
-        "vectors_stored": vectors.count(),
-        "errors": errors.count(),
-    }
-    return IngestResult(counts, errors)
 
 
 def processing_summary(sources: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ CHUNKS = (
     "chunk_start_char int, chunk_end_char int, token_count int, chunk_hash string, title string, "
     "heading_path string, closest_heading string, metadata map<string,string>"
 )
-VECTORS = "doc_id string, source_id string, ordinal bigint, embedding array<float>"
+VECTORS = "doc_id string, source_id string, ordinal bigint, embedding array<float>, model string"
 SETTINGS = "key string, value string"
 ERRORS = "stage string, error_type string, error_message string, source_id string"
 
