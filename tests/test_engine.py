@@ -267,3 +267,38 @@ def test_other_model(spark, tmp_path):
     engine.index(sources(spark, A1))
     found = engine.search(engine.questions(["x" * 26]), 1).first()
     assert found["content"] == "one two three four five six"
+
+
+def test_each_path_has_its_model(spark, tmp_path):
+    mapped = config(tmp_path / "s", model_map={"*.md": "md5"})
+    engine = Engine(spark, mapped)
+    rows = sources(spark, [("x.md", "same words"), ("x.txt", "same words")])
+    assert engine.index(rows).counts["vectors_stored"] == 2
+    assert engine.index(rows).counts["documents_loaded"] == 0
+    held = {r["source_id"]: r for r in engine.store.vectors.read().collect()}
+    assert held["x.md"]["model"] == "md5:1" and held["x.txt"]["model"] == "sha256:1"
+    assert held["x.md"]["embedding"] != held["x.txt"]["embedding"]
+    # another default model concerns the other path only
+    again = Engine(spark, config(tmp_path / "s", model_map={"*.md": "md5"}, embedding_model="codepoints"))
+    counts = again.index(rows).counts
+    assert (counts["documents_loaded"], counts["embeddings_reused"]) == (1, 0)
+
+
+def test_nothing_is_loaded_twice_and_no_scratch_stays(spark, tmp_path):
+    from pathlib import Path
+
+    from docquarry.session import shared_dir
+
+    engine = Engine(spark, config(tmp_path / "s"))
+    calls = []
+
+    def load(df):
+        calls.append(1)
+        return df
+
+    before = set(Path(shared_dir(spark)).glob("*"))
+    rows = sources(spark, A1)
+    engine.index(rows, load=load)
+    engine.index(rows, load=load)
+    assert len(calls) == 1
+    assert set(Path(shared_dir(spark)).glob("step-*")) <= before

@@ -112,3 +112,36 @@ def test_size_label_rounds_half_to_even(spark):
 def test_generated_ids(spark):
     df = spark.createDataFrame([(0, None), (1, "own")], "i int, given string")
     assert ids(S.generated_ids(df, "i", "given")) == ["doc_0", "own"]
+
+
+def test_one_source_touches_one_bucket(spark, kept, tmp_path):
+    root = tmp_path / "store" / "chunks"
+
+    def files():
+        return {p.relative_to(root).parts[0]: sorted(q.name for q in p.glob("*.parquet")) for p in root.glob("bucket=*")}
+
+    before = files()
+    assert len(before) == 2
+    kept.add_documents(spark.createDataFrame([("d2", "s2", 0, "changed", {})], DOCS))
+    after = files()
+    assert sum(before[b] != after[b] for b in before) == 1
+    kept.remove_sources(frame(spark, ["s2"], "source_id"))
+    assert sum(after[b] != n for b, n in files().items()) == 1
+    assert ids(kept.chunks.read()) == ["d1", "d3"]
+    # a source that replaces nothing is appended
+    held = files()
+    kept.add_documents(spark.createDataFrame([("n1", "s1", 2, "more", {})], DOCS))
+    assert all(set(held[b]) <= set(n) for b, n in files().items())
+
+
+def test_an_id_moves_to_another_source(spark, kept):
+    kept.add_documents(spark.createDataFrame([("d2", "s1", 2, "moved", {})], DOCS))
+    rows = {r["doc_id"]: r["source_id"] for r in kept.chunks.read().collect()}
+    assert rows == {"d1": "s1", "d2": "s1", "d3": "s1"}
+
+
+def test_one_source_reads_one_bucket(kept):
+    plan = kept.chunks.of_value("s1")._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "bucket" in filters
+    assert "d2" not in ids(kept.source_chunks("s1"))
