@@ -100,11 +100,17 @@ def keyword_score(question: Column, content: Column, stop_words=STOP_WORDS) -> C
     """How often the words of the question occur in *content*; repeated words count again."""
     stop = F.array(*[F.lit(w) for w in stop_words])
     asked = F.filter(words(question), lambda t: ~F.array_contains(stop, t))
-    held = words(content)
+    # one pass over the text leaves the few words that count
     return let(
-        held,
-        lambda h: F.aggregate(
-            asked, F.lit(0), lambda total, t: total + F.size(h) - F.size(F.array_remove(h, t))
+        asked,
+        lambda q: let(
+            F.array_distinct(q),
+            lambda different: let(
+                F.filter(words(content), lambda w: F.array_contains(different, w)),
+                lambda h: F.aggregate(
+                    q, F.lit(0), lambda total, t: total + F.size(h) - F.size(F.array_remove(h, t))
+                ),
+            ),
         ),
     )
 
@@ -172,9 +178,14 @@ def pack_context(
 def rank_scores(ranked: DataFrame, doc: str = "source", keep: str = "best") -> DataFrame:
     """Rank lists as evaluation runs ``(qid, doc_id, score)`` with score 1 / rank per source.
 
-    Several chunks of one source: ``best`` keeps its best rank, ``last`` its worst.
+    Several chunks of one source: ``best`` keeps its best rank, ``last`` its worst, ``both`` gives
+    them as columns of these names.
     """
-    pick = F.max if keep == "best" else F.min
-    return ranked.groupBy("qid", F.col(doc).alias("doc_id")).agg(
-        pick(F.lit(1.0) / F.col("rank")).alias("score")
-    )
+    score = F.lit(1.0) / F.col("rank")
+    best, last = F.max(score), F.min(score)
+    values = {
+        "best": [best.alias("score")],
+        "last": [last.alias("score")],
+        "both": [best.alias("best"), last.alias("last")],
+    }
+    return ranked.groupBy("qid", F.col(doc).alias("doc_id")).agg(*values[keep])

@@ -82,14 +82,14 @@ SHARED_SQL: dict[str, str] = {
         FROM centers c, embeddings e)""",
     "tokens": """tokens AS (
         SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS term FROM documents)""",
-    "bm25": """lengths AS (SELECT doc_id, count(*) AS dl FROM tokens GROUP BY doc_id),
-      corpus AS (SELECT (SELECT count(*) FROM documents) AS n,
-                        (SELECT sum(dl) FROM lengths) / (SELECT count(*) FROM documents) AS avgdl),
+    "idf": """corpus_size AS (SELECT count(*) AS n FROM documents),
       tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
       raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf
-              FROM tf, corpus GROUP BY term, n),
+              FROM tf, corpus_size GROUP BY term, n),
       idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf
-              FROM raw),
+              FROM raw)""",
+    "bm25": """lengths AS (SELECT doc_id, count(*) AS dl FROM tokens GROUP BY doc_id),
+      corpus AS (SELECT (SELECT sum(dl) FROM lengths) / (SELECT count(*) FROM documents) AS avgdl),
       asked AS (SELECT item_id AS qid, unnest(regexp_extract_all(text, '\\S+')) AS term FROM benchmark),
       scored AS (
         SELECT qid, doc_id,

@@ -42,7 +42,7 @@ def plain_search(spark, folder):
     f"""WITH {_PACKED} SELECT qid, md5(string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10)
                 ORDER BY rank)) AS context_md5, count(*) AS documents
         FROM packed GROUP BY qid""",
-    ("tokens", "bm25"),
+    ("tokens", "idf", "bm25"),
 )
 def context_string(spark, folder):
     """Packed documents of each passage joined in rank order."""
@@ -150,7 +150,7 @@ def cited_answers(spark, folder):
        d AS (SELECT qid, entry, min(rank) AS rank FROM e GROUP BY qid, entry)
        SELECT qid, count(*) AS num_sources, md5(string_agg(entry, chr(10) ORDER BY rank)) AS sources_md5
        FROM d GROUP BY qid""",
-    ("tokens", "bm25"),
+    ("tokens", "idf", "bm25"),
 )
 def answer_sources(spark, folder):
     """Distinct sources of each answer with their excerpts."""
@@ -249,7 +249,7 @@ def answer_questions(spark, folder):
                THEN 'Asked: ' || text ELSE '{A.NOTHING_FOUND}' END AS answer,
                coalesce(n, 0) AS num_documents_retrieved
         FROM benchmark LEFT JOIN (SELECT qid, count(*) AS n FROM packed GROUP BY qid) c ON c.qid = item_id""",
-    ("tokens", "bm25"),
+    ("tokens", "idf", "bm25"),
 )
 def answer_fallbacks(spark, folder):
     """Questions without any packed document get the fixed reply."""

@@ -255,49 +255,47 @@ def _hash_sql(function: str, text: str, width: int, value: str) -> str:
     )
 
 
+def _whole_sql(value: str, dim: int) -> str:
+    """Digest of all places of a vector, in ten-thousandths."""
+    places = f"list_transform(range(0, {dim}), lambda i: floor({value} * 10000 + 0.37)::BIGINT::VARCHAR)"
+    return f"md5(array_to_string({places}, ','))"
+
+
+def whole(vector):
+    """As :func:`_whole_sql`; the offset keeps the bounds of the steps away from round values."""
+    places = F.transform(vector, lambda x: F.floor(x.cast("double") * 10000 + 0.37).cast("string"))
+    return F.md5(F.array_join(places, ",").cast("binary")).alias("vector_md5")
+
+
 @query(
-    f"""SELECT doc_id, round(v[1] / n, 6) AS v0, round(v[18] / n, 6) AS v17, round(v[32] / n, 6) AS v383,
-               384 AS dim
+    f"""SELECT doc_id, {_whole_sql('v[1 + i % 32] / n', 384)} AS vector_md5
         FROM (SELECT *, sqrt(12 * list_sum(list_transform(v, lambda x: x * x))) AS n FROM (
                SELECT doc_id, {_hash_sql("sha256", "text", 32, "({b} - 127.5) / 127.5")} AS v
                FROM documents))"""
 )
 def hash_embedding(spark, folder):
     """SHA-256 embedding of whole texts, dimension 384."""
-    docs = texts(spark, folder).select("doc_id", V.sha256_embedding(F.col("text")).alias("v"))
-    return docs.select(
-        "doc_id",
-        *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in (0, 17, 383)],
-        F.size("v").alias("dim"),
-    )
+    return texts(spark, folder).select("doc_id", whole(V.sha256_embedding(F.col("text"))))
 
 
 @query(
-    f"""SELECT doc_id, round(v[1], 6) AS v0, round(v[16], 6) AS v15, round(v[4], 6) AS v1523, 1536 AS dim
+    f"""SELECT doc_id, {_whole_sql('v[1 + i % 16]', 1536)} AS vector_md5
         FROM (SELECT doc_id, {_hash_sql("md5", "text", 16, "{b} / 255.0 * 2.0 - 1.0")} AS v FROM documents)"""
 )
 def md5_embedding(spark, folder):
-    docs = texts(spark, folder).select("doc_id", V.md5_embedding(F.col("text")).alias("v"))
-    return docs.select(
-        "doc_id",
-        *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in (0, 15, 1523)],
-        F.size("v").alias("dim"),
-    )
+    return texts(spark, folder).select("doc_id", whole(V.md5_embedding(F.col("text"))))
 
 
 @query(
-    """SELECT doc_id, p AS pattern, round(p / 100.0 / n, 6) AS v0, round((p + 383) / 100.0 / n, 6) AS v383
+    f"""SELECT doc_id, p AS pattern, {_whole_sql('(p + i) / 100.0 / n', 384)} AS vector_md5
        FROM (SELECT *, sqrt(list_sum(list_transform(range(0, 384), lambda i: ((p + i) / 100.0) ** 2))) AS n
              FROM (SELECT doc_id, (list_sum(list_transform(string_split(text, ''), lambda c: unicode(c)))
                                    % 100)::BIGINT AS p FROM documents))"""
 )
 def codepoint_embedding(spark, folder):
     text = F.col("text")
-    docs = texts(spark, folder).select(
-        "doc_id", V.codepoint_pattern(text).alias("pattern"), V.codepoint_embedding(text).alias("v")
-    )
-    return docs.select(
-        "doc_id", "pattern", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in (0, 383)]
+    return texts(spark, folder).select(
+        "doc_id", V.codepoint_pattern(text).alias("pattern"), whole(V.codepoint_embedding(text))
     )
 
 
@@ -444,17 +442,51 @@ def ingest_counters(spark, folder):
     sources = text_sources(docs, F.col("doc_id"), F.col("text"), F.lit("text/plain"))
     first = engine.index(sources).counts
     second = engine.index(sources).counts
-    row = (
-        first["documents_loaded"],
-        first["chunks_stored"],
-        first["vectors_stored"],
-        first["errors"],
-        first["embeddings_reused"],
-        int(second["documents_loaded"] == 0),
-    )
-    names = (
-        "documents_loaded bigint, chunks_stored bigint, vectors_stored bigint, errors int, "
-        "reused_first int, second_run_empty int"
+    stored = engine.store.chunks.read().select("source_id", "doc_id")
+    held = stored.join(engine.store.vectors.read().select("doc_id", "model"), "doc_id", "left")
+    return held.agg(
+        F.count_distinct("source_id").alias("documents_loaded"),
+        F.count("*").alias("chunks_stored"),
+        F.count("model").alias("vectors_stored"),
+        F.lit(first["errors"]).cast("int").alias("errors"),
+        F.lit(first["embeddings_reused"]).cast("int").alias("reused_first"),
+        F.lit(int(second["documents_loaded"] == 0)).alias("second_run_empty"),
     )
-    return spark.createDataFrame([row], names)
 
+
+@query(
+    """SELECT path AS source_id, CASE WHEN lang = 'en' THEN 'md5:1' ELSE 'sha256:1' END AS model,
+              n AS vectors, n AS equal, 0 AS second_run
+       FROM (SELECT lang, doc_id || CASE WHEN lang = 'en' THEN '.md' ELSE '.txt' END AS path,
+                    greatest(1, (len(regexp_extract_all(text, '\\S+')) + 9999) // 10000) AS n FROM documents)"""
+)
+def mapped_models(spark, folder):
+    """Each path has its model; vectors read back from the store are those of that model."""
+    from docquarry.engine import Engine
+
+    config = EngineConfig(
+        scratch_path(spark, "store"),
+        embedding_dim=32,
+        model_map={"*.md": "md5"},
+        chunks=ChunkSettings(size=10_000, overlap=0),
+        buckets=8,
+    )
+    engine = Engine(spark, config)
+    path = F.expr("doc_id || CASE WHEN lang = 'en' THEN '.md' ELSE '.txt' END")
+    sources = text_sources(texts(spark, folder), path, F.col("text"), F.lit("text/plain"))
+    engine.index(sources)
+    second = engine.index(sources).counts["documents_loaded"]
+    expected = F.when(F.col("model") == "md5:1", V.md5_embedding(F.col("content"), 32)).otherwise(
+        V.sha256_embedding(F.col("content"), 32)
+    )
+    contents = engine.store.chunks.read().select("doc_id", "content")
+    return (
+        engine.store.vectors.read()
+        .join(contents, "doc_id")
+        .groupBy("source_id", "model")
+        .agg(
+            F.count("*").alias("vectors"),
+            F.count_if(F.col("embedding") == expected.cast("array<float>")).alias("equal"),
+            F.lit(second).alias("second_run"),
+        )
+    )

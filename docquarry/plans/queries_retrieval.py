@@ -239,7 +239,7 @@ def sparse(spark, folder, k):
 
 @query(
     "SELECT qid, doc_id, rank, round(score, 6) AS score FROM bm25 WHERE rank <= 10",
-    ("tokens", "bm25"),
+    ("tokens", "idf", "bm25"),
 )
 def bm25_topk(spark, folder):
     """Best documents for every benchmark passage by BM25."""
@@ -259,7 +259,7 @@ def postings_index(spark, folder):
     )
 
 
-@query("SELECT term, round(idf, 6) AS idf FROM idf", ("tokens", "bm25"))
+@query("SELECT term, round(idf, 6) AS idf FROM idf", ("tokens", "idf"))
 def term_weights(spark, folder):
     """Inverse document frequencies with the floor for very common terms."""
     docs = texts(spark, folder)
@@ -281,7 +281,7 @@ _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
                    AS keyword_score FROM held)
         SELECT *, row_number() OVER (PARTITION BY qid ORDER BY keyword_score DESC, prior_rank) AS rank
         FROM counted QUALIFY rank <= 4""",
-    ("tokens", "bm25"),
+    ("tokens", "idf", "bm25"),
 )
 def keyword_rerank(spark, folder):
     """The twelve best by BM25 reordered by word counts, first four kept."""
@@ -312,7 +312,7 @@ _DENSE_DOCS = f"""vectors_of AS (
         SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, place) AS rank,
                round(score, 6) AS score
         FROM fused QUALIFY rank <= 4""",
-    ("tokens", "bm25"),
+    ("tokens", "idf", "bm25"),
 )
 def rrf_fusion(spark, folder):
     """Vector and BM25 lists over whole documents fused by reciprocal ranks."""
@@ -340,7 +340,7 @@ def packed_context(spark, folder):
 
 @query(
     f"""WITH {_PACKED} SELECT qid, rank, doc_id, tokens, tokens_used FROM packed""",
-    ("tokens", "bm25"),
+    ("tokens", "idf", "bm25"),
 )
 def pack_context(spark, folder):
     """Leading documents whose token sum stays within the budget."""
@@ -350,15 +350,13 @@ def pack_context(spark, folder):
 @query(
     """SELECT qid, source AS doc_id, round(max(1.0 / rank), 6) AS best, round(min(1.0 / rank), 6) AS last
        FROM bm25 b JOIN documents d USING (doc_id) WHERE rank <= 10 GROUP BY qid, source""",
-    ("tokens", "bm25"),
+    ("tokens", "idf", "bm25"),
 )
 def evaluation_run(spark, folder):
     """Ranks as scores per source; with several hits the best or the last one counts."""
     sources = documents(spark, folder).select("doc_id", "source")
     ranked = sparse(spark, folder, 10).join(sources, "doc_id")
-    best = R.rank_scores(ranked, "source").withColumnRenamed("score", "best")
-    last = R.rank_scores(ranked, "source", keep="last").withColumnRenamed("score", "last")
-    return rounded(rounded(best.join(last, ["qid", "doc_id"]), "best"), "last")
+    return rounded(rounded(R.rank_scores(ranked, "source", keep="both"), "best"), "last")
 
 
 def _metrics_sql(k: int) -> str:
@@ -435,7 +433,7 @@ def simplify_paths(spark, folder):
          FROM benchmark q LEFT JOIN bm25 b ON b.qid = q.item_id AND b.rank <= 3
               LEFT JOIN documents d ON d.doc_id = b.doc_id
          GROUP BY q.item_id)""",
-    ("tokens", "bm25"),
+    ("tokens", "idf", "bm25"),
 )
 def golden_hit_rate(spark, folder):
     """Share of passages found word for word in one of the three best documents."""
