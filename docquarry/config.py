@@ -42,7 +42,7 @@ class SearchSettings:
     k: int = 4
     metric: str = "l2"
     overfetch: int = 3
-    prefilter: bool = False
+    prefilter: bool = True
     rerank: bool = False
     hybrid: bool = False
     max_context_tokens: int = 4096

@@ -110,8 +110,8 @@ class Engine:
             )
         return answering.answer_questions(
             questions,
-            self.store.chunks.read(),
-            self.store.vectors.read(),
+            self.store.chunks.located(),
+            self.store.vectors.located(),
             self.model,
             self._settings(**changes),
             self.chat,

@@ -14,6 +14,7 @@ from docquarry.operators import bm25 as B
 from docquarry.operators import embed as E
 from docquarry.operators import retrieval as R
 from docquarry.operators.search import nearest
+from docquarry.session import cut_lineage
 
 # Typed chunk columns a filter can name; every other key is looked up in the metadata map.
 FILTER_FIELDS = {
@@ -24,6 +25,8 @@ FILTER_FIELDS = {
     "chunk_order": T.IntegerType(),
     "token_count": T.IntegerType(),
 }
+# Up to so many questions, their winners (ids and ranks) are broadcast to the chunk tables.
+FEW_QUESTIONS = 1_000
 # Metadata values that hold numbers.
 NUMERIC_KEYS = ("chunk_index", "total_chunks", "page_num", "file_size")
 
@@ -58,6 +61,72 @@ def chunk_passes(filters: Column) -> Column:
     return reduce(lambda a, b: a & b, typed) & F.forall(others, on_map)
 
 
+def _located(df: DataFrame) -> DataFrame:
+    """Ids with the bucket of their row in front, where the table has one."""
+    if "bucket" not in df.columns:
+        return df
+    return df.withColumn("doc_id", F.concat_ws(":", F.col("bucket").cast("string"), "doc_id"))
+
+
+def _unlocated(ranked: DataFrame) -> DataFrame:
+    """The bucket and the id of :func:`_located`."""
+    return ranked.withColumns(
+        {
+            "bucket": F.substring_index("doc_id", ":", 1).cast("int"),
+            "doc_id": F.expr("substr(doc_id, instr(doc_id, ':') + 1)"),
+        }
+    )
+
+
+def _ranked(
+    parsed: DataFrame,
+    chunks: DataFrame,
+    vectors: DataFrame,
+    model: E.Model,
+    settings: SearchSettings,
+    bm25_weights: DataFrame | None,
+) -> DataFrame:
+    """``(qid, doc_id, rank)``: dense search, fused with BM25 in hybrid mode."""
+    wide = settings.k * settings.overfetch
+    asked = E.embed(parsed.select("qid", "clean"), model, "clean").select("qid", "embedding")
+    ranked = nearest(asked, vectors, wide, settings.metric, ordinal="ordinal").select(
+        "qid", "doc_id", "rank"
+    )
+    if not settings.hybrid:
+        return ranked
+    sparse = B.bm25(
+        parsed.select("qid", F.col("clean").alias("text")),
+        chunks.select("doc_id", F.col("content").alias("text")),
+        wide,
+        weights=bm25_weights,
+    )
+    return R.reciprocal_rank_fusion(ranked, sparse, k=wide).select("qid", "doc_id", "rank")
+
+
+def _prefiltered(
+    parsed: DataFrame, chunks: DataFrame, vectors: DataFrame, model: E.Model, settings: SearchSettings, weights
+) -> DataFrame:
+    """As :func:`_ranked`, each set of filters searching only the chunks that pass it.
+
+    Questions are grouped by their filters; a set costs one scan, whatever the number of its questions.
+    """
+    # a map cannot be grouped by, its sorted entries can
+    entries = F.array_sort(F.map_entries("filters"))
+    filtered = parsed.where(F.size("filters") > 0)
+    sets = [row[0] for row in filtered.select(entries.alias("e")).distinct().collect()]
+    if weights is None and settings.hybrid and sets:
+        # statistics are those of the whole corpus, not of what passes a filter
+        weights = B.term_weights(cut_lineage(B.term_stats(chunks.select("doc_id", F.col("content").alias("text")))))
+    parts = [_ranked(parsed.where(F.size("filters") == 0), chunks, vectors, model, settings, weights)]
+    for wanted in sets:
+        pairs = [F.struct(F.lit(e["key"]).alias("key"), F.lit(e["value"]).alias("value")) for e in wanted]
+        passing = chunks.where(chunk_passes(F.map_from_entries(F.array(*pairs))))
+        mine = filtered.where(entries == F.array(*pairs))
+        held = vectors.join(passing.select("doc_id"), "doc_id", "left_semi")
+        parts.append(_ranked(mine, passing, held, model, settings, weights))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def retrieve(
     parsed: DataFrame,
     chunks: DataFrame,
@@ -66,24 +135,28 @@ def retrieve(
     settings: SearchSettings,
     bm25_weights: DataFrame | None = None,
 ) -> DataFrame:
-    """Ranked chunks per question with the chunk columns: search, filter, rerank, first k.
+    """Ranked chunks per question with the chunk columns: filter, search, rerank, first k.
 
     Only ids and scores travel through the search; chunk columns are joined to the few survivors.
+    With ``settings.prefilter`` off, filters apply to ``overfetch * k`` found chunks instead and may
+    leave fewer than k. Tables that carry their ``bucket`` are joined by it as well: few questions
+    read only the buckets that hold their chunks.
     """
     k, wide = settings.k, settings.k * settings.overfetch
-    asked = E.embed(parsed.select("qid", "clean"), model, "clean").select("qid", "embedding")
-    ranked = nearest(asked, vectors, wide, settings.metric, ordinal="ordinal").select(
-        "qid", "doc_id", "rank"
-    )
-    if settings.hybrid:
-        sparse = B.bm25(
-            parsed.select("qid", F.col("clean").alias("text")),
-            chunks.select("doc_id", F.col("content").alias("text")),
-            wide,
-            weights=bm25_weights,
-        )
-        ranked = R.reciprocal_rank_fusion(ranked, sparse, k=wide).select("qid", "doc_id", "rank")
-    joined = ranked.join(chunks, "doc_id").join(parsed, "qid")
+    by_bucket = "bucket" in chunks.columns and "bucket" in vectors.columns
+    if not by_bucket:
+        chunks, vectors = chunks.drop("bucket"), vectors.drop("bucket")
+    search = _prefiltered if settings.prefilter else _ranked
+    ranked = search(parsed, _located(chunks), _located(vectors), model, settings, bm25_weights)
+    ranked = ranked.where(F.col("rank") <= wide)
+    if by_bucket:
+        ranked = _unlocated(ranked)
+        # the winners of at most FEW_QUESTIONS questions are FEW_QUESTIONS * wide ids
+        if parsed.select("qid").limit(FEW_QUESTIONS + 1).count() <= FEW_QUESTIONS:
+            ranked = F.broadcast(ranked)
+        joined = ranked.join(chunks, ["bucket", "doc_id"]).drop("bucket").join(parsed, "qid")
+    else:
+        joined = ranked.join(chunks, "doc_id").join(parsed, "qid")
     found = joined.where(
         F.col("rank") <= R.search_width(k, F.col("filters"), settings.overfetch)
     ).where(chunk_passes(F.col("filters")))

@@ -243,6 +243,33 @@ def answer_questions(spark, folder):
     )
 
 
+@query(
+    """SELECT item_id AS qid, least(4, held)::BIGINT AS found, 0::BIGINT AS strangers
+       FROM (SELECT item_id, item_id % 7 AS s FROM benchmark),
+            LATERAL (SELECT count(*) AS held FROM documents
+                     WHERE contains(source || '/' || doc_id, '/' || s) AND length(trim(text)) > 0)
+       WHERE held > 0"""
+)
+def filtered_answers(spark, folder):
+    """A selective filter per question still gives full k: filters come before the search."""
+    docs = texts(spark, folder).select(F.concat_ws("/", "source", "doc_id").alias("source_id"), "text")
+    chunks = docs.select(
+        F.col("source_id").alias("doc_id"), "source_id", F.col("text").alias("content"),
+        F.lit(0).alias("chunk_order"), F.lit(0).alias("token_count"),
+        *[F.lit("").alias(c) for c in ("title", "heading_path", "closest_heading")],
+        F.expr("cast(map() as map<string,string>)").alias("metadata"),
+    )
+    model = embed.native_model("sha256", 32)
+    vectors = embed.embed(chunks.select("doc_id", "content"), model).select(
+        "doc_id", "embedding", F.col("doc_id").alias("ordinal")
+    )
+    part = F.concat(F.lit("/"), (F.col("qid") % 7).cast("string"))
+    asked = questions(spark, folder).withColumn("text", F.concat("text", F.lit(" filter:source_id="), part))
+    found = answering.retrieve(answering.parse_questions(asked), chunks, vectors, model, SearchSettings(k=4))
+    strange = ~F.contains("source_id", F.concat(F.lit("/"), (F.col("qid") % 7).cast("string")))
+    return found.groupBy("qid").agg(F.count("*").alias("found"), F.count_if(strange).alias("strangers"))
+
+
 @query(
     f"""WITH {_PACKED}
         SELECT item_id AS qid, CASE WHEN n > 0

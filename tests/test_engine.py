@@ -302,3 +302,31 @@ def test_nothing_is_loaded_twice_and_no_scratch_stays(spark, tmp_path):
     engine.index(rows, load=load)
     assert len(calls) == 1
     assert set(Path(shared_dir(spark)).glob("step-*")) <= before
+
+
+def test_answers_read_the_buckets_of_their_chunks(spark, tmp_path):
+    from docquarry.plans import answering
+
+    engine = Engine(spark, config(tmp_path / "s"))
+    engine.index(sources(spark, A1 + B1))
+    found = answering.retrieve(
+        answering.parse_questions(engine.questions(["alpha beta"])),
+        engine.store.chunks.located(),
+        engine.store.vectors.located(),
+        engine.model,
+        SearchSettings(k=1),
+    )
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["source_id"] for r in found.collect()] == ["b"]
+
+
+def test_filters_come_before_the_search(spark, tmp_path):
+    rows = [(f"n{i}", f"alpha {i}") for i in range(20)] + [("x1", "zeta"), ("x2", "theta")]
+    engine = Engine(spark, config(tmp_path / "s"))
+    engine.index(sources(spark, rows))
+    asked = ["alpha 3 filter:source_id=x", "alpha 4"]
+    for hybrid in (False, True):
+        answers = engine.answer(engine.questions(asked), k=2, hybrid=hybrid).collect()
+        paths = {r["qid"]: sorted(s["path"] for s in r["sources"]) for r in answers}
+        assert hybrid or paths[0] == ["x1", "x2"]
+        assert set(paths[0]) <= {"x1", "x2"} and len(paths[1]) == 2
