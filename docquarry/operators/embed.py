@@ -214,17 +214,23 @@ def embed_cached(
     keyed = chunks.withColumn(
         "cache_key", cache_key(F.col(source), F.col(chunk_index), F.col(content))
     )
-    misses = keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
-    fresh = embed(misses, model, content)
-    hits = keyed.join(cache.select("cache_key", "embedding"), "cache_key").withColumn(
-        "embedding_error", F.lit(None).cast("string")
-    )
+    held = cache.select("cache_key", F.col("embedding").alias("__held"))
+    known = F.col("__held").isNotNull()
+    # one join; a text that has its vector is not asked for
+    asked = keyed.join(held, "cache_key", "left").withColumn("__asked", F.when(~known, F.col(content)))
+    made = embed(asked, model, "__asked")
     added = (
-        fresh.where(F.col("embedding").isNotNull())
+        made.where(~known & F.col("embedding").isNotNull())
         .groupBy("cache_key")
         .agg(F.any_value("embedding").alias("embedding"))
     )
-    return hits.select(*fresh.columns).unionByName(fresh), added
+    whole = made.withColumns(
+        {
+            "embedding": F.coalesce("__held", "embedding"),
+            "embedding_error": F.when(~known, F.col("embedding_error")),
+        }
+    )
+    return whole.select(*keyed.columns, "embedding", "embedding_error"), added
 
 
 def with_overrides(df: DataFrame, overrides: DataFrame, text: str, dim: int) -> DataFrame:
