@@ -6,9 +6,11 @@ of fewer words, but not none, is one window. The automaton's symbols are the num
 words, so a pattern has ``size`` symbols at most. A text is mapped to numbers and scanned once; every
 occurrence marks its words, and word offsets lead back to characters of the original text.
 
-The item windows are the only data sent to the tasks. Their size is checked against
-``max_items_bytes`` before; a benchmark beyond it must be given in parts, and the error says so.
-Each Python worker builds the automaton once.
+The item windows are the only data sent to the tasks, and each Python worker builds its automaton
+once. Up to ``max_items_bytes`` of items make one automaton. A larger benchmark is cut into blocks
+of at most that size (a longer item is a block of its own): every block has its automaton and one
+scan, which writes only the hits under the digest of their text, and the hits of all blocks are
+then joined to the documents. The answer is the same either way.
 
 Null texts and items have no words. Null item ids are left out of the digest but mark words.
 Repeated ids, rows and items are allowed; extra columns are ignored. Without items nothing is hit.
@@ -19,17 +21,21 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import utf8_rows
+from docquarry.llm.common import Written, utf8_rows
 
 SIZE = 10
-MAX_ITEMS_BYTES = 64 * 1024 * 1024
+# An automaton takes about a hundred times the bytes of its items.
+MAX_ITEMS_BYTES = 4 * 1024 * 1024
+# Runs of word characters in a text that is not lower-cased yet.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Bytes that end a word become blanks, A-Z become a-z; a word is then what split() gives.
 _FOLD = bytes(
@@ -94,18 +100,116 @@ def _offsets(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(chars[starts[a]]), int(chars[ends[b - 1]])) for a, b in runs]
 
 
-def _collected(
-    items: DataFrame, item_id: str, text: str, max_items_bytes: int
-) -> tuple[tuple[str | None, bytes], ...]:
+Items = tuple[tuple[str | None, bytes], ...]
+
+
+def _collected(narrow: DataFrame) -> Items:
+    return tuple(sorted(((r[0], r[1].encode()) for r in narrow.select("id", "text").distinct().collect()), key=repr))
+
+
+def _item_blocks(items: DataFrame, item_id: str, text: str, max_items_bytes: int) -> Iterator[Items]:
+    """The items in blocks of at most *max_items_bytes*; a longer item is alone in its block."""
     narrow = items.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).where(
         "text is not null"
     )
     size = narrow.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    if size > max_items_bytes:
-        raise ValueError(
-            f"the items hold {size} bytes, more than max_items_bytes={max_items_bytes}; scan them in parts"
+    if size <= max_items_bytes:
+        yield _collected(narrow)
+        return
+    written = Written(narrow.distinct().withColumn("hash", F.xxhash64("id", "text")), "items")
+    parts = -(-2 * size // max_items_bytes)
+    while True:
+        dealt = written.read().withColumn("block", F.pmod("hash", F.lit(parts)))
+        sizes = dealt.groupBy("block").agg(
+            F.sum(F.octet_length("text") + 16).alias("size"), F.count_distinct("hash").alias("n")
         )
-    return tuple(sorted(((r[0], r[1].encode()) for r in narrow.distinct().collect()), key=repr))
+        if sizes.where((F.col("size") > max_items_bytes) & (F.col("n") > 1)).isEmpty():
+            break
+        parts *= 2
+    for row in sizes.select("block").orderBy("block").toLocalIterator():
+        yield _collected(dealt.where(F.col("block") == row[0]))
+    written.delete()
+
+
+def _text_digest(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+_RUN = pa.struct([(name, pa.int64()) for name in ("first", "after", "start", "end")])
+
+
+def _block_hits(docs: DataFrame, known: Items, size: int, text: str) -> Written:
+    """``(digest, runs, items)`` of every text that holds a window of *known*, written."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = _scanner(sent.value, size)
+        for batch in batches:
+            at, spans, items = [], [], []
+            for i, value in enumerate(utf8_rows(batch.column(1))):
+                runs, found = scanner.scan(words_of(value))
+                if runs:
+                    at.append(i)
+                    places = _offsets(value, runs)
+                    spans.append([(*r, *o) for r, o in zip(runs, places, strict=True)])
+                    items.append(list(found))
+            names = _RUN.names
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(at, pa.int64())),
+                    pa.array([[dict(zip(names, r)) for r in x] for x in spans], pa.list_(_RUN)),
+                    pa.array(items, pa.list_(pa.string())),
+                ],
+                names=["digest", "runs", "items"],
+            )
+
+    texts = docs.select(_text_digest(text).alias("digest"), F.col(text).alias("text"))
+    hits = texts.mapInArrow(
+        run,
+        "digest string, runs array<struct<first:bigint,after:bigint,start:bigint,end:bigint>>, items array<string>",
+    )
+    written = Written(hits.dropDuplicates(["digest"]), "hits")
+    sent.unpersist()
+    return written
+
+
+def _in_blocks(docs: DataFrame, blocks: Iterator[Items], size: int, text: str) -> DataFrame:
+    """``(digest, runs, items)``, lists of lists, per text hit by any block; one scan a block."""
+    found = [_block_hits(docs, known, size, text).read() for known in blocks]
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.union(more)
+    return hits.groupBy("digest").agg(
+        F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items")
+    )
+
+
+def _merged(runs: list[tuple[int, int, int, int]]) -> list[list[int]]:
+    """Maximal runs of words, with their characters, of the runs of several blocks."""
+    out: list[list[int]] = []
+    for first, after, start, end in sorted(runs):
+        if out and out[-1][1] >= first:
+            out[-1][1], out[-1][3] = max(out[-1][1], after), max(out[-1][3], end)
+        else:
+            out.append([first, after, start, end])
+    return out
+
+
+def _row(n_words: int, runs: list[tuple[int, int]], found: set[str | None]) -> tuple:
+    ids = sorted(x for x in found if x is not None)
+    hit = sum(b - a for a, b in runs)
+    return n_words, hit, len(found), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0
+
+
+def _batch(keys: pa.Array, made: list[tuple], spans: bool) -> pa.RecordBatch:
+    columns = list(zip(*made, strict=True)) if made else [[] for _ in range(5 + spans)]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+    arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+    if spans:
+        pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        arrays.append(pa.array([[{"start": a, "end": b} for a, b in x] for x in columns[5]], pair))
+    names = ["doc_id", *RESULT.replace(",", "").split()[::2], *["spans"] * spans]
+    return pa.RecordBatch.from_arrays([keys, *arrays], names=names)
 
 
 def decontaminate(
@@ -124,7 +228,29 @@ def decontaminate(
 
     With *spans* also ``spans``: maximal hit passages as character offsets of the original text.
     """
-    known = _collected(items, item_id, item_text, max_items_bytes)
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"doc_id {kind}, {RESULT}" + ", spans array<struct<start:bigint,end:bigint>>" * spans
+    blocks = _item_blocks(items, item_id, item_text, max_items_bytes)
+    known, more = next(blocks), next(blocks, None)
+    if more is not None:
+        hits = _in_blocks(docs, chain((known, more), blocks), size, text)
+        counted = docs.select(
+            F.col(key).alias("doc_id"),
+            F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"),
+            _text_digest(text).alias("digest"),
+        )
+
+        def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = []
+                for n_words, runs, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    whole = _merged([tuple(r.values()) for r in runs or []])
+                    row = _row(n_words, [(r[0], r[1]) for r in whole], set(found or []))
+                    made.append((*row, *([[(r[2], r[3]) for r in whole]] if spans else [])))
+                yield _batch(batch.column(0), made, spans)
+
+        joined = counted.join(hits, "digest", "left").select("doc_id", "n_words", "runs", "items")
+        return joined.mapInArrow(join_up, schema)
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,30 +260,26 @@ def decontaminate(
             for value in utf8_rows(batch.column(1)):
                 words = words_of(value)
                 runs, found = scanner.scan(words)
-                ids = sorted(x for x in found if x is not None)
-                hit = sum(b - a for a, b in runs)
-                digest = hashlib.sha256(",".join(ids).encode()).hexdigest()
-                made.append((len(words), hit, len(found), digest, hit > 0, *([_offsets(value, runs)] if spans else [])))
-            columns = list(zip(*made, strict=True)) if made else [[] for _ in range(5 + spans)]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            if spans:
-                pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                arrays.append(
-                    pa.array([[{"start": a, "end": b} for a, b in x] for x in columns[5]], pair)
-                )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *arrays], names=["doc_id", *RESULT.replace(",", "").split()[::2], *["spans"] * spans]
-            )
+                made.append((*_row(len(words), runs, found), *([_offsets(value, runs)] if spans else [])))
+            yield _batch(batch.column(0), made, spans)
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"doc_id {kind}, {RESULT}" + ", spans array<struct<start:bigint,end:bigint>>" * spans
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, size: int = SIZE, text: str = "text") -> DataFrame:
+def clean_documents(
+    docs: DataFrame,
+    items: DataFrame,
+    size: int = SIZE,
+    text: str = "text",
+    *,
+    max_items_bytes: int = MAX_ITEMS_BYTES,
+) -> DataFrame:
     """*docs* without the rows in which a window of *items* occurs; every column is kept."""
-    known = _collected(items, "item_id", "text", MAX_ITEMS_BYTES)
+    blocks = _item_blocks(items, "item_id", "text", max_items_bytes)
+    known, more = next(blocks), next(blocks, None)
+    if more is not None:
+        hit = _in_blocks(docs, chain((known, more), blocks), size, text).select(F.col("digest").alias("__hit"))
+        return docs.join(hit, _text_digest(text) == F.col("__hit"), "left_anti")
     sent = docs.sparkSession.sparkContext.broadcast(known)
     place = docs.columns.index(text)
 

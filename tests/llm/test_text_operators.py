@@ -175,8 +175,19 @@ def test_decontamination_odd_rows(spark, odd, empty):
     assert decontaminate.decontaminate(odd, items.limit(0)).where("contaminated").count() == 0
     clean = decontaminate.clean_documents(odd, items)
     assert clean.columns == odd.columns and {r.doc_id for r in clean.collect()} == {3, 4, 5, 6, 8}
-    with pytest.raises(ValueError, match="max_items_bytes"):
-        decontaminate.decontaminate(odd, items, max_items_bytes=10)
+
+
+@pytest.mark.parametrize("bound", [10, 60, 200])
+def test_items_in_blocks_give_the_same_answer(spark, odd, bound):
+    more = [(20 + i, " ".join(PASSAGE.split()[i : i + 11])) for i in range(4)] + [(30, "seven wizards")]
+    items = spark.createDataFrame(ITEMS + more, "item_id long, text string")
+    docs = odd.unionByName(odd.where("doc_id = 1"))
+    whole = decontaminate.decontaminate(docs, items, spans=True)
+    parts = decontaminate.decontaminate(docs, items, spans=True, max_items_bytes=bound)
+    assert parts.schema == whole.schema
+    assert sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect()))
+    clean = decontaminate.clean_documents(docs, items, max_items_bytes=bound)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {3, 4, 5, 6, 8}
 
 
 def test_mixture_gives_shortages_to_siblings_first(spark):
