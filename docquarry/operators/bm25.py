@@ -72,38 +72,50 @@ def term_weights(stats: DataFrame) -> DataFrame:
 def _factory(corpus_text: str, k1: float, b: float):
     def build(table: pa.Table):
         avg_len = table.column("avg_len")[0].as_py() or 1.0
-        # columns: term number; rows: question; value: times asked x idf
+        # per term: the questions that ask for it, and times asked x idf
         numbers: dict[str, int] = {}
-        asked: list[dict[int, float]] = []
-        for tokens, weights in zip(
-            table.column("__terms").to_pylist(), table.column("__idf").to_pylist(), strict=True
+        asking: list[dict[int, float]] = []
+        for question, (tokens, weights) in enumerate(
+            zip(table.column("__terms").to_pylist(), table.column("__idf").to_pylist(), strict=True)
         ):
-            row: dict[int, float] = {}
             for term, idf in zip(tokens, weights, strict=True):
                 number = numbers.setdefault(term, len(numbers))
-                row[number] = row.get(number, 0.0) + idf
-            asked.append(row)
-        matrix = np.zeros((max(1, len(numbers)), len(asked)))
-        for column, row in enumerate(asked):
-            for number, weight in row.items():
-                matrix[number, column] = weight
-        known = matrix != 0.0
+                if number == len(asking):
+                    asking.append({})
+                asking[number][question] = asking[number].get(question, 0.0) + idf
+        lengths = np.array([len(x) for x in asking], np.int64)
+        starts = np.concatenate(([0], np.cumsum(lengths)))
+        askers = np.array([q for x in asking for q in x], np.int64)
+        weight = np.array([w for x in asking for w in x.values()])
+        questions = table.num_rows
 
         def score(batch: pa.RecordBatch) -> np.ndarray:
-            gains = np.zeros((batch.num_rows, matrix.shape[0]))
+            rows, terms, gains = [], [], []
             for i, text in enumerate(batch.column(corpus_text).to_pylist()):
                 tokens = text.split()
                 scale = k1 * (1.0 - b + b * len(tokens) / avg_len)
                 for term, tf in Counter(tokens).items():
                     number = numbers.get(term)
                     if number is not None:
-                        gains[i, number] = tf * (k1 + 1.0) / (tf + scale)
-            scores = gains @ matrix
+                        rows.append(i)
+                        terms.append(number)
+                        gains.append(tf * (k1 + 1.0) / (tf + scale))
+            # every (document, term) meets the questions that ask for the term, and no others
+            held = np.array(terms, np.int64)
+            wide = lengths[held]
+            entry = np.repeat(np.arange(len(held)), wide)
+            place = np.arange(len(entry)) - np.repeat(np.cumsum(wide) - wide, wide) + starts[held[entry]]
+            cell = np.array(rows, np.int64)[entry] * questions + askers[place]
+            size = batch.num_rows * questions
+            # without any cell numpy counts in integers
+            scores = np.bincount(cell, np.array(gains)[entry] * weight[place], size).astype(float)
             # a document without any term of the question is no result
-            scores[(gains > 0).astype(np.float32) @ known.astype(np.float32) == 0] = -np.inf
-            return scores
+            hit = np.zeros(size, bool)
+            hit[cell] = True
+            scores[~hit] = -np.inf
+            return scores.reshape(batch.num_rows, questions)
 
-        score.width = matrix.shape[0]
+        score.width = len(askers)
         return score
 
     return build

@@ -4,13 +4,10 @@ The scan never materialises question-document pairs. A task scores one Arrow bat
 of questions with a matrix product, keeps the best k per question, and emits only those; the
 shuffle then carries at most tasks x questions x k rows.
 
-Question blocks reach the tasks in one of two exact ways:
-
-* few questions (checked against a row and a byte bound): one block, shipped with the task;
-* more: corpus and questions are cut into buckets and blocks and co-grouped, so that no task or
-  driver ever holds more than one block and one bucket. Every bucket meets every block, so the
-  corpus is shuffled once per block; a cell multiplies 50,000 x 4,096 vectors, which takes several
-  times longer than moving its bucket.
+Questions reach the tasks in blocks within a row and a byte bound, shipped with the task. With more
+than one block the questions are written once below the shared folder, and the corpus is scanned once
+per block; each scan appends its leaders to one table. The corpus is never shuffled, and the driver
+holds one block at a time.
 """
 
 from __future__ import annotations
@@ -24,10 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docquarry.session import Scratch, scratch_path
+
 # Bounds on what one task receives as its block of questions.
 MAX_BLOCK_ROWS = 4_096
 MAX_BLOCK_BYTES = 64 * 1024 * 1024
-BUCKET_ROWS = 50_000
 # Scores closer than this are ties; hides the rounding noise of matrix kernels.
 SCORE_DECIMALS = 9
 # Above this k Spark no longer cuts a ranking window before its shuffle.
@@ -136,6 +134,27 @@ def list_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values.reshape(rows, -1) if rows else np.zeros((0, 1))
 
 
+def _question_blocks(kept: DataFrame, rows: int, size: int) -> Iterator[pa.Table]:
+    """The written questions in blocks of at most *rows* rows and *size* bytes.
+
+    Rows are dealt by hash into parts of half a block on average; a part that came out too large is
+    cut after it was fetched, so no block exceeds the bounds (but for one question larger than *size*).
+    """
+    sample = kept.limit(rows).toArrow()
+    fit = max(1, min(rows, size * max(1, sample.num_rows) // max(1, sample.nbytes)))
+    parts = max(1, -(-2 * kept.count() // fit))
+    dealt = kept.withColumn("__part", F.pmod(F.xxhash64(*kept.columns), F.lit(parts)))
+    for part in range(parts):
+        pending = [dealt.where(F.col("__part") == part).drop("__part").toArrow()]
+        while pending:
+            block = pending.pop()
+            if block.num_rows > rows or (block.nbytes > size and block.num_rows > 1):
+                half = block.num_rows // 2
+                pending += [block.take(list(range(a, b))) for a, b in ((half, block.num_rows), (0, half))]
+            elif block.num_rows:
+                yield block
+
+
 def scan_top_k(
     questions: DataFrame,
     corpus: DataFrame,
@@ -149,7 +168,6 @@ def scan_top_k(
     required: tuple[str, str] | None = None,
     block_rows: int = MAX_BLOCK_ROWS,
     block_bytes: int = MAX_BLOCK_BYTES,
-    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Exact top-k of *corpus* for every question: ``(question_id, corpus_id, rank, score)``.
 
@@ -175,7 +193,7 @@ def scan_top_k(
         scorer = factory(table)
         leaders = _Leaders(k, tie_descending)
         # keep every matrix of a step at about 32 MB
-        step = max(64, 4_000_000 // max(table.num_rows, getattr(scorer, "width", 1)))
+        step = max(1, 4_000_000 // max(table.num_rows, getattr(scorer, "width", 1)))
         schema = None
         for whole in batches:
             if required:
@@ -196,41 +214,21 @@ def scan_top_k(
         if result is not None:
             yield result
 
+    def scanned(block: pa.Table) -> DataFrame:
+        return corpus.mapInArrow(lambda batches: scan(block, batches), out)
+
     head = questions.limit(block_rows + 1).toArrow()
     if head.num_rows <= block_rows and head.nbytes <= block_bytes:
-        partial = corpus.mapInArrow(lambda batches: scan(head, batches), out)
+        partial = scanned(head)
     else:
-        rows_per_block = min(
-            block_rows, max(1, int(block_bytes // max(1, head.nbytes // max(1, head.num_rows))))
-        )
-        blocks = -(-questions.count() // rows_per_block)
-        buckets = max(1, -(-corpus.count() // bucket_rows))
-        left = corpus.withColumn(
-            "__bucket", F.pmod(F.xxhash64(corpus_id, "__tie"), F.lit(buckets))
-        ).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-        right = questions.withColumn(
-            "__block", F.pmod(F.xxhash64(question_id), F.lit(blocks))
-        ).withColumn(
-            "__bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)).cast("array<bigint>"))
-        )
-
-        def pair(corpus_part: pa.Table, question_part: pa.Table) -> pa.Table:
-            found = list(scan(question_part, iter(corpus_part.combine_chunks().to_batches())))
-            if found:
-                return pa.Table.from_batches(found)
-            empty = {
-                question_id: question_part.schema.field(question_id).type,
-                corpus_id: corpus_part.schema.field(corpus_id).type,
-                "__tie": corpus_part.schema.field("__tie").type,
-                "score": pa.float64(),
-            }
-            return pa.schema(list(empty.items())).empty_table()
-
-        partial = (
-            left.groupBy("__bucket", "__block")
-            .cogroup(right.groupBy("__bucket", "__block"))
-            .applyInArrow(pair, out)
-        )
+        del head
+        spark = questions.sparkSession
+        with Scratch(spark) as scratch:
+            kept = scratch.cut(questions)
+            target = scratch_path(spark, "leaders")
+            for block in _question_blocks(kept, block_rows, block_bytes):
+                scanned(block).write.mode("append").parquet(target)
+            partial = spark.read.schema(out).parquet(target)
     by_tie = F.desc("__tie") if tie_descending else F.asc("__tie")
     return top_k_per_group(partial, [question_id], [F.desc("score"), by_tie], k).select(
         question_id, corpus_id, "rank", "score"

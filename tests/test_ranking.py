@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docquarry.operators import bm25 as B
-from docquarry.operators.ranking import _Leaders, best_rows, top_k_per_group
+from docquarry.operators.ranking import _Leaders, _question_blocks, best_rows, top_k_per_group
 from docquarry.operators.search import nearest
 
 
@@ -58,7 +58,7 @@ def brute(points, asked, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-@pytest.mark.parametrize("bounds", [{}, {"block_rows": 5, "bucket_rows": 40}])
+@pytest.mark.parametrize("bounds", [{}, {"block_rows": 5}])
 def test_nearest_equals_brute_force(frames, metric, bounds):
     points, asked, vectors, questions = frames
     found = nearest(questions, vectors, 6, metric, ordinal="ordinal", **bounds)
@@ -87,7 +87,7 @@ def test_block_route_of_bm25(spark):
         "qid bigint, text string",
     )
     plain = B.bm25(questions, docs, 4)
-    blocks = B.bm25(questions, docs, 4, block_rows=2, bucket_rows=9)
+    blocks = B.bm25(questions, docs, 4, block_rows=2)
     key = ["qid", "doc_id", "rank"]
     assert sorted(map(tuple, plain.select(key).collect())) == sorted(map(tuple, blocks.select(key).collect()))
     assert 3 not in {r["qid"] for r in plain.collect()}
@@ -116,3 +116,10 @@ def test_scores_that_are_no_numbers_are_left_out():
     ids = pa.array([1, 2, 3, 4])
     leaders.add(ids, ids, np.array([[np.nan], [0.5], [np.inf], [0.25]]))
     assert leaders.ids.tolist() == [[2, 4]]
+
+
+def test_question_blocks_are_whole_and_bounded(spark):
+    questions = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(300)], "qid bigint, text string")
+    blocks = list(_question_blocks(questions, 40, 600))
+    assert sorted(q for b in blocks for q in b.column("qid").to_pylist()) == list(range(300))
+    assert all(b.num_rows <= 40 and (b.nbytes <= 600 or b.num_rows == 1) for b in blocks)
