@@ -333,8 +333,11 @@ class DocumentStore:
     def list_document_ids(self) -> DataFrame:
         return self.chunks.read().select("doc_id").orderBy("doc_id")
 
+    def document_total(self) -> DataFrame:
+        return self.chunks.read().agg(F.count(F.lit(1)).alias("documents"))
+
     def count_documents(self) -> int:
-        return self.chunks.read().count()
+        return self.document_total().first()[0]
 
     def delete_documents(self, ids: DataFrame) -> DataFrame:
         """Delete chunks with their vectors; the status per id is taken before the deletion."""

@@ -18,10 +18,21 @@ from docquarry.plans.catalog import (
     query,
 )
 from docquarry.sources import corpora, loaders, tables
-from docquarry.sources.files import is_supported_path, path_filter
+from docquarry.sources.files import describe, is_supported_path, path_filter
 from docquarry.sources.tables import read_table
 
 
+def as_files(named):
+    """Texts with a ``source_id`` as a scan of files gives them."""
+    return named.select(
+        "source_id",
+        F.col("source_id").alias("path"),
+        F.col("text").cast("binary").alias("content"),
+        F.octet_length("text").cast("bigint").alias("length"),
+        F.timestamp_seconds(F.lit(0)).alias("modificationTime"),
+    )
+
+
 @query(
     """SELECT path AS source_id FROM files
        WHERE regexp_extract(path, '(\\.[^./]+)$', 1) IN ('.md', '.html')
@@ -63,7 +74,12 @@ def mime_dispatch(spark, folder):
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def content_hash(spark, folder):
-    return documents(spark, folder).select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    """Each document taken as the file ``<doc_id>.txt``."""
+    named = documents(spark, folder).withColumn("source_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    found = describe(as_files(named))
+    return found.select(
+        F.regexp_extract("source_id", "^[0-9]+", 0).cast("bigint").alias("doc_id"), "content_hash"
+    )
 
 
 @query(
@@ -72,11 +88,12 @@ def content_hash(spark, folder):
     ("files",),
 )
 def file_stats(spark, folder):
-    return file_documents(spark, folder).select(
+    found = describe(as_files(file_documents(spark, folder)))
+    return found.select(
         F.col("source_id").alias("path"),
-        F.octet_length("text").cast("bigint").alias("size_bytes"),
+        "size_bytes",
         M.extension(F.col("source_id")).alias("extension"),
-        F.sha2("text", 256).alias("content_hash"),
+        "content_hash",
     )
 
 

@@ -21,6 +21,21 @@ def toxic_ids(spark, folder):
     return labels(spark, folder).where("toxic = 1").select("doc_id")
 
 
+def as_chunks(spark, folder):
+    return documents(spark, folder).select(
+        F.col("doc_id").cast("string").alias("doc_id"),
+        F.col("source").alias("source_id"),
+        F.col("text").alias("content"),
+    )
+
+
+def stored_documents(spark, folder):
+    """A new store that holds all documents."""
+    kept = store.DocumentStore(spark, scratch_path(spark, "store"), buckets=8)
+    kept.add_documents(as_chunks(spark, folder))
+    return kept
+
+
 def catalog(spark, folder):
     """Every ``source`` value as a catalog source, its documents as chunks."""
     docs = documents(spark, folder)
@@ -151,18 +166,19 @@ def metadata_scan(spark, folder):
 
 @query("SELECT doc_id, md5(text) AS content_md5 FROM documents WHERE doc_id = 7")
 def point_lookup(spark, folder):
-    docs = documents(spark, folder)
-    return docs.where(F.col("doc_id") == 7).select("doc_id", F.md5("text").alias("content_md5"))
+    found = stored_documents(spark, folder).get_document("7")
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("content").alias("content_md5"))
 
 
 @query("SELECT doc_id FROM documents ORDER BY doc_id")
 def document_ids(spark, folder):
-    return documents(spark, folder).select("doc_id").orderBy("doc_id")
+    ids = stored_documents(spark, folder).list_document_ids()
+    return ids.select(F.col("doc_id").cast("bigint").alias("doc_id"))
 
 
 @query("SELECT count(*) AS documents FROM documents")
 def document_count(spark, folder):
-    return documents(spark, folder).agg(F.count(F.lit(1)).alias("documents"))
+    return stored_documents(spark, folder).document_total()
 
 
 @query(
@@ -286,14 +302,9 @@ def metadata_merge(spark, folder):
 )
 def stored_round_trip(spark, folder):
     """Write all documents, upsert the good ones, delete the toxic ones, read back."""
-    kept = store.DocumentStore(spark, scratch_path(spark, "store"), buckets=8)
-    docs = documents(spark, folder).select(
-        F.col("doc_id").cast("string").alias("doc_id"),
-        F.col("source").alias("source_id"),
-        F.col("text").alias("content"),
-    )
+    kept = stored_documents(spark, folder)
+    docs = as_chunks(spark, folder)
     marks = labels(spark, folder).withColumn("doc_id", F.col("doc_id").cast("string"))
-    kept.add_documents(docs)
     good = docs.join(marks.where("quality = 1"), "doc_id", "left_semi")
     kept.add_documents(good.withColumn("content", F.concat(F.lit("new "), "content")))
     kept.delete_documents(marks.where("toxic = 1").select("doc_id"))
