@@ -140,3 +140,19 @@ def test_pipeline_drops_copies_and_leaks(spark, folder):
     leaks = queries.op3_decontaminate(spark, folder).where("contaminated")
     assert clean.count() == docs.count() - leaks.count()
     assert clean.join(leaks, "doc_id", "left_semi").count() == 0
+
+
+def test_pipeline_drops_copies_with_scattered_edits(spark, folder):
+    import corpus_pipeline
+
+    body = [f"w{i}" for i in range(300)]
+    edited = [w if i % 43 else f"x{i}" for i, w in enumerate(body)]  # seven words: similarity 0.79 to 0.81
+    few = [w if i % 60 else f"y{i}" for i, w in enumerate(body)]
+    other = [w if i % 20 else f"z{i}" for i, w in enumerate(body)]
+    rows = [(i, " ".join(w)) for i, w in enumerate((body, edited, few, other), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, folder).collect()}
+    grams = {i: {tuple(t.split()[j : j + 5]) for j in range(296)} for i, t in rows}
+    close = lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    assert close(1, 2) and close(1, 3) and not close(1, 4)
+    assert kept == {1, 4}

@@ -13,7 +13,7 @@ import xxhash
 from conftest import LONG, ODD, PASSAGE  # noqa: F401
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontaminate, language_model, mixing, quality, sharding, simhash, suffix_dedup, toxicity
+from docquarry.llm import decontaminate, jaccard, language_model, mixing, quality, sharding, simhash, suffix_dedup, toxicity
 from docquarry.llm.common import fold
 from docquarry.llm.components import smallest_reachable
 from docquarry.llm.suffix_sort import permuted_prefixes, suffix_array
@@ -329,3 +329,45 @@ def test_tables_give_normalised_probabilities():
 def test_folds(odd):
     found = {r[0]: r[1] for r in odd.select("doc_id", fold("doc_id", 7)).collect()}
     assert found == {i: zlib.crc32(str(i).encode()) % 7 if i is not None else 0 for i, *_ in ODD}
+
+
+def test_first_of_similar_against_all_pairs(spark):
+    draw = random.Random(11)
+    rows = [(i, t) for i, t, *_ in texts(12, 60)]
+    for base in range(6):
+        body = [f"b{base}w{draw.randint(0, 400)}" for _ in range(300)]
+        for edits in (0, 1, 2, 3, 5, 7, 9, 14, 30):
+            copy = list(body)
+            for at in draw.sample(range(len(copy)), edits):
+                copy[at] = "edited"
+            rows.append((len(rows) + 100, " ".join(copy)))
+    rows += [(None, rows[-1][1]), (None, "no id here"), (None, "no id  HERE"), (900, None), (901, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.node: r.id for r in jaccard.first_of_similar(docs).collect()}
+    nodes: dict[str, tuple] = {}
+    for i, t in rows:
+        data = (t or "").encode()
+        words = data.lower().split()
+        grams = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))}
+        nodes.setdefault(hashlib.md5(data).hexdigest(), (set(), grams))[0].add(i)
+    close = {
+        (a, b)
+        for a, (_, x) in nodes.items()
+        for b, (_, y) in nodes.items()
+        if a != b and len(x & y) * 5 >= len(x | y) * 4
+    }
+    assert not [p for p in close if p[0] in found and p[1] in found]
+    reach = set(found)
+    while more := {b for a, b in close if a in reach} - reach:
+        reach |= more
+    assert reach == set(nodes)  # whatever has gone hangs together with what is left
+    assert len(found) < len(nodes)
+    for node, i in found.items():
+        assert i == min((x for x in nodes[node][0] if x is not None), default=None)
+    assert jaccard.first_of_similar(docs.limit(0)).count() == 0
+
+
+def test_first_of_similar_takes_few_rounds_for_copies(spark):
+    body = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*body[:i], "x", *body[i + 1 :]])) for i in range(0, 400, 4)]
+    assert [r.id for r in jaccard.first_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
