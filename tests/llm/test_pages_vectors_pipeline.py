@@ -156,3 +156,15 @@ def test_pipeline_drops_copies_with_scattered_edits(spark, folder):
     close = lambda a, b: len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
     assert close(1, 2) and close(1, 3) and not close(1, 4)
     assert kept == {1, 4}
+
+
+def test_prose_that_shares_phrases_survives(spark):
+    phrase = "at the end of the day it is what it is"
+    long = " ".join(f"l{i}" for i in range(60))
+    own = [f"first{i} story {phrase} and other{i} things" for i in range(5)]
+    rows = [
+        (i, "http://e.example/", f"<div>All pages show this line</div><p>{t}</p><p>c{i} {long} d{i}</p>")
+        for i, t in enumerate(own)
+    ]
+    found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"{t} c{i} d{i}" for i, t in enumerate(own)}
