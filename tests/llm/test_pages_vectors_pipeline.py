@@ -168,3 +168,17 @@ def test_prose_that_shares_phrases_survives(spark):
     ]
     found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found == {i: f"{t} c{i} d{i}" for i, t in enumerate(own)}
+
+
+def test_groups_of_a_host_give_the_text_of_the_whole_host(spark):
+    long = " ".join(f"né{i}" for i in range(70))
+    rows = []
+    for i in range(40):
+        menu = f"<div>section menu of part {i // 2}</div>"  # on two pages only
+        body = f"<p>own{i} words of page{i}" + (f" {long} end{i}" if i in (3, 17) else "") + "</p>"
+        rows.append((i, "http://f.example/", menu + body))
+    rows.append((40, "http://f.example/", rows[5][2]))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert whole[3] == "own3 words of page3 end3" and whole[40] == whole[5] == "own5 words of page5"
+    assert {r.page_id: r.text for r in html_text.main_text(pages, group_pages=4).collect()} == whole
