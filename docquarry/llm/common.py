@@ -28,6 +28,10 @@ class Written:
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    def append(self, df: DataFrame) -> None:
+        """Add the rows of *df*."""
+        df.select(*self.schema.names).write.mode("append").parquet(self.path)
+
     def delete(self) -> None:
         delete_path(self.spark, self.path)
 

@@ -108,7 +108,7 @@ def test_queries_agree_with_sql(spark, folder, name):
 
 def test_every_operator_has_one_query():
     numbers = [int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")]
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, folder, odd):
