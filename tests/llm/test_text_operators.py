@@ -343,7 +343,7 @@ def test_first_of_similar_against_all_pairs(spark):
             rows.append((len(rows) + 100, " ".join(copy)))
     rows += [(None, rows[-1][1]), (None, "no id here"), (None, "no id  HERE"), (900, None), (901, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    found = {r.node: r.id for r in jaccard.first_of_similar(docs).collect()}
+    found = {r.digest: r.id for r in jaccard.first_of_similar(docs).read().collect()}
     nodes: dict[str, tuple] = {}
     for i, t in rows:
         data = (t or "").encode()
@@ -364,10 +364,34 @@ def test_first_of_similar_against_all_pairs(spark):
     assert len(found) < len(nodes)
     for node, i in found.items():
         assert i == min((x for x in nodes[node][0] if x is not None), default=None)
-    assert jaccard.first_of_similar(docs.limit(0)).count() == 0
+    assert jaccard.first_of_similar(docs.limit(0)).read().count() == 0
 
 
 def test_first_of_similar_takes_few_rounds_for_copies(spark):
     body = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join([*body[:i], "x", *body[i + 1 :]])) for i in range(0, 400, 4)]
-    assert [r.id for r in jaccard.first_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    assert [r.id for r in jaccard.first_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).read().collect()] == [0]
+
+
+def test_a_common_passage_makes_no_candidates():
+    """Texts that share a passage, but are not similar, share no key; a similar pair always does."""
+    draw = random.Random(2)
+    passage = [f"p{i}" for i in range(40)]
+    sets = jaccard.Shingler()
+    texts_ = [[*(f"{draw.random()}" for _ in range(60)), *passage, *(f"{draw.random()}" for _ in range(60))] for _ in range(300)]
+    texts_ += [[*t[:80], "edit", *t[81:]] for t in texts_[:30]]
+    found = [sets(" ".join(t).encode()) for t in texts_]
+    sketch = np.zeros((2, jaccard.SKETCH), np.int64)
+    for x in found:
+        for row, at in enumerate(jaccard._counters(x)):
+            np.add.at(sketch[row], at, 1)
+    keys = defaultdict(set)
+    for i, x in enumerate(found):
+        for key in jaccard.prefix(x, sketch).tolist():
+            keys[key].add(i)
+    pairs = {(a, b) for group in keys.values() for a in group for b in group if a < b}
+    assert pairs == {(i, 300 + i) for i in range(30)}
+    flat = np.zeros_like(sketch)  # a sketch that knows nothing costs candidates and loses none
+    for i in range(30):
+        assert jaccard.similar(found[i], found[300 + i])
+        assert set(jaccard.prefix(found[i], flat)) & set(jaccard.prefix(found[300 + i], flat))
