@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import random
 import sys
 
 import numpy as np
 import oracle
 import pytest
 from conftest import ODD
+from pyspark.sql import functions as F
 
 from docquarry.llm import embeddings, html_text, queries
 
@@ -121,6 +123,7 @@ def test_pipeline_stages(spark, folder, odd):
         after = stage(spark, docs, folder)
         assert after.columns == docs.columns
         assert 0 < after.count() <= docs.count()
+        odd = odd.withColumns({n: F.lit("x") for n in ("mix_domain", "__domain", "__tokens", "__times") if n not in odd.columns})
         strange = stage(spark, odd, folder)
         assert strange.columns == odd.columns and strange.count() <= len(ODD)
         assert stage(spark, docs.limit(0), folder).count() == 0
@@ -191,3 +194,65 @@ def test_groups_of_a_host_give_the_text_of_the_whole_host(spark):
     whole = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
     assert whole[3] == "own3 words of page3 end3" and whole[40] == whole[5] == "own5 words of page5"
     assert {r.page_id: r.text for r in html_text.main_text(pages, group_pages=4).collect()} == whole
+
+
+def test_markup_that_must_not_hide_an_article(spark):
+    long = " ".join(f"body{i}" for i in range(40))
+    rows = [
+        ("<article><p>one</p><svg width='1'/><p>two three</p></article>", "one two three"),
+        ("<article><p>a <template-card>b</template-card> <style-guide>c</style-guide> d</p></article>", "a b c d"),
+        ("<article><nav>menu<p>more</article><p>end</p>", "end"),
+        ("<div><nav>menu<div>x</div><p>more</div><p>the text</p>", "the text"),
+        (f"<article><p>teaser</p></article><div><p>{long}</div>", f"teaser {long}"),
+        ("<article><p>text</p></article><div>short line beside it</div>", "text"),
+        ("<article>loose text<br>and more<p>held</p></article>", "loose text and more held"),
+        ("<main><svg><path d='/'/></svg><p>after</main>", "after"),
+    ]
+    pages = spark.createDataFrame([(i, f"http://h{i}.example/", h) for i, (h, _) in enumerate(rows)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert [found[i] for i in range(len(rows))] == [t for _, t in rows]
+
+
+@pytest.mark.parametrize("group_pages", [5, 1000])
+def test_whole_operator_against_brute_force(spark, group_pages):
+    draw = random.Random(group_pages)
+    notice = [f"n{i}" for i in range(60)]
+    rows = []
+    for i in range(30):
+        blocks = []
+        for _ in range(draw.randint(1, 4)):
+            words = [f"v{draw.randint(0, 9)}" for _ in range(draw.randint(1, 45))]
+            if draw.random() < 0.3:
+                words[len(words) // 2 : len(words) // 2] = notice
+            if draw.random() < 0.2:
+                words = ["one", "and", "the", "same", "line"]
+            blocks.append(words)
+        rows.append((i, f"http://host{i % 2}.example/{i}", draw.random() < 0.5, blocks))
+    markup = lambda article, blocks: (
+        "<article><p>held words</p>" + "".join(f"<div>{' '.join(b)}</div>" for b in blocks[1:]) + f"</article><div>{' '.join(blocks[0])}</div>"
+        if article else "".join(f"<p>{' '.join(b)}</p>" for b in blocks)
+    )
+    frame = spark.createDataFrame([(i, u, markup(a, b)) for i, u, a, b in rows], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_text.main_text(frame, group_pages=group_pages).collect()}
+
+    def open_of(article, blocks):
+        return blocks if not article else blocks[1:] + ([blocks[0]] if len(blocks[0]) >= html_text.OUTSIDE_TOKENS else [])
+
+    for i, _, article, blocks in rows:
+        others = [open_of(a, b) for j, _, a, b in rows if j % 2 == i % 2]
+        mine = open_of(article, blocks)
+        stream = [w for b in mine for w in b]
+        others = [o for o in others if [w for b in o for w in b] != stream]
+        windows = {tuple(s[k : k + 50]) for o in others for s in [[w for b in o for w in b]] for k in range(len(s) - 49)}
+        gone = [False] * len(stream)
+        for k in range(len(stream) - 49):
+            if tuple(stream[k : k + 50]) in windows:
+                gone[k : k + 50] = [True] * 50
+        kept, at = ["held", "words"] if article else [], 0
+        for n, block in enumerate(mine):
+            mask, at = gone[at : at + len(block)], at + len(block)
+            copied = len(block) >= 4 and any(block in o for o in others)
+            beside = article and n == len(blocks) - 1
+            if not (beside and (copied or any(mask))) and not (not article and copied):
+                kept += [w for w, drop in zip(block, mask, strict=True) if not drop]
+        assert found[i] == " ".join(kept), i
