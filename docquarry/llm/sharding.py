@@ -3,14 +3,15 @@
 Every row is a point of a few metadata dimensions, each quantised to ``LEVELS`` steps of its global
 range, with its bytes as weight. A node that must give k leaves is cut where floor(k/2)/k of its
 bytes lie on the left, along the dimension in which its points spread widest, until every node is
-one leaf. The cut is found digit by digit: a histogram of the dimension, then two histograms of ten
-bits of a row hash inside the step that holds the median. Each histogram is one map-side
-aggregation of at most ``LEVELS`` rows per node; rows of equal coordinates are told apart by the
-hash, so a source that holds a third of all rows is cut like any other.
+one leaf. The cut is found digit by digit: a histogram of the dimension, then one of ten bits of the
+text's hash and two of ten bits of a row hash inside the step that holds the median. Each histogram is one
+map-side aggregation of at most ``LEVELS`` rows per node. Equal texts of equal coordinates stay together unless
+they straddle a wanted median; those are told apart by the row hash, so a group of copies or a source that
+holds a third of all rows is cut like any other.
 
 Slots are numbered from counts per (shard, hash bucket), so no task ever holds a whole shard.
 
-Null texts weigh one byte, null dimensions are the smallest value, null ids are one hash value.
+Null texts weigh one byte, null dimensions are the smallest value, rows without an id differ by their texts.
 Rows that are equal in every column share a leaf. Extra columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import Written
 
 LEVELS = 1024
-DIGITS = ("h1", "h2")
+DIGITS = ("t1", "h1", "h2")
 SLOT_BUCKETS = 4096
 
 
@@ -47,11 +48,13 @@ def document_dimensions() -> dict[str, Column]:
 def _points(docs: DataFrame, dimensions: Mapping[str, Column], text: str, key: str) -> DataFrame:
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    row = F.xxhash64(F.col(key), F.lit("order"))
+    texts = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit("text"))
+    row = F.xxhash64(F.col(key), texts, F.lit("order"))
     return docs.select(
         F.col(key).alias("doc_id"),
         size.alias("size"),
         crc.alias("text_crc32"),
+        F.pmod(texts, F.lit(LEVELS)).cast("int").alias("t1"),
         F.pmod(row, F.lit(LEVELS)).cast("int").alias("h1"),
         F.pmod(F.shiftright(row, 10), F.lit(LEVELS)).cast("int").alias("h2"),
         F.pmod(F.shiftright(row, 20), F.lit(SLOT_BUCKETS)).cast("int").alias("slots"),
@@ -111,7 +114,7 @@ def _coordinate(names: list[str]) -> Column:
 
 
 def _cuts(state: DataFrame, names: list[str]) -> tuple[Written, list[Written]]:
-    """Per open node: the dimension and the triple (step, h1, h2) of its weighted median."""
+    """Per open node: the dimension and the digits (step, text hash, row hash) of its weighted median."""
     spread = [(F.max(f"q_{n}") - F.min(f"q_{n}")).alias(f"w_{n}") for n in names]
     widest = F.array_position(
         F.array(*[F.col(f"w_{n}") for n in names]), F.greatest(*[F.col(f"w_{n}") for n in names], F.lit(-1))
@@ -162,9 +165,8 @@ def _apply(state: DataFrame, cuts: DataFrame) -> DataFrame:
     """Rows with the node below the cut that they fall into."""
     names = [c[2:] for c in state.columns if c.startswith("q_")]
     joined = state.join(cuts.drop("want"), ["first", "k"], "left").withColumn("d0", _coordinate(names))
-    left = F.struct("d0", "h1", "h2") < F.struct(
-        F.col("c_d0").alias("d0"), F.col("c_h1").alias("h1"), F.col("c_h2").alias("h2")
-    )
+    digits = ("d0", *DIGITS)
+    left = F.struct(*digits) < F.struct(*[F.col(f"c_{d}").alias(d) for d in digits])
     half = F.expr("k div 2")
     return joined.select(
         "doc_id", "size", "text_crc32", "slots", *DIGITS, *[f"q_{n}" for n in names],
