@@ -99,6 +99,10 @@ def _share(level: DataFrame, parent: list[str]) -> DataFrame:
     )
 
 
+#: Columns that a mixture adds.
+ADDED = ("mix_domain", "mix_tokens", "mix_epochs")
+
+
 def leaf_budgets(
     leaves: DataFrame,
     budget: int | None = None,
@@ -155,21 +159,26 @@ def mix(
     seed: int = SEED,
     domain: Column | None = None,
     key: str = "doc_id",
+    describe: bool = True,
 ) -> DataFrame:
     """All columns of *docs* with ``mix_domain``, ``mix_tokens``, ``mix_epochs`` (times it is taken).
 
-    Documents that are not taken are left out.
+    Documents that are not taken are left out. Columns of *docs* with one of those names give way; without
+    *describe* nothing is added and all columns of *docs* stay.
     """
     domain = document_domain() if domain is None else domain
+    own_names = "__"  # no column of the documents begins like ours
+    while any(c.lower().startswith(own_names) for c in docs.columns):
+        own_names += "_"
     own = {
-        "__domain": F.coalesce(domain, F.lit(NONE)),
-        "__language": F.coalesce(F.col("lang"), F.lit(NONE)),
-        "__origin": F.coalesce(F.col("source"), F.lit(NONE)),
-        "__tokens": word_count(),
+        f"{own_names}domain": F.coalesce(domain, F.lit(NONE)),
+        f"{own_names}language": F.coalesce(F.col("lang"), F.lit(NONE)),
+        f"{own_names}origin": F.coalesce(F.col("source"), F.lit(NONE)),
+        f"{own_names}tokens": word_count(),
     }
     kept = docs.select("*", *[expr.alias(name) for name, expr in own.items()])
     narrow = Written(
-        kept.select(*[F.col(f"__{n}").alias(n) for n in LEVELS], F.col("__tokens").alias("tokens"), F.col(key).alias("k")),
+        kept.select(*[F.col(f"{own_names}{n}").alias(n) for n in LEVELS], F.col(f"{own_names}tokens").alias("tokens"), F.col(key).alias("k")),
         "mixrows",
     )
     rows = narrow.read()
@@ -215,24 +224,22 @@ def mix(
     ends = Written(
         parts.read().join(border.read().select(*level, "cut"), level, "left").join(last, level, "left"), "ends"
     )
-    ends = ends.read().select(*[F.col(n).alias(f"__{n}") for n in (*LEVELS, "epochs", "cut", "last")])
-    place = _md5(F.col("__epochs"), seed, key)
-    bucket = F.conv(F.substring("__place", 1, 3), 16, 10).cast("int")
-    at = F.struct(F.col("__place").alias("place"), F.coalesce(F.col(key), F.lit(-(1 << 62))).alias("k"))
-    taken = F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut")) | (
-        (F.col("__bucket") == F.col("__cut")) & F.coalesce(at <= F.col("__last"), F.lit(False))
+    ends = ends.read().select(*[F.col(n).alias(f"{own_names}{n}") for n in (*LEVELS, "epochs", "cut", "last")])
+    place = _md5(F.col(f"{own_names}epochs"), seed, key)
+    bucket = F.conv(F.substring(f"{own_names}place", 1, 3), 16, 10).cast("int")
+    at = F.struct(F.col(f"{own_names}place").alias("place"), F.coalesce(F.col(key), F.lit(-(1 << 62))).alias("k"))
+    taken = F.col(f"{own_names}cut").isNull() | (F.col(f"{own_names}bucket") < F.col(f"{own_names}cut")) | (
+        (F.col(f"{own_names}bucket") == F.col(f"{own_names}cut")) & F.coalesce(at <= F.col(f"{own_names}last"), F.lit(False))
     )
-    times = F.col("__epochs") + F.when(taken & (F.col("__epochs") < max_epochs), 1).otherwise(0)
+    times = F.col(f"{own_names}epochs") + F.when(taken & (F.col(f"{own_names}epochs") < max_epochs), 1).otherwise(0)
     return (
-        kept.join(ends, [f"__{n}" for n in LEVELS])
-        .withColumn("__place", place)
-        .withColumn("__bucket", bucket)
-        .withColumn("__times", times.cast("long"))
-        .where("__times > 0")
+        kept.join(ends, [f"{own_names}{n}" for n in LEVELS])
+        .withColumn(f"{own_names}place", place)
+        .withColumn(f"{own_names}bucket", bucket)
+        .withColumn(f"{own_names}times", times.cast("long"))
+        .where(f"{own_names}times > 0")
         .select(
-            *[F.col(f"`{c}`") for c in docs.columns],
-            F.col("__domain").alias("mix_domain"),
-            F.col("__tokens").alias("mix_tokens"),
-            F.col("__times").alias("mix_epochs"),
+            *[F.col(f"`{c}`") for c in docs.columns if not describe or c.lower() not in ADDED],
+            *[F.col(f"{own_names}{n}").alias(name) for n, name in zip(("domain", "tokens", "times"), ADDED, strict=True) if describe],
         )
     )
