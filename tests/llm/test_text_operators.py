@@ -392,5 +392,6 @@ def test_a_common_passage_makes_no_candidates():
     assert pairs == {(i, 300 + i) for i in range(30)}
     flat = np.zeros_like(sketch)  # a sketch that knows nothing costs candidates and loses none
     for i in range(30):
-        assert jaccard.similar(found[i], found[300 + i])
+        common = len(np.intersect1d(found[i], found[300 + i]))
+        assert common * 9 >= 4 * (len(found[i]) + len(found[300 + i]))
         assert set(jaccard.prefix(found[i], flat)) & set(jaccard.prefix(found[300 + i], flat))
