@@ -63,3 +63,4 @@ class EngineConfig:
     chunks: ChunkSettings = field(default_factory=ChunkSettings)
     search: SearchSettings = field(default_factory=SearchSettings)
     buckets: int = 64
+    embedding_attempts: int = 5

@@ -42,12 +42,14 @@ def reindex_reasons(
     chunk_overlap: int,
     model: str | Column,
     model_version: str,
+    keep_newer: bool = False,
 ) -> DataFrame:
     """Add ``reason`` (null when the source is up to date) to every incoming source.
 
     Both sides have ``source_id, content_hash, last_modified``; *indexed* also has
     ``chunk_size, chunk_overlap, embedding_model, embedding_model_version``. *model* may be a column
-    of the incoming side.
+    of the incoming side. With *keep_newer* a version older than the indexed one is no reason; times of 0
+    or null are unknown and not compared.
     """
     old = indexed.select(
         "source_id",
@@ -68,8 +70,15 @@ def reindex_reasons(
     def differs(left: Column, right: Column) -> Column:
         return ~left.eqNullSafe(right)
 
+    def known(time: Column) -> Column:
+        return F.nullif(time.cast("double"), F.lit(0.0))
+
+    late = F.lit(keep_newer) & F.coalesce(
+        known(F.col("last_modified")) < known(F.col("__last_modified")), F.lit(False)
+    )
     reason = (
         F.when(F.col("__known").isNull(), F.lit("new"))
+        .when(late, F.lit(None).cast("string"))
         .when(differs(F.col("content_hash"), F.col("__content_hash")), F.lit("content"))
         .when(
             differs(F.col("__chunk_size"), F.lit(chunk_size))

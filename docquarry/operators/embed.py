@@ -139,6 +139,10 @@ class Model:
         }
 
 
+#: What is said of a text that has nothing to embed.
+BLANK = "blank text"
+
+
 def native_model(name: str, dim: int = 384) -> Model:
     if name not in NATIVE:
         raise EmbeddingError("unknown native model", name=name)
@@ -153,7 +157,7 @@ def embed(df: DataFrame, model: Model, text: str = "content", out: str = "embedd
         return df.withColumns(
             {
                 out: F.when(~blank, vector),
-                "embedding_error": F.when(blank, F.lit("blank text")),
+                "embedding_error": F.when(blank, F.lit(BLANK)),
             }
         )
     return _embed_remote(df, model, text, out)
@@ -168,7 +172,7 @@ def _embed_remote(df: DataFrame, model: Model, text: str, out: str) -> DataFrame
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             vectors: list[list[float] | None] = [None] * len(texts)
             errors: list[str | None] = [
-                None if value and value.strip() else "blank text" for value in texts
+                None if value and value.strip() else BLANK for value in texts
             ]
             asked = [i for i, error in enumerate(errors) if error is None]
             size = next((s for limit, s in BATCH_STEPS if len(asked) <= limit), LARGEST_BATCH)

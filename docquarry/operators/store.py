@@ -315,6 +315,7 @@ class DocumentStore:
         self.sources = BucketTable(spark, f"{self.root}/sources", S.SOURCES, "source_id", buckets)
         self.chunks = BucketTable(spark, f"{self.root}/chunks", S.CHUNKS, "doc_id", buckets, "source_id")
         self.vectors = BucketTable(spark, f"{self.root}/vectors", S.VECTORS, "doc_id", buckets, "source_id")
+        self.unfinished = BucketTable(spark, f"{self.root}/unfinished", S.UNFINISHED, "doc_id", buckets, "source_id")
         self.settings = BucketTable(spark, f"{self.root}/settings", S.SETTINGS, "key", 1)
 
     # documents
@@ -344,6 +345,7 @@ class DocumentStore:
         status = cut_lineage(delete_status(self.chunks.read(), ids, "doc_id"))
         self.chunks.delete(ids)
         self.vectors.delete(ids)
+        self.unfinished.delete(ids)
         return status
 
     def search_documents(
@@ -381,7 +383,7 @@ class DocumentStore:
 
     def remove_sources(self, ids: DataFrame) -> None:
         """Delete sources, their chunks and their vectors."""
-        for table in (self.vectors, self.chunks, self.sources):
+        for table in (self.vectors, self.unfinished, self.chunks, self.sources):
             table.delete(ids, "source_id")
 
     def update_source_metadata(self, changes: DataFrame) -> None:
@@ -403,7 +405,7 @@ class DocumentStore:
         self.sources.clear()
 
     def clear(self) -> None:
-        for table in (self.sources, self.chunks, self.vectors):
+        for table in (self.sources, self.chunks, self.vectors, self.unfinished):
             table.clear()
 
     # settings

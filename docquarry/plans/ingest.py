@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry import schema as S
@@ -171,6 +171,7 @@ def indexed_settings(stored: DataFrame) -> DataFrame:
 def stale_sources(sources: DataFrame, store: DocumentStore, config: EngineConfig) -> DataFrame:
     """``(source_id, reason)`` of sources that are new or whose content, settings or model changed.
 
+    A version that arrives after a newer one was indexed is left out.
     Only ids, hashes and times are compared; no text passes the join.
     """
     judged = changes.reindex_reasons(
@@ -180,21 +181,29 @@ def stale_sources(sources: DataFrame, store: DocumentStore, config: EngineConfig
         chunk_overlap=config.chunks.overlap,
         model=chosen_model(config),
         model_version=config.embedding_version,
+        keep_newer=True,
     )
     stale = judged.where(F.col("reason").isNotNull())
     return stale.groupBy("source_id").agg(F.min("reason").alias("reason"))
 
 
-def ordinals(vectors: DataFrame, first: int) -> DataFrame:
-    """Number rows in ``(source_id, doc_id)`` order from *first*, increasing but with gaps.
+def ordinals(vectors: DataFrame, first: int, scratch: Scratch) -> DataFrame:
+    """Number rows in ``(source_id, doc_id)`` order from *first*, without gaps.
 
-    Range partitions in order plus the partition-wise row id give a total order without passing
-    all rows through one task.
+    Rows are numbered within range partitions that are in order; the partitions' sizes, one row each, are
+    added up. So all rows never pass one task.
     """
-    ordered = vectors.repartitionByRange("source_id", "doc_id").sortWithinPartitions(
-        "source_id", "doc_id"
+    ordered = vectors.repartitionByRange("source_id", "doc_id").sortWithinPartitions("source_id", "doc_id")
+    placed = scratch.cut(
+        ordered.withColumn("__part", F.spark_partition_id()).withColumn(
+            "__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        )
     )
-    return ordered.withColumn("ordinal", F.lit(first) + F.monotonically_increasing_id())
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    numbered = placed.join(offsets, "__part").withColumn("ordinal", F.lit(first) + F.col("__offset") + F.col("__at"))
+    return numbered.drop("__part", "__at", "__offset")
 
 
 def embed_by_model(chunks: DataFrame, models: Mapping[str, embed.Model]) -> DataFrame:
@@ -206,6 +215,45 @@ def embed_by_model(chunks: DataFrame, models: Mapping[str, embed.Model]) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
+def embed_unfinished(
+    store: DocumentStore, config: EngineConfig, models: Mapping[str, embed.Model], but: DataFrame | None, scratch: Scratch
+) -> tuple[int, DataFrame]:
+    """Embed the chunks whose model failed in an earlier run: how many got a vector, and error rows.
+
+    A chunk is tried in ``config.embedding_attempts`` runs. Sources of *but* are left out. Only the chunks
+    that wait, and the buckets of their sources, are read. Vectors are keyed, so a run that was lost
+    halfway is repeated without harm.
+    """
+    noted = store.unfinished.read()
+    if noted.isEmpty():
+        return 0, S.empty(store.spark, S.ERRORS)
+    waiting = noted.where(
+        (F.col("attempts") < config.embedding_attempts) & F.col("model").isin(list(models))
+    )
+    if but is not None:
+        waiting = waiting.join(but.select("source_id"), "source_id", "left_anti")
+    waiting = scratch.cut(waiting)
+    if waiting.isEmpty():
+        return 0, S.empty(store.spark, S.ERRORS)
+    owners = waiting.select("source_id").distinct()
+    texts = store.chunks.of(owners).select("doc_id", "content").join(waiting.drop("error"), "doc_id")
+    made = scratch.cut(embed_by_model(texts, models).drop("content"))
+    done = made.where(F.col("embedding").isNotNull())
+    versioned = F.concat_ws(":", "model", F.lit(config.embedding_version))
+    last = store.vectors.read().agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).first()[0]
+    store.vectors.upsert(ordinals(done.withColumn("model", versioned), last, scratch))
+    failed = made.where(F.col("embedding").isNull()).select(
+        "doc_id", "source_id", "model", (F.col("attempts") + 1).alias("attempts"), F.col("embedding_error").alias("error")
+    )
+    others = store.unfinished.of(owners).join(waiting.select("doc_id"), "doc_id", "left_anti")
+    store.unfinished.replace(scratch.cut(others.unionByName(failed)), owners)
+    errors = failed.select(
+        F.lit("embedding").alias("stage"), F.lit("EmbeddingError").alias("error_type"),
+        F.col("error").alias("error_message"), "source_id",
+    )
+    return done.count(), cut_lineage(errors)
+
+
 def ingest(
     sources: DataFrame,
     store: DocumentStore,
@@ -222,7 +270,8 @@ def ingest(
 
     Unchanged sources are skipped unless *force*; *load* turns the others into texts, so nothing is
     parsed before it is known to be needed. A changed source replaces its old chunks; vectors of
-    chunks with the same text and model are reused. *models* are those of ``config.model_map`` that
+    chunks with the same text and model are reused. Chunks whose model failed are noted, and the next run embeds
+    them, whether or not their source comes again. *models* are those of ``config.model_map`` that
     are not native; *model* is the default one.
     """
     now = (clock or SystemClock()).time()
@@ -235,10 +284,13 @@ def ingest(
     with Scratch(spark) as scratch:
         if force:
             wanted = sources.withColumn("reason", F.lit("forced"))
+            completed, late_errors = embed_unfinished(store, config, named, sources, scratch)
         else:
             stale = scratch.cut(stale_sources(sources, store, config))
+            completed, late_errors = embed_unfinished(store, config, named, stale, scratch)
             if stale.isEmpty():
-                return IngestResult(dict.fromkeys(COUNTERS, 0), S.empty(spark, S.ERRORS))
+                counts = dict.fromkeys(COUNTERS, 0) | {"vectors_stored": completed, "errors": late_errors.count()}
+                return IngestResult(counts, late_errors)
             wanted = sources.join(stale, "source_id")
         if load:
             wanted = load(wanted)
@@ -290,7 +342,7 @@ def ingest(
             .unionByName(reused.withColumn("reused", F.lit(True)).select(*columns))
         )
         errors = cut_lineage(
-            errors.unionByName(
+            errors.unionByName(late_errors).unionByName(
                 embedded.where(F.col("embedding_error").isNotNull()).select(
                     F.lit("embedding").alias("stage"),
                     F.lit("EmbeddingError").alias("error_type"),
@@ -302,7 +354,13 @@ def ingest(
         vectors = embedded.where(F.col("embedding").isNotNull()).drop("reused")
         last = store.vectors.read().agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).first()[0]
         store.chunks.replace(chunks, owners)
-        store.vectors.replace(scratch.cut(ordinals(vectors.withColumn("model", versioned), last)), owners)
+        store.vectors.replace(scratch.cut(ordinals(vectors.withColumn("model", versioned), last, scratch)), owners)
+        waiting = embedded.where(F.col("embedding").isNull() & (F.col("embedding_error") != embed.BLANK)).select(
+            "doc_id", "source_id", "model", F.lit(1).alias("attempts"), F.col("embedding_error").alias("error")
+        )
+        if not (waiting.isEmpty() and store.unfinished.read().isEmpty()):
+            store.unfinished.replace(waiting, owners)
+        # last, so that a run that was lost before finds its sources stale
         store.sources.replace(source_rows(usable, config, now), owners)
         counts = embedded.agg(
             F.count_if("reused").alias("reused"), F.count("embedding").alias("vectors")
@@ -312,7 +370,7 @@ def ingest(
                 "documents_loaded": usable.count(),
                 "chunks_stored": chunks.count(),
                 "embeddings_reused": counts["reused"],
-                "vectors_stored": counts["vectors"],
+                "vectors_stored": counts["vectors"] + completed,
                 "errors": errors.count(),
             },
             errors,

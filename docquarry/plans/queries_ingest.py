@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.config import ChunkSettings, EngineConfig
+from docquarry.errors import ServiceError
 from docquarry.functions import embedding as V
 from docquarry.functions.text import first_short_line, split_tokens
 from docquarry.operators import changes, chunking, embed
@@ -490,3 +491,76 @@ def mapped_models(spark, folder):
             F.lit(second).alias("second_run"),
         )
     )
+
+
+def _fails_on_some(texts_: list[str]) -> list[list[float]]:
+    if any(len(t) % 29 == 0 for t in texts_):
+        raise ServiceError("service down")
+    return _lengths(texts_)
+
+
+def _lengths(texts_: list[str]) -> list[list[float]]:
+    return [[float(len(t)), 1.0] for t in texts_]
+
+
+def _never(texts_: list[str]) -> list[list[float]]:
+    raise ServiceError("nothing is left to ask")
+
+
+@query(
+    """SELECT count(*) AS chunks, count(*) AS vectors, count(*) AS right_vectors, 1 AS some_failed, 0 AS unfinished,
+              0 AS last_documents, 0 AS last_vectors, 0 AS last_errors
+       FROM documents WHERE length(trim(text)) > 0"""
+)
+def retry_embeddings(spark, folder):
+    """The service fails for some texts, the next run completes them, a third asks nothing."""
+    from docquarry.engine import Engine
+
+    config = EngineConfig(
+        scratch_path(spark, "store"), embedding_model="lengths", embedding_dim=2,
+        chunks=ChunkSettings(size=100_000, overlap=0), buckets=8,
+    )
+    docs = texts(spark, folder).withColumn("doc_id", F.col("doc_id").cast("string"))
+    sources = text_sources(docs, F.col("doc_id"), F.col("text"), F.lit("text/plain"))
+    results = []
+    for asked in (_fails_on_some, _lengths, _never):
+        model = embed.Model(name="lengths", dim=2, remote=asked, retry=embed.Retry(attempts=1))
+        engine = Engine(spark, config, model=model)
+        results.append(engine.index(sources).counts)
+    first, _, last = results
+    vectors = engine.store.vectors.read().select("doc_id", "embedding")
+    held = engine.store.chunks.read().select("doc_id", "content").join(vectors, "doc_id", "left")
+    return held.agg(
+        F.count("*").alias("chunks"),
+        F.count("embedding").alias("vectors"),
+        F.count_if(F.get("embedding", F.lit(0)) == F.length("content")).alias("right_vectors"),
+        F.lit(int(0 < first["vectors_stored"] < first["chunks_stored"])).alias("some_failed"),
+        F.lit(engine.store.unfinished.read().count()).cast("int").alias("unfinished"),
+        *[F.lit(last[n]).cast("int").alias(f"last_{short}") for n, short in
+          (("documents_loaded", "documents"), ("vectors_stored", "vectors"), ("errors", "errors"))],
+    )
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS source_id, md5('new ' || text) AS content_md5, 200.0::DOUBLE AS last_modified
+       FROM documents WHERE length(trim(text)) > 0"""
+)
+def stream_late_versions(spark, folder):
+    """Newer versions arrive first, older ones in a later stream run: the newer ones stay."""
+    from docquarry.engine import Engine
+    from docquarry.streaming.ingest import index_stream
+
+    root = scratch_path(spark, "late")
+    config = EngineConfig(
+        f"{root}/store", embedding_dim=32, chunks=ChunkSettings(size=100_000, overlap=0), buckets=8
+    )
+    engine = Engine(spark, config)
+    docs = texts(spark, folder).withColumn("doc_id", F.col("doc_id").cast("string"))
+    for time, word in ((200.0, "new "), (100.0, "old ")):
+        version = text_sources(docs, F.col("doc_id"), F.concat(F.lit(word), "text"), F.lit("text/plain"))
+        version.withColumn("last_modified", F.lit(time)).write.mode("append").parquet(f"{root}/arriving")
+        arriving = spark.readStream.schema(spark.read.parquet(f"{root}/arriving").schema).parquet(f"{root}/arriving")
+        index_stream(arriving, engine, f"{root}/checkpoint").awaitTermination()
+    times = engine.store.sources.read().select("source_id", "last_modified")
+    held = engine.store.chunks.read().select("source_id", F.md5("content").alias("content_md5"))
+    return held.join(times, "source_id")

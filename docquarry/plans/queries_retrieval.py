@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +13,7 @@ from docquarry.operators import retrieval as R
 from docquarry.operators.search import centroids, first_k, nearest
 from docquarry.plans.catalog import documents, query, questions, texts, vectors
 from docquarry.plans.ingest import ordinals
-from docquarry.session import cut_lineage
+from docquarry.session import Scratch, cut_lineage
 from docquarry.sources.tables import read_table
 
 
@@ -146,19 +145,9 @@ def vector_append(spark, folder):
     docs = texts(spark, folder).select(
         F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("source_id")
     )
-    numbered = ordinals(docs, 100)
-    # the check needs dense places; ranks within range partitions plus their sizes give them
-    part = F.shiftright(F.col("ordinal") - 100, 33)
-    within = F.col("ordinal") - 100 - F.shiftleft(part, 33)
-    numbered = numbered.select("doc_id", "source_id", part.alias("part"), within.alias("at"))
-    sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    # one row per partition, so this window and the broadcast stay small
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    return numbered.join(F.broadcast(offsets), "part").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        "source_id",
-        (F.col("offset") + F.col("at") + 1).alias("place"),
+    numbered = ordinals(docs, 100, Scratch(spark))
+    return numbered.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "source_id", (F.col("ordinal") - 99).alias("place")
     )
 
 
@@ -259,12 +248,26 @@ def postings_index(spark, folder):
     )
 
 
-@query("SELECT term, round(idf, 6) AS idf FROM idf", ("tokens", "idf"))
+@query(
+    """SELECT substr(term, 1, 1) AS initial, count(*) AS terms, sum(micro)::VARCHAR AS total,
+              sum(micro::HUGEINT * ('0x' || substr(md5(term), 1, 8))::BIGINT)::VARCHAR AS checksum
+       FROM (SELECT term, floor(idf * 1e6 + 0.5)::BIGINT AS micro FROM idf) GROUP BY ALL""",
+    ("tokens", "idf"),
+)
 def term_weights(spark, folder):
-    """Inverse document frequencies with the floor for very common terms."""
-    docs = texts(spark, folder)
-    weights = B.term_weights(cut_lineage(B.term_stats(docs)))
-    return weights.select("term", F.round("idf", 6).alias("idf"))
+    """Inverse document frequencies with the floor for very common terms, summed up per first letter.
+
+    Every term and its weight in millionths count in the checksum.
+    """
+    weights = B.term_weights(cut_lineage(B.term_stats(texts(spark, folder))))
+    micro = F.floor(F.col("idf") * 1e6 + 0.5).cast("bigint").alias("micro")
+    rows = weights.select("term", micro)
+    marked = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("decimal(10,0)")
+    return rows.groupBy(F.substring("term", 1, 1).alias("initial")).agg(
+        F.count("*").alias("terms"),
+        F.sum("micro").cast("string").alias("total"),
+        F.sum(F.col("micro").cast("decimal(12,0)") * marked).cast("string").alias("checksum"),
+    )
 
 
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"

@@ -17,6 +17,8 @@ CHUNKS = (
     "heading_path string, closest_heading string, metadata map<string,string>"
 )
 VECTORS = "doc_id string, source_id string, ordinal bigint, embedding array<float>, model string"
+# chunks that have no vector yet because the model failed
+UNFINISHED = "doc_id string, source_id string, model string, attempts int, error string"
 SETTINGS = "key string, value string"
 ERRORS = "stage string, error_type string, error_message string, source_id string"
 

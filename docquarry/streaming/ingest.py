@@ -12,7 +12,8 @@ from docquarry.operators.store import latest
 def index_stream(sources: DataFrame, engine, checkpoint: str, trigger: dict | None = None):
     """Index every micro-batch; the upserts are keyed, so a replayed batch changes nothing.
 
-    A batch may hold a source more than once; its last version (by ``last_modified``) counts.
+    The last version of a source (by ``last_modified``) counts, within a batch and over all batches: the
+    catalog holds the time of what was indexed, and an older version that comes late is left out.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -330,3 +330,59 @@ def test_filters_come_before_the_search(spark, tmp_path):
         paths = {r["qid"]: sorted(s["path"] for s in r["sources"]) for r in answers}
         assert hybrid or paths[0] == ["x1", "x2"]
         assert set(paths[0]) <= {"x1", "x2"} and len(paths[1]) == 2
+
+
+def test_failed_embeddings_are_completed_by_the_next_run(spark, tmp_path):
+    from docquarry.errors import ServiceError
+    from docquarry.operators.embed import Model, Retry
+
+    asked = str(tmp_path / "asked")
+    down = spark.createDataFrame([("a", "alpha text"), ("b", "broken text"), ("c", "   ")], "source_id string, text string")
+    sources = down.selectExpr(
+        "source_id", "source_id location", "'text/plain' content_type", "text", "sha2(text, 256) content_hash",
+        "length(text) size_bytes", "100.0D last_modified",
+    )
+
+    def model(fails):
+        def remote(texts):
+            with open(asked, "a") as log:
+                log.writelines(t + "\n" for t in texts)
+            if any(fails in t for t in texts):
+                raise ServiceError("down")
+            return [[float(len(t)), 0.0] for t in texts]
+
+        return Model(name="m", dim=2, remote=remote, retry=Retry(attempts=1))
+
+    config = EngineConfig(str(tmp_path / "store"), embedding_model="m", embedding_dim=2, buckets=2, embedding_attempts=3)
+    one = lambda fails: Engine(spark, config, model=model(fails))
+    first = one("broken").index(sources.repartition(3, "source_id"))
+    held = lambda e: {r.doc_id.split("#")[0]: r.ordinal for r in e.store.vectors.read().collect()}
+    assert first.counts["errors"] >= 1 and "b" not in held(one(""))
+    again = one("broken").index(sources)
+    assert again.counts["documents_loaded"] == 0 and again.counts["errors"] == 1
+    assert [r.attempts for r in one("").store.unfinished.read().collect() if r.source_id == "b"] == [2]
+    with open(asked, "w"):
+        pass
+    done = one("nothing").index(sources.where("source_id = 'a'"))  # its source need not come again
+    assert done.counts["vectors_stored"] >= 1 and "broken text" in open(asked).read()
+    assert {"a", "b"} <= set(held(one(""))) and sorted(held(one("")).values()) == list(range(len(held(one("")))))
+    assert one("").store.unfinished.read().count() == 0
+    with open(asked, "w"):
+        pass
+    assert one("text").index(sources).counts["errors"] == 0 and open(asked).read() == ""
+
+
+def test_an_older_version_does_not_replace_a_newer_one(spark, tmp_path):
+    def version(time, text):
+        return spark.createDataFrame([("s", "s", "text/plain", text, text, 1, time)],
+                                     "source_id string, location string, content_type string, text string, content_hash string, size_bytes long, last_modified double")
+
+    engine = Engine(spark, EngineConfig(str(tmp_path / "store"), buckets=2))
+    stored = lambda: engine.store.chunks.read().first().content
+    engine.index(version(200.0, "new version"))
+    assert engine.index(version(100.0, "old version")).counts["documents_loaded"] == 0 and stored() == "new version"
+    engine.index(version(None, "time unknown"))
+    assert stored() == "time unknown"
+    engine.index(version(300.0, "newest"))
+    engine.index(version(100.0, "old by force"), force=True)
+    assert stored() == "old by force"
