@@ -12,6 +12,7 @@ from docquarry.config import EngineConfig, SearchSettings
 from docquarry.operators import answer as A
 from docquarry.operators import embed as E
 from docquarry.operators import store as ST
+from docquarry.operators.postings import PostingIndex
 from docquarry.plans import answering, ingest
 from docquarry.sources import files, loaders
 from docquarry.streaming import ingest as stream
@@ -94,7 +95,13 @@ class Engine:
         rows = [(i, text) for i, text in enumerate(texts)]
         return self.spark.createDataFrame(rows, "qid bigint, text string")
 
-    def answer(self, questions: DataFrame, **changes) -> DataFrame:
+    def index_terms(self) -> PostingIndex:
+        """Postings of all chunks for hybrid search, to be passed to :meth:`answer`; write them after indexing."""
+        terms = PostingIndex(self.spark, f"{self.config.data_dir}/terms", self.config.buckets)
+        answering.index_terms(self.store.chunks.located(), terms)
+        return terms
+
+    def answer(self, questions: DataFrame, terms: PostingIndex | None = None, **changes) -> DataFrame:
         """Answers of a ``(qid, text)`` frame; *changes* override search settings."""
         if self.store.vectors.read().isEmpty():
             none = F.expr("cast(array() as array<struct<path:string,type:string,excerpt:string>>)")
@@ -116,6 +123,7 @@ class Engine:
             self._settings(**changes),
             self.chat,
             self.clock.time(),
+            terms,
         )
 
     def ask(self, question: str, **changes) -> dict:

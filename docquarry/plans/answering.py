@@ -13,6 +13,7 @@ from docquarry.operators import answer as A
 from docquarry.operators import bm25 as B
 from docquarry.operators import embed as E
 from docquarry.operators import retrieval as R
+from docquarry.operators.postings import PostingIndex
 from docquarry.operators.search import nearest
 from docquarry.session import cut_lineage
 
@@ -85,8 +86,12 @@ def _ranked(
     model: E.Model,
     settings: SearchSettings,
     bm25_weights: DataFrame | None,
+    terms: PostingIndex | None = None,
 ) -> DataFrame:
-    """``(qid, doc_id, rank)``: dense search, fused with BM25 in hybrid mode."""
+    """``(qid, doc_id, rank)``: dense search, fused with BM25 in hybrid mode.
+
+    With *terms* BM25 reads stored postings instead of all chunks.
+    """
     wide = settings.k * settings.overfetch
     asked = E.embed(parsed.select("qid", "clean"), model, "clean").select("qid", "embedding")
     ranked = nearest(asked, vectors, wide, settings.metric, ordinal="ordinal").select(
@@ -94,8 +99,12 @@ def _ranked(
     )
     if not settings.hybrid:
         return ranked
+    asked_text = parsed.select("qid", F.col("clean").alias("text"))
+    if terms is not None:
+        sparse = terms.search(asked_text, wide)
+        return R.reciprocal_rank_fusion(ranked, sparse, k=wide).select("qid", "doc_id", "rank")
     sparse = B.bm25(
-        parsed.select("qid", F.col("clean").alias("text")),
+        asked_text,
         chunks.select("doc_id", F.col("content").alias("text")),
         wide,
         weights=bm25_weights,
@@ -104,7 +113,13 @@ def _ranked(
 
 
 def _prefiltered(
-    parsed: DataFrame, chunks: DataFrame, vectors: DataFrame, model: E.Model, settings: SearchSettings, weights
+    parsed: DataFrame,
+    chunks: DataFrame,
+    vectors: DataFrame,
+    model: E.Model,
+    settings: SearchSettings,
+    weights: DataFrame | None,
+    terms: PostingIndex | None = None,
 ) -> DataFrame:
     """As :func:`_ranked`, each set of filters searching only the chunks that pass it.
 
@@ -116,8 +131,8 @@ def _prefiltered(
     sets = [row[0] for row in filtered.select(entries.alias("e")).distinct().collect()]
     if weights is None and settings.hybrid and sets:
         # statistics are those of the whole corpus, not of what passes a filter
-        weights = B.term_weights(cut_lineage(B.term_stats(chunks.select("doc_id", F.col("content").alias("text")))))
-    parts = [_ranked(parsed.where(F.size("filters") == 0), chunks, vectors, model, settings, weights)]
+        weights = terms.weights().where(F.col("term").isNotNull()) if terms is not None else B.term_weights(cut_lineage(B.term_stats(chunks.select("doc_id", F.col("content").alias("text")))))
+    parts = [_ranked(parsed.where(F.size("filters") == 0), chunks, vectors, model, settings, weights, terms)]
     for wanted in sets:
         pairs = [F.struct(F.lit(e["key"]).alias("key"), F.lit(e["value"]).alias("value")) for e in wanted]
         passing = chunks.where(chunk_passes(F.map_from_entries(F.array(*pairs))))
@@ -127,6 +142,15 @@ def _prefiltered(
     return reduce(DataFrame.unionByName, parts)
 
 
+def index_terms(chunks: DataFrame, terms: PostingIndex) -> None:
+    """Write the postings of all *chunks* anew, for hybrid search.
+
+    Chunks deleted later are left out of answers by the join with their text; for new ones write again.
+    """
+    terms.clear()
+    terms.add(_located(chunks), "doc_id", "content")
+
+
 def retrieve(
     parsed: DataFrame,
     chunks: DataFrame,
@@ -134,20 +158,22 @@ def retrieve(
     model: E.Model,
     settings: SearchSettings,
     bm25_weights: DataFrame | None = None,
+    terms: PostingIndex | None = None,
 ) -> DataFrame:
     """Ranked chunks per question with the chunk columns: filter, search, rerank, first k.
 
     Only ids and scores travel through the search; chunk columns are joined to the few survivors.
     With ``settings.prefilter`` off, filters apply to ``overfetch * k`` found chunks instead and may
     leave fewer than k. Tables that carry their ``bucket`` are joined by it as well: few questions
-    read only the buckets that hold their chunks.
+    read only the buckets that hold their chunks. Questions without filters search *terms*, where
+    given (:func:`index_terms`); questions with filters take its statistics and scan what passes.
     """
     k, wide = settings.k, settings.k * settings.overfetch
     by_bucket = "bucket" in chunks.columns and "bucket" in vectors.columns
     if not by_bucket:
         chunks, vectors = chunks.drop("bucket"), vectors.drop("bucket")
     search = _prefiltered if settings.prefilter else _ranked
-    ranked = search(parsed, _located(chunks), _located(vectors), model, settings, bm25_weights)
+    ranked = search(parsed, _located(chunks), _located(vectors), model, settings, bm25_weights, terms)
     ranked = ranked.where(F.col("rank") <= wide)
     if by_bucket:
         ranked = _unlocated(ranked)
@@ -200,10 +226,11 @@ def answer_questions(
     settings: SearchSettings | None = None,
     chat: A.ChatModel | None = None,
     now: float = 0.0,
+    terms: PostingIndex | None = None,
 ) -> DataFrame:
     """Answers of all *questions* ``(qid, text)`` over the chunk and vector tables."""
     settings = settings or SearchSettings()
-    ranked = retrieve(parse_questions(questions), chunks, vectors, model, settings)
+    ranked = retrieve(parse_questions(questions), chunks, vectors, model, settings, terms=terms)
     prompted = prompts(ranked, questions, settings)
     replied = A.generate(prompted, chat, settings.system_prompt)
     return A.finish_answers(replied, now)

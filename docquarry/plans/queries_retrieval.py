@@ -10,10 +10,11 @@ from docquarry.functions.vectors import cosine, squared_l2
 from docquarry.operators import bm25 as B
 from docquarry.operators import chunking, evaluate
 from docquarry.operators import retrieval as R
+from docquarry.operators.postings import PostingIndex
 from docquarry.operators.search import centroids, first_k, nearest
 from docquarry.plans.catalog import documents, query, questions, texts, vectors
 from docquarry.plans.ingest import ordinals
-from docquarry.session import Scratch, cut_lineage
+from docquarry.session import Scratch, cut_lineage, scratch_path
 from docquarry.sources.tables import read_table
 
 
@@ -235,6 +236,28 @@ def bm25_topk(spark, folder):
     return rounded(sparse(spark, folder, 10))
 
 
+def posted(spark, folder, k):
+    """BM25 from an index that was written in two batches, English texts first."""
+    docs = texts(spark, folder)
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    index = PostingIndex(spark, scratch_path(spark, "terms"), parts=8)
+    try:
+        index.add(docs.where(english))
+        index.add(docs.where(~english))
+        return index.search(questions(spark, folder), k)
+    finally:
+        index.clear()
+
+
+@query(
+    "SELECT qid, doc_id, rank, round(score, 6) AS score FROM bm25 WHERE rank <= 10",
+    ("tokens", "idf", "bm25"),
+)
+def bm25_postings(spark, folder):
+    """Best documents for every benchmark passage, from stored postings."""
+    return rounded(posted(spark, folder, 10))
+
+
 @query(
     "SELECT term, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM ("
     "SELECT term, doc_id, count(*) AS tf FROM tokens GROUP BY ALL) GROUP BY term",
@@ -306,17 +329,17 @@ _DENSE_DOCS = f"""vectors_of AS (
     QUALIFY rank <= 10)"""
 
 
-@query(
-    f"""WITH {_DENSE_DOCS},
+_FUSED = f"""WITH {_DENSE_DOCS},
         fused AS (SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 12) AS score, min(place) AS place FROM (
             SELECT qid, doc_id, rank, rank AS place FROM dense_docs
             UNION ALL SELECT qid, doc_id, rank, 1000 + rank FROM bm25 WHERE rank <= 10)
           GROUP BY qid, doc_id)
         SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, place) AS rank,
                round(score, 6) AS score
-        FROM fused QUALIFY rank <= 4""",
-    ("tokens", "idf", "bm25"),
-)
+        FROM fused QUALIFY rank <= 4"""
+
+
+@query(_FUSED, ("tokens", "idf", "bm25"))
 def rrf_fusion(spark, folder):
     """Vector and BM25 lists over whole documents fused by reciprocal ranks."""
     stored = digest_vectors(texts(spark, folder).select("doc_id", "text"))
@@ -327,6 +350,16 @@ def rrf_fusion(spark, folder):
     )
 
 
+@query(_FUSED, ("tokens", "idf", "bm25"))
+def rrf_postings(spark, folder):
+    """As rrf_fusion, its BM25 list from stored postings."""
+    stored = digest_vectors(texts(spark, folder).select("doc_id", "text"))
+    dense = nearest(digest_vectors(questions(spark, folder)), stored, 10, "cosine")
+    return rounded(R.reciprocal_rank_fusion(dense, posted(spark, folder, 10), k=4)).select(
+        "qid", "doc_id", "rank", "score"
+    )
+
+
 _PACKED = """ranked AS (
     SELECT b.qid, b.rank, b.doc_id, d.source, d.text AS content, len(regexp_extract_all(d.text, '\\S+')) AS tokens
     FROM bm25 b JOIN documents d USING (doc_id) WHERE b.rank <= 6),

@@ -49,6 +49,23 @@ def test_batches_add_up(spark, tmp_path):
     assert state(parts) == state(whole)
 
 
+def test_hybrid_answers_from_stored_postings(spark, tmp_path):
+    engine = Engine(spark, config(tmp_path / "s"), clock=FixedClock(1.0))
+    engine.index(sources(spark, A1 + B1))
+    terms = engine.index_terms()
+    asked = engine.questions(["gamma delta", "two three", "last one", "one filter:source_id=a", "nothing known"])
+
+    def found(**more):
+        rows = engine.answer(asked, hybrid=True, k=2, **more).collect()
+        return sorted((r["qid"], r["answer"], str(r["sources"])) for r in rows)
+
+    assert found(terms=terms) == found()
+    # written again, the index holds new chunks and no old ones
+    engine.index(sources(spark, [("e", "gamma gamma delta delta")]))
+    assert found(terms=engine.index_terms()) == found()
+    assert terms.version() == 1
+
+
 def test_changed_source_reuses_equal_chunks(spark, tmp_path):
     engine = Engine(spark, config(tmp_path / "s"))
     engine.index(sources(spark, A1))
