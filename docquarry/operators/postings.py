@@ -1,15 +1,15 @@
 """BM25 search over a stored inverted index, without reading texts and without Python workers.
 
 Documents are dealt into *ranges* of about ``range_docs`` by a hash of their id. A *block* holds the
-postings of one term in one range: ``(part, term, range, size, tokens, impact, built, entries)`` with
-``entries`` an array of ``(doc, tf, length)``. So a very frequent term is many blocks of bounded size, and a
+postings of one term in one range: ``(part, term, range, size, tokens, impact, built, docs, tfs, lengths)``
+with one element per document in the last three (plain arrays take half the bytes of an array of structs). So a very frequent term is many blocks of bounded size, and a
 block fits a task whatever the corpus. Blocks lie in folders by a hash of their term (``part``), sorted by term
 and falling ``impact``, the largest term frequency gain of the block. The null term has one posting per
 document; it counts documents and tokens.
 
 A search reads the parts of the asked terms in two steps:
 
-1. The heads (all columns but ``entries``) bound what a range can give to a question: the sum of weight times
+1. The heads (all columns but the arrays) bound what a range can give to a question: the sum of weight times
    impact. The ``LEADS`` best ranges of each question are scored; their k-th score is a floor of the result.
 2. Of the other ranges only those whose bound reaches the floor are scored. All others are skipped, which
    cannot change the answer.
@@ -38,6 +38,8 @@ LEADS = 2
 SLACK = 1e-6
 # Up to so many asked terms are pushed to the scan as a list.
 PUSHED_TERMS = 1_000
+# The array columns of a block, and what one element of each is.
+ENTRIES = {"docs": "doc", "tfs": "tf", "lengths": "length"}
 # Range numbers of one batch lie below this.
 _BATCH_RANGES = 1 << 40
 
@@ -130,9 +132,12 @@ class PostingIndex:
             F.lit(built).alias("built"),
             F.collect_list(F.struct("doc", "tf", "length")).alias("entries"),
         )
+        for name, member in ENTRIES.items():
+            blocks = blocks.withColumn(name, F.col(f"entries.{member}"))
         target = f"{self.path}/blocks/batch={batch}"
         (
-            blocks.withColumn("part", self._part())
+            blocks.drop("entries")
+            .withColumn("part", self._part())
             .hint("rebalance", "part")
             .sortWithinPartitions("part", "term", F.desc("impact"))
             .write.mode("overwrite")
@@ -181,11 +186,11 @@ class PostingIndex:
 
         Whole blocks are shuffled by question and range, so that no single posting is.
         """
-        held = blocks.select("part", "term", "range", "entries")
+        held = blocks.select("part", "term", "range", *ENTRIES)
         met = chosen.join(asked, "qid").join(held, ["part", "term", "range"])
-        listed = met.repartition("qid", "range").select(
-            "qid", "range", "weight", "avg_len", F.inline("entries")
-        )
+        zipped = F.arrays_zip(*ENTRIES)
+        listed = met.select("qid", "range", "weight", "avg_len", *ENTRIES).repartition("qid", "range")
+        listed = listed.select("qid", "range", "weight", "avg_len", F.inline(zipped).alias(*ENTRIES.values()))
         score = F.round(F.sum(F.col("weight") * self._gain(F.col("avg_len"))), SCORE_DECIMALS)
         return listed.groupBy("qid", "range", "doc").agg(score.alias("score")).select("qid", "doc", "score")
 

@@ -111,7 +111,7 @@ def test_plan_reads_asked_parts_without_python_or_texts(spark, asked):
         read = blocks.select(F.input_file_name()).distinct().collect()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
     assert "text" not in plan
-    scans = [line for line in plan.splitlines() if "entries" in line and "FileScan" in line]
+    scans = [line for line in plan.splitlines() if "tfs" in line and "FileScan" in line]
     assert scans
     for line in scans:
         assert re.search(r"PartitionFilters: \[[^]]*part#\d+L? (IN|=)", line), line
