@@ -318,6 +318,51 @@ def test_language_model_beats_the_base_on_structure(spark):
     assert sum(r.score for r in found) > 0.8 * sum(r.base_score for r in found)
 
 
+def test_banded_words_follow_their_context(spark):
+    """Two topics share frequent words; the banded words depend on which of them stood before."""
+    draw = random.Random(5)
+    rows = []
+    for i in range(1500):
+        topic = draw.choice("ab")
+        rows.append((i, " ".join(f"{topic}{draw.randint(0, 2)} {topic}x{draw.randint(0, 39)}" for _ in range(20))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    scores = {}
+    for cover in (0.0, 1.0):
+        found = language_model.score_texts(docs, size=6, cover=cover).where("held_out").collect()
+        scores[cover] = sum(r.score for r in found) / sum(r.n_tokens for r in found)
+    # knowing the topic of a banded word is worth half of log10(2) per token
+    assert scores[1.0] > scores[0.0] + 0.08
+
+
+def test_vocabulary_follows_the_tokens(spark):
+    counts = spark.createDataFrame([(f"w{i:04d}", 1 + 4000 // (i + 1)) for i in range(2000)] + [("\n", 50)], "word string, n long")
+    sizes = []
+    for cover in (0.0, 0.5, 0.9, 1.0):
+        known = language_model.vocabulary(counts, 100, 1500, cover)
+        words = known.total - known.ends
+        assert known.own in (100, 1500) or known.counts[: known.own].sum() >= cover * words > known.counts[: known.own - 1].sum()
+        assert known.symbol_counts().sum() == known.total and len(known.symbol_counts()) == known.symbols
+        assert known.rest == (words - known.counts[: known.own].sum(), 2000 - known.own)
+        assert known.symbol_of().max() == known.symbols - 2
+        shares = np.exp(known.band_shares())
+        assert np.allclose([shares[a:b].sum() for a, b in zip(known.edges()[:-1], known.edges()[1:], strict=True)], 1.0, atol=1e-4)
+        sizes.append(known.own)
+    assert sizes == sorted(sizes) and sizes[0] == 100 and sizes[-1] == 1500
+
+
+def test_bands_are_normalised_over_their_words():
+    draw = np.random.default_rng(2)
+    m = language_model.Parameters.start(9, np.arange(9) * 3.0, 5, 1)
+    m.q *= 20
+    bands = language_model.Bands(draw.normal(0, 2, (7, 5)).astype(np.float32), np.zeros(7, np.float32), np.array([0, 4, 7]))
+    c1, c2 = (np.repeat(draw.integers(0, 9, 30), 7) for _ in range(2))
+    p = np.exp(bands.log_probabilities(m, c1, c2, np.tile(np.arange(7), 30))).reshape(30, 7)
+    assert np.allclose(p[:, :4].sum(axis=1), 1.0, atol=1e-5) and np.allclose(p[:, 4:].sum(axis=1), 1.0, atol=1e-5)
+    h = m.q[c1[0]] * m.p[0] + m.q[c2[0]] * m.p[1]
+    by_hand = np.exp([h @ t for t in bands.t[:4]])
+    assert np.allclose(p[0, :4], by_hand / by_hand.sum(), rtol=1e-4)
+
+
 def test_tables_give_normalised_probabilities():
     m = language_model.Parameters.start(9, np.arange(9) * 3.0, 5, 1)
     m.q *= 20
