@@ -240,13 +240,17 @@ class Trainer:
         self.first_band = len(counts) - 2 - (len(bands.edges) - 1)
         self.seen_t = np.full((len(bands.t), 1), 0.1, np.float32)
         self.met = np.zeros(len(bands.t), np.int64)
+        self.slots = np.zeros(max(len(self.m.q), len(bands.t)), np.int64)
 
     def _rows(self, values: np.ndarray, seen: np.ndarray, at: np.ndarray, grads: np.ndarray, rate: float) -> None:
-        order = np.argsort(at, kind="stable")
-        sorted_at = at[order]
-        first = np.flatnonzero(np.concatenate(([True], sorted_at[1:] != sorted_at[:-1])))
-        rows = sorted_at[first]
-        total = np.add.reduceat(grads[order], first, axis=0)
+        # one place of each row stands for all, found without a sort
+        here, width = np.arange(len(at)), grads.shape[1]
+        self.slots[at] = here
+        stand = self.slots[at]
+        chosen = stand == here
+        rows, place = at[chosen], (np.cumsum(chosen) - 1)[stand]
+        cells = (place[:, None] * width + np.arange(width)).ravel()
+        total = np.bincount(cells, grads.ravel(), len(rows) * width).reshape(-1, width).astype(np.float32)
         seen[rows] += (total * total).mean(axis=1, keepdims=True)
         values[rows] -= rate * total / np.sqrt(seen[rows])
 
