@@ -11,11 +11,15 @@ boilerplate. So is, outside of an article, a whole block of ``BLOCK_TOKENS`` or
 distinct page. Shorter strings that pages share within their blocks are prose. The unique runs are kept; a
 block beside an article is kept if nothing of it is repeated. Blocks stay in page order.
 
+The token streams of all pages go through the array, those of vouched blocks too: they say what a repeated string
+is. Open text that structure vouches for on another page is a copy of prose and stays, however many pages
+have it; beside an article it is an excerpt or teaser of another and goes. Vouched blocks stay themselves.
+
 Pages of a host are sorted in groups of about ``group_pages``, dealt by a hash, so a host with a
 third of all pages is many tasks and a task's stream is bounded by its group. Hosts of several groups
-exchange the digests of all their windows and blocks: those on two distinct streams anywhere on the
-host are joined back to the pages, so a group is a unit of work only. Pages with the same stream count
-as one page, so copies of a page do not erase each other.
+that have open text exchange the digests of all their windows and blocks: those of open text that two distinct
+pages or a vouched block anywhere on the host have are joined back to the pages, so a group is a unit of work
+only. Pages with the same blocks count as one page, so copies of a page do not erase each other.
 
 Null html is empty and gives empty text. Null urls are one host. Repeated ids and rows are rows of
 their own. Extra columns are ignored; an empty table gives no rows. Broken markup: an unclosed
@@ -170,17 +174,20 @@ def page_blocks(page: str) -> list[tuple[str, int]]:
     return blocks
 
 
-def repeated_tokens(streams: list[list[int]], length: int) -> list[np.ndarray]:
-    """Per stream, which tokens lie in a string of *length* tokens that another stream has as well.
+def string_evidence(
+    streams: list[list[int]], owners: list[int], vouched: list[bool], length: int
+) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per stream, which tokens lie in a string of *length* tokens that open streams of two owners have, and which
+    in one that a vouched stream has.
 
     The streams are concatenated; the suffix array is sorted to *length* tokens by doubling ranks.
     Strings that cross the end of a stream are unlike all others.
     """
-    sizes = np.array([len(s) for s in streams])
+    sizes = np.array([len(s) for s in streams], np.int64)
     if sizes.sum() < length:
-        return [np.zeros(n, bool) for n in sizes]
+        return [np.zeros(n, bool) for n in sizes], [np.zeros(n, bool) for n in sizes]
     tokens = np.concatenate([np.array(s, np.int64) for s in streams])
-    owner = np.repeat(np.arange(len(streams)), sizes)
+    stream = np.repeat(np.arange(len(streams)), sizes)
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1] + 1
     have = 1
@@ -190,43 +197,55 @@ def repeated_tokens(streams: list[list[int]], length: int) -> list[np.ndarray]:
         later[: n - step] = rank[step:]
         rank = np.unique(rank * (n + 2) + later, return_inverse=True)[1] + 1
         have += step
-    whole = np.zeros(n, bool)
-    if n >= length:
-        whole[: n - length + 1] = owner[: n - length + 1] == owner[length - 1 :]
-    at = np.flatnonzero(whole)
-    covered = np.zeros(n, bool)
-    if len(at):
-        array = at[np.argsort(rank[at], kind="stable")]
-        ranks, owners = rank[array], owner[array]
-        first = np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1])))
-        apart = np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first)
-        repeated = array[np.repeat(apart, np.diff(np.append(first, len(array))))]
-        depth = np.zeros(n + 1, np.int64)
-        np.add.at(depth, repeated, 1)
-        np.add.at(depth, repeated + length, -1)
-        covered = np.cumsum(depth[:-1]) > 0
+    at = np.flatnonzero(stream[: n - length + 1] == stream[length - 1 :])
     ends = np.cumsum(sizes)
-    return [covered[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+    def covered(starts: np.ndarray) -> list[np.ndarray]:
+        depth = np.zeros(n + 1, np.int64)
+        np.add.at(depth, starts, 1)
+        np.add.at(depth, starts + length, -1)
+        mask = np.cumsum(depth[:-1]) > 0
+        return [mask[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+    if not len(at):
+        return covered(at), covered(at)
+    array = at[np.argsort(rank[at], kind="stable")]
+    ranks = rank[array]
+    first = np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1])))
+    held = np.array(vouched, bool)[stream[array]]
+    of = np.array(owners, np.int64)[stream[array]]
+    least = np.minimum.reduceat(np.where(held, len(streams), of), first)
+    apart = least < np.maximum.reduceat(np.where(held, -1, of), first)
+    sure = np.logical_or.reduceat(held, first)
+    many = np.diff(np.append(first, len(array)))
+    return covered(array[np.repeat(apart, many)]), covered(array[np.repeat(sure, many)])
+
+
+def repeated_tokens(streams: list[list[int]], length: int) -> list[np.ndarray]:
+    """Per stream, which tokens lie in a string of *length* tokens that another stream has as well."""
+    return string_evidence(streams, list(range(len(streams))), [False] * len(streams), length)[0]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        whole, blocks, kinds = [], [], []
-        for page in batch.column(2).to_pylist():
-            found = page_blocks(page or "")
-            sure = all(kind == PROSE for _, kind in found)
-            whole.append(" ".join(t for t, _ in found) if sure else None)
-            blocks.append(None if sure else [t for t, _ in found])
-            kinds.append(None if sure else [k for _, k in found])
+        found = [page_blocks(page or "") for page in batch.column(3).to_pylist()]
+        blocks, kinds = [[t for t, _ in page] for page in found], [[k for _, k in page] for page in found]
+        stream = [_stream(b, k) for b, k in zip(blocks, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), batch.column(1), pa.array(whole, pa.string()),
+                *batch.columns[:3], pa.array(stream, pa.int64()),
                 pa.array(blocks, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32())),
             ],
-            names=["page_id", "url", "article", "blocks", "kinds"],
+            names=["page_id", "url", "host", "stream", "blocks", "kinds"],
         )
 
 
+def _stream(blocks: list[str], kinds: list[int]) -> int:
+    """The identity of a page: its blocks, open and vouched for."""
+    parts = [" ".join(b for b, k in zip(blocks, kinds, strict=True) if (k == PROSE) == sure) for sure in (False, True)]
+    return xxhash.xxh64_intdigest("\0".join(parts).encode(), 3) - (1 << 63)
+
+
 def _digests(blocks: list[str], length: int) -> tuple[list[int], list[int]]:
     """Signed digests of each window of *length* tokens of a page, and of each block."""
     words = [w for b in blocks for w in b.split(" ")]
@@ -241,59 +260,92 @@ def _digests(blocks: list[str], length: int) -> tuple[list[int], list[int]]:
 
 
 def _shared_digests(pages: DataFrame, length: int) -> DataFrame:
-    """``(k, shared)``: the digests of each of *pages* ``(k, host, blocks)`` that another stream of its host has."""
+    """``(host, stream, shared, vouched)``: the digests of the open text of *pages* ``(host, stream, blocks, kinds)``
+    that the open text of another page of its host has, and those that vouched text has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, blocks in enumerate(batch.column(3).to_pylist()):
-                windows, whole = _digests(blocks, length)
-                long = [d for d, b in zip(whole, blocks, strict=True) if b.count(" ") + 1 >= BLOCK_TOKENS]
-                found = list({*windows, *long})
-                row = [batch.column(c).slice(i, 1).take(pa.array([0] * len(found), pa.int64())) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*row, pa.array(found, pa.int64())], names=["k", "host", "stream", "d"])
+            for i, (blocks, kinds) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                for sure in (False, True):
+                    own = [b for b, k in zip(blocks, kinds, strict=True) if (k == PROSE) == sure]
+                    windows, whole = _digests(own, length)
+                    long = [d for d, b in zip(whole, own, strict=True) if b.count(" ") + 1 >= BLOCK_TOKENS]
+                    found = list({*windows, *long})
+                    row = [batch.column(c).slice(i, 1).take(pa.array([0] * len(found), pa.int64())) for c in range(2)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*row, pa.array(found, pa.int64()), pa.array([sure] * len(found), pa.bool_())],
+                        names=["host", "stream", "d", "sure"],
+                    )
 
-    stream = F.md5(F.array_join("blocks", " ").cast("binary")).alias("stream")
-    digests = pages.select("k", "host", stream, "blocks").mapInArrow(run, "k long, host string, stream string, d long")
-    repeated = digests.groupBy("host", "d").agg(F.min("stream").alias("a"), F.max("stream").alias("b")).where("a <> b")
-    return digests.join(repeated.select("host", "d"), ["host", "d"], "left_semi").groupBy("k").agg(F.collect_list("d").alias("shared"))
+    digests = pages.select("host", "stream", "blocks", "kinds").mapInArrow(run, "host string, stream long, d long, sure boolean")
+    owner = F.when(~F.col("sure"), F.col("stream"))
+    known = (
+        digests.groupBy("host", "d")
+        .agg((F.min(owner) < F.max(owner)).alias("apart"), F.bool_or("sure").alias("held"), F.min(owner).alias("open"))
+        .where("open is not null and (apart or held)")
+        .drop("open")
+    )
+    return (
+        digests.where("not sure")
+        .join(known, ["host", "d"])
+        .groupBy("host", "stream")
+        .agg(F.collect_set(F.when(F.col("apart"), F.col("d"))).alias("shared"), F.collect_set(F.when(F.col("held"), F.col("d"))).alias("vouched"))
+    )
 
 
 def _unique_runs(length: int):
     def clean(group: pa.Table) -> pa.Table:
         numbers: dict[str, int] = {}
         all_blocks, all_kinds = group.column("blocks").to_pylist(), group.column("kinds").to_pylist()
-        pages = [
-            [[numbers.setdefault(w, len(numbers)) for w in b.split(" ")] for b, k in zip(bs, ks, strict=True) if k != PROSE]
-            for bs, ks in zip(all_blocks, all_kinds, strict=True)
-        ]
-        streams = [tuple(t for block in page for t in block) for page in pages]
-        distinct = {s: i for i, s in enumerate(dict.fromkeys(streams))}
-        masks = repeated_tokens([list(s) for s in distinct], length)
+        pages: list[list[list[int]]] = []  # the open blocks of each page
+        distinct: dict[tuple, int] = {}  # pages by their open and vouched tokens
+        number: list[int] = []
+        sure_blocks: set[tuple] = set()
+        for bs, ks in zip(all_blocks, all_kinds, strict=True):
+            told = [[numbers.setdefault(w, len(numbers)) for w in b.split(" ")] for b in bs]
+            sure = [t for t, k in zip(told, ks, strict=True) if k == PROSE]
+            pages.append([t for t, k in zip(told, ks, strict=True) if k != PROSE])
+            sure_blocks.update(tuple(t) for t in sure if len(t) >= BLOCK_TOKENS)
+            streams = tuple(tuple(x for block in blocks for x in block) for blocks in (pages[-1], sure))
+            number.append(distinct.setdefault(streams, len(distinct)))
+        both = [list(s) for pair in distinct for s in pair]
+        repeated, held = string_evidence(both, [i // 2 for i in range(len(both))], [i % 2 == 1 for i in range(len(both))], length)
         owners: dict[tuple, set[int]] = {}
-        for page, s in zip(pages, streams, strict=True):
+        for page, own in zip(pages, number, strict=True):
             for block in page:
-                owners.setdefault(tuple(block), set()).add(distinct[s])
+                owners.setdefault(tuple(block), set()).add(own)
         texts = []
-        for bs, ks, shared, page, s in zip(all_blocks, all_kinds, group.column("shared").to_pylist(), pages, streams, strict=True):
-            mask, known = masks[distinct[s]].copy(), set(shared or ())
-            windows, digests = _digests([b for b, k in zip(bs, ks, strict=True) if k != PROSE], length) if known else ([], [])
+        told_shared, told_vouched = group.column("shared").to_pylist(), group.column("vouched").to_pylist()
+        for bs, ks, page, own, shared, vouched in zip(all_blocks, all_kinds, pages, number, told_shared, told_vouched, strict=True):
+            mask, prose = repeated[2 * own].copy(), held[2 * own].copy()
+            shared, vouched = set(shared or ()), set(vouched or ())
+            opened = [b for b, k in zip(bs, ks, strict=True) if k != PROSE] if shared or vouched else []
+            windows, digests = _digests(opened, length)
             for i, d in enumerate(windows):
-                if d in known:
+                if d in shared:
                     mask[i : i + length] = True
+                if d in vouched:
+                    prose[i : i + length] = True
             kept, at, n = [], 0, 0
             for block, kind in zip(bs, ks, strict=True):
                 if kind == PROSE:
                     kept.append(block)
                     continue
-                own = page[n]
-                gone = mask[at : at + len(own)]
-                copied = len(own) >= BLOCK_TOKENS and (len(owners[tuple(own)]) > 1 or (known and digests[n] in known))
-                at, n = at + len(own), n + 1
-                if kind == BESIDE and (copied or gone.any()) or kind == OPEN and copied:
-                    continue
-                kept += [w for w, drop in zip(block.split(" "), gone.tolist(), strict=True) if not drop]
+                mine = page[n]
+                gone, copy = mask[at : at + len(mine)], prose[at : at + len(mine)]
+                long = len(mine) >= BLOCK_TOKENS
+                copied = long and (len(owners[tuple(mine)]) > 1 or bool(digests) and digests[n] in shared)
+                copy_of_prose = long and (tuple(mine) in sure_blocks or bool(digests) and digests[n] in vouched)
+                at, n = at + len(mine), n + 1
+                if kind == BESIDE:
+                    if not (copied or copy_of_prose or gone.any() or copy.any()):
+                        kept.append(block)
+                elif copy_of_prose:
+                    kept.append(block)
+                elif kind == LOOSE or not copied:
+                    kept += [w for w, drop in zip(block.split(" "), (gone & ~copy).tolist(), strict=True) if not drop]
             texts.append(" ".join(kept))
-        return pa.table({"k": group.column("k"), "open_text": pa.array(texts, pa.string())})
+        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string())})
 
     return clean
 
@@ -309,35 +361,31 @@ def main_text(
 ) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of *pages*."""
     kind = pages.schema[key].dataType.simpleString()
-    parsed = Written(
-        pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-        .mapInArrow(_parse, f"page_id {kind}, url string, article string, blocks array<string>, kinds array<int>")
-        .withColumn("k", F.monotonically_increasing_id()),
-        "parsed",
-    )
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    open_ = parsed.read().where("article is null").select("k", host.alias("host"), "blocks", "kinds")
-    places = F.sequence(F.lit(1), F.size("blocks"))
-    open_blocks = F.transform(
-        F.filter(F.when(F.size("blocks") > 0, places).otherwise(F.array().cast("array<int>")), lambda i: F.element_at("kinds", i) != PROSE),
-        lambda i: F.element_at("blocks", i),
+    host = F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    named = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
+
+    def parsed(rows: DataFrame) -> DataFrame:
+        shape = f"page_id {kind}, url string, host string, stream long, blocks array<string>, kinds array<int>"
+        return rows.select("page_id", "url", "host", "html").mapInArrow(_parse, shape)
+
+    # at most one host in group_pages rows has several groups, so these tables may be broadcast
+    count = F.ceil(F.count("*") / group_pages).cast("int").alias("groups")
+    large = Written(named.groupBy("host").agg(count).where("groups > 1"), "hosts")
+    grouped = F.broadcast(large.read())
+    asked = Written(
+        parsed(named.join(grouped, "host", "left_semi")).where(F.exists("kinds", lambda k: k != PROSE)).select("host").distinct(),
+        "asked",
     )
-    groups = open_.groupBy("host").agg(F.ceil(F.count("*") / group_pages).cast("int").alias("groups"))
-    several = open_.join(groups.where("groups > 1").select("host"), "host", "left_semi")
-    dealt = (
-        open_.join(groups, "host")
-        .join(_shared_digests(several.withColumn("blocks", open_blocks), min_tokens), "k", "left")
-        .withColumn("part", F.pmod(F.xxhash64("k"), F.col("groups")))
+    exchanging = F.broadcast(asked.read())
+    none = F.lit(None).cast("array<long>")
+    alone = parsed(named.join(exchanging, "host", "left_anti")).withColumns({"shared": none, "vouched": none})
+    several = parsed(named.join(exchanging, "host", "left_semi"))
+    joined = several.join(_shared_digests(several, min_tokens), ["host", "stream"], "left").select(*alone.columns)
+    return (
+        alone.unionByName(joined)
+        .join(grouped, "host", "left")
+        .withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("groups", F.lit(1))))
         .groupBy("host", "part")
-        .applyInArrow(_unique_runs(min_tokens), "k long, open_text string")
-    )
-    # only pages with open blocks meet their runs, so no article that structure vouches for is shuffled
-    rows = parsed.read()
-    plain = rows.where("article is not null").select("page_id", "url", F.col("article").alias("text"))
-    others = (
-        rows.where("article is null")
-        .select("k", "page_id", "url")
-        .join(dealt, "k", "left")
-        .select("page_id", "url", F.coalesce("open_text", F.lit("")).alias("text"))
+        .applyInArrow(_unique_runs(min_tokens), f"page_id {kind}, url string, text string")
+        .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
     )
-    return plain.unionByName(others).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
