@@ -36,6 +36,9 @@ from docquarry.session import Scratch, cut_lineage, delete_path
 LEADS = 2
 # Bounds and scores are sums in different orders; a range this close to the floor is scored.
 SLACK = 1e-6
+# Ranges dealt to one task, when they are scored and when they are written.
+SCORED_RANGES = 4
+WRITTEN_RANGES = 4
 # Up to so many asked terms are pushed to the scan as a list.
 PUSHED_TERMS = 1_000
 # The array columns of a block, and what one element of each is.
@@ -120,7 +123,9 @@ class PostingIndex:
         built = float(tokens) / n_docs if tokens else 1.0
         ranges = max(1, -(-n_docs // self.range_docs))
         number = F.pmod(F.xxhash64("doc"), F.lit(ranges)) + F.lit(batch * _BATCH_RANGES)
-        dealt = held.withColumn("range", number).repartition("range")
+        cores = self.spark.sparkContext.defaultParallelism
+        tasks = min(ranges, max(cores, -(-ranges // WRITTEN_RANGES)))
+        dealt = held.withColumn("range", number).repartition(tasks, "range")
         split = dealt.select("range", "doc", split_tokens(F.col("text")).alias("held"))
         marked = F.concat("held", F.array(F.lit(None).cast("string")))
         listed = unnest(split, marked, value="term").select("range", "doc", F.size("held").alias("length"), "term")
@@ -184,15 +189,26 @@ class PostingIndex:
     def _scored(self, chosen: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
         """``(qid, doc, score)`` of all documents with an asked term in the *chosen* ``(qid, range)``.
 
-        Whole blocks are shuffled by question and range, so that no single posting is.
+        A block is shuffled once, by its range, beside the questions that ask for its term; postings meet
+        questions within the task of their range, and a task has a fixed number of ranges.
         """
-        held = blocks.select("part", "term", "range", *ENTRIES)
-        met = chosen.join(asked, "qid").join(held, ["part", "term", "range"])
-        zipped = F.arrays_zip(*ENTRIES)
-        listed = met.select("qid", "range", "weight", "avg_len", *ENTRIES).repartition("qid", "range")
-        listed = listed.select("qid", "range", "weight", "avg_len", F.inline(zipped).alias(*ENTRIES.values()))
-        score = F.round(F.sum(F.col("weight") * self._gain(F.col("avg_len"))), SCORE_DECIMALS)
-        return listed.groupBy("qid", "range", "doc").agg(score.alias("score")).select("qid", "doc", "score")
+        tasks = max(1, -(-chosen.select("range").distinct().count() // SCORED_RANGES))
+        # dealt on both sides: Spark gives a join its own number of tasks otherwise
+        wanted = chosen.repartition(tasks, "range").groupBy("range").agg(F.collect_set("qid").alias("wanted"))
+        askers = asked.groupBy("part", "term").agg(
+            F.collect_list(F.struct("qid", "weight")).alias("askers"), F.any_value("avg_len").alias("avg_len")
+        )
+        held = blocks.select("part", "term", "range", *ENTRIES).join(askers, ["part", "term"])
+        dealt = held.repartition(tasks, "range").join(wanted.hint("shuffle_hash"), "range")
+        met = F.array_intersect(F.transform("askers", lambda a: a["qid"]), "wanted")
+        mine = F.when(F.size("met") == F.size("askers"), F.col("askers")).otherwise(
+            F.filter("askers", lambda a: F.array_contains("met", a["qid"]))
+        )
+        dealt = dealt.withColumn("met", met).withColumn("askers", mine)
+        listed = dealt.select("range", "avg_len", "askers", F.inline(F.arrays_zip(*ENTRIES)).alias(*ENTRIES.values()))
+        gained = listed.select("range", "doc", self._gain(F.col("avg_len")).alias("gain"), F.inline("askers").alias("qid", "weight"))
+        score = F.round(F.sum(F.col("weight") * F.col("gain")), SCORE_DECIMALS)
+        return gained.groupBy("qid", "range", "doc").agg(score.alias("score")).select("qid", "doc", "score")
 
     def search(
         self,
