@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from docquarry.errors import EmbeddingError, ServiceError
 from docquarry.functions import embedding as E
 from docquarry.functions.text import glob_match, strip
+from docquarry.operators.expand import slices
 
 # Metadata written in front of the text, and copied to the vector rows.
 PREFIX_KEYS = ("title", "author", "source", "category", "tags")
@@ -168,14 +169,16 @@ def _embed_remote(df: DataFrame, model: Model, text: str, out: str) -> DataFrame
     schema = StructType([*df.schema.fields, *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole, batch in ((whole, part) for whole in batches for part in slices(whole)):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             vectors: list[list[float] | None] = [None] * len(texts)
             errors: list[str | None] = [
                 None if value and value.strip() else BLANK for value in texts
             ]
             asked = [i for i, error in enumerate(errors) if error is None]
-            size = next((s for limit, s in BATCH_STEPS if len(asked) <= limit), LARGEST_BATCH)
+            # the size of the job decides, not that of the part
+            count = len(asked) if batch.num_rows == whole.num_rows else whole.num_rows
+            size = next((s for limit, s in BATCH_STEPS if count <= limit), LARGEST_BATCH)
             for start in range(0, len(asked), size):
                 part = asked[start : start + size]
                 # a failing request costs its own rows only
