@@ -122,6 +122,21 @@ def first_positions(chunks: DataFrame, text: str = "text", content: str = "conte
     )
 
 
+def window_positions(df: DataFrame, text: str = "text", size: int = 500, overlap: int = 50) -> DataFrame:
+    """The windows of :func:`char_windows` without their text, with the offsets of their first occurrence.
+
+    As :func:`first_positions` of them, in one pass per text instead of one search per window.
+    """
+
+    def place(body: str | None):
+        places = splitting.first_window_positions(body or "", size, size - overlap)
+        for i, at in enumerate(places):
+            yield i, len(places), at, at + min(size, len(body) - i * (size - overlap))
+
+    fields = "chunk_index int, chunk_total int, chunk_start_char int, chunk_end_char int"
+    return expand_rows(df, [text], fields, place, drop=(text,))
+
+
 def recursive_chunks(
     df: DataFrame,
     text: str = "text",

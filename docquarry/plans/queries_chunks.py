@@ -68,7 +68,7 @@ def token_windows(spark, folder):
 def chunk_positions(spark, folder):
     """A repeated chunk gets the offset of its first occurrence."""
     docs = texts(spark, folder).select("doc_id", "text")
-    chunks = chunking.first_positions(chunking.char_windows(docs, size=40, overlap=0))
+    chunks = chunking.window_positions(docs, size=40, overlap=0)
     return chunks.select("doc_id", "chunk_index", F.col("chunk_start_char").alias("first_char"))
 
 
