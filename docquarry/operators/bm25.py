@@ -25,8 +25,14 @@ EPSILON = 0.25
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Inverted index ``(term, doc_id, tf)`` over white-space tokens."""
-    terms = unnest(docs.select(doc_id, text), split_tokens(F.col(text)), value="term")
+    """Inverted index ``(term, doc_id, tf)`` over white-space tokens.
+
+    The texts are dealt by id, so that terms are counted where their text is and no posting is shuffled. The
+    number of tasks is set, since Spark would join parts by the size of the texts and not of their postings.
+    """
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = docs.select(doc_id, text).repartition(tasks, doc_id)
+    terms = unnest(dealt, split_tokens(F.col(text)), value="term")
     return terms.groupBy("term", doc_id).agg(F.count(F.lit(1)).alias("tf"))
 
 
