@@ -322,21 +322,18 @@ def ingest(
             kept = kept.where(F.lit(False))
         # names of models are stored with their version, so another version is another model
         versioned = F.concat_ws(":", "model", F.lit(config.embedding_version))
-        asked = chunks.select("doc_id", "source_id", "content", "model", "chunk_hash")
-        matched = scratch.cut(
-            asked.withColumn("named", F.col("model"))
-            .withColumn("model", versioned)
-            .join(kept, key, "left")
-            .select(
-                "doc_id", "source_id", F.col("named").alias("model"), "embedding",
-                F.when(F.col("embedding").isNull(), F.col("content")).alias("content"),
-            )
+        # texts stay where they are written: only keys meet the stored vectors
+        found = scratch.cut(
+            chunks.select("doc_id", "source_id", "chunk_hash", F.col("model").alias("named"), versioned.alias("model"))
+            .join(kept, key)
+            .select("doc_id", "source_id", "chunk_hash", F.col("named").alias("model"), "embedding")
         )
+        asked = chunks.select("doc_id", "source_id", "content", "model", "chunk_hash")
+        if not found.isEmpty():
+            asked = asked.join(found.select("doc_id", "chunk_hash").distinct(), ["doc_id", "chunk_hash"], "left_anti")
         columns = ["doc_id", "source_id", "model", "embedding", "embedding_error", "reused"]
-        fresh = embed_by_model(matched.where(F.col("embedding").isNull()).drop("embedding"), named)
-        reused = matched.where(F.col("embedding").isNotNull()).withColumn(
-            "embedding_error", F.lit(None).cast("string")
-        )
+        fresh = embed_by_model(asked.drop("chunk_hash"), named)
+        reused = found.withColumn("embedding_error", F.lit(None).cast("string"))
         embedded = scratch.cut(
             fresh.withColumn("reused", F.lit(False)).select(*columns)
             .unionByName(reused.withColumn("reused", F.lit(True)).select(*columns))
