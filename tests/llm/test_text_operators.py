@@ -440,3 +440,40 @@ def test_a_common_passage_makes_no_candidates():
         common = len(np.intersect1d(found[i], found[300 + i]))
         assert common * 9 >= 4 * (len(found[i]) + len(found[300 + i]))
         assert set(jaccard.prefix(found[i], flat)) & set(jaccard.prefix(found[300 + i], flat))
+
+
+def _labels(monkeypatch, module) -> list[str]:
+    """The labels of the tables that *module* writes from now on."""
+    made: list[str] = []
+
+    class Noted(module.Written):
+        def __init__(self, df, label):
+            made.append(label)
+            super().__init__(df, label)
+
+    monkeypatch.setattr(module, "Written", Noted)
+    return made
+
+
+def test_texts_that_share_a_key_and_differ_are_compared_in_two_rounds(spark, monkeypatch):
+    made = _labels(monkeypatch, jaccard)
+    # five shingles each, four of them in all texts: two go into the keys, so all share one, and none is a copy
+    rows = [(i, f"u{i} a common line of eight words right here") for i in range(40)]
+    rows += [(100 + i, " ".join([*[f"w{j}" for j in range(400)], f"e{i}"])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.id for r in jaccard.first_of_similar(docs).read().collect()}
+    assert found == {*range(40), 100}
+    assert made.count("postings") <= 2 and made.count("pairs") <= 2
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    from docquarry.llm import components
+
+    made = _labels(monkeypatch, components)
+    chain = [(i + 1, i) for i in range(300)] + [(-7, 5), (9, 9), (None, 3), (4000, 4001)]
+    links = spark.createDataFrame(chain, "a long, b long").repartition(7)
+    wanted = {**{i: -7 for i in range(301)}, 4001: 4000}
+    assert {r.node: r.component for r in smallest_reachable(links).collect()} == wanted
+    assert made == ["links"]
+    assert {r.node: r.component for r in smallest_reachable(links, task_links=16).collect()} == wanted
+    assert smallest_reachable(links.limit(0)).count() == 0
