@@ -477,3 +477,25 @@ def test_few_links_need_no_rounds(spark, monkeypatch):
     assert made == ["links"]
     assert {r.node: r.component for r in smallest_reachable(links, task_links=16).collect()} == wanted
     assert smallest_reachable(links.limit(0)).count() == 0
+
+
+def test_rows_of_a_step_are_added_without_a_number_per_cell():
+    import tracemalloc
+
+    counts = np.arange(2000, 0, -1).astype(np.float64)
+    start = language_model.Parameters.start(2000, counts, 24, 1)
+    none = language_model.Bands(np.zeros((0, 24), np.float32), np.zeros(0, np.float32), np.zeros(1, np.int64))
+    trainer = language_model.Trainer(start, none, counts, 8, 0.15, 1)
+    draw = np.random.default_rng(3)
+    at, grads = draw.integers(0, 300, 20_000), draw.normal(size=(20_000, 24)).astype(np.float32)
+    values, seen = np.zeros((2000, 24), np.float32), np.full((2000, 1), 0.1, np.float32)
+    trainer._rows(values, seen, at, grads, 0.15)
+    total = np.zeros((2000, 24))
+    np.add.at(total, at, grads.astype(np.float64))
+    square = 0.1 + (total * total).mean(axis=1, keepdims=True)
+    assert np.allclose(seen, square, rtol=1e-4) and np.allclose(values, -0.15 * total / np.sqrt(square), rtol=1e-3, atol=1e-5)
+    tracemalloc.start()
+    trainer._rows(values, seen, at, grads, 0.15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < grads.size * 8  # eight bytes a cell
