@@ -499,3 +499,32 @@ def test_rows_of_a_step_are_added_without_a_number_per_cell():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < grads.size * 8  # eight bytes a cell
+
+
+def test_what_survives_has_no_similar_earlier_text(spark, monkeypatch):
+    draw, rows = np.random.default_rng(11), []
+    for family in range(8):
+        members = [[f"f{family}w{i}" for i in range(120)]]
+        for n in range(1, 24):
+            words = list(members[draw.integers(len(members))])
+            for at in draw.choice(120, draw.integers(1, 4), replace=False):
+                words[at] = f"f{family}m{n}at{at}"
+            members.append(words)
+        rows += [(family * 100 + i, " ".join(w)) for i, w in enumerate(members)]
+    # the third is like the second, that like the first; others hold the ends, so all three have the same rare shingles
+    base = [f"b{i}" for i in range(300)]
+    others = [[*base[:59], *(f"o{n}w{i}" for i in range(400)), *base[241:]] for n in range(3)]
+    rows += [(9000 + i, " ".join(w)) for i, w in enumerate((base[:245], base, base[55:], *others))]
+    sets = {i: set(jaccard.Shingler()(t.encode()).tolist()) for i, t in rows}
+    close = lambda a, b: len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4
+    wanted = {b for b in sets if not any(close(a, b) for a in sets if a < b)}
+    chained = {b for b in set(sets) - wanted if not any(close(a, b) for a in wanted if a < b)}
+    assert len(wanted) > 40 and chained and 9002 in chained
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id for r in jaccard.first_of_similar(docs).read().collect()} == wanted
+    monkeypatch.setattr(jaccard, "FEW_PAIRS", 0)
+    monkeypatch.setattr(jaccard, "PARTNERS", 0.05)
+    monkeypatch.setattr(jaccard, "DOUBLINGS", 1)
+    made = _labels(monkeypatch, jaccard)
+    assert {r.id for r in jaccard.first_of_similar(docs).read().collect()} == wanted
+    assert made.count("pairs") > 3
