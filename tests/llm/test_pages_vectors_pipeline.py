@@ -170,6 +170,17 @@ def test_pipeline_drops_copies_with_scattered_edits(spark, folder):
     assert kept == {1, 4}
 
 
+def test_near_duplicate_stage_keeps_one_row_per_text_and_id(spark, folder):
+    import corpus_pipeline
+
+    rows = [(2, "one two three", "a"), (1, "one two three", "b"), (1, "one two three", "b"), (None, "one two three", "c")]
+    rows += [(None, "four five", "d"), (None, "four five", "d"), (None, "", "e"), (3, None, "f"), (4, "six seven", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").selectExpr("*", "'x' as __id", "1 as later")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r)[2:4] for r in kept.collect()) == [("b", "x"), ("d", "x"), ("f", "x"), ("g", "x")]
+
+
 def test_prose_that_shares_phrases_survives(spark):
     phrase = "at the end of the day it is what it is"
     long = " ".join(f"l{i}" for i in range(60))

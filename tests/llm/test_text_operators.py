@@ -528,3 +528,13 @@ def test_what_survives_has_no_similar_earlier_text(spark, monkeypatch):
     made = _labels(monkeypatch, jaccard)
     assert {r.id for r in jaccard.first_of_similar(docs).read().collect()} == wanted
     assert made.count("pairs") > 3
+
+
+def test_picked_rows_hold_all_that_are_asked_for(spark, monkeypatch):
+    rows, asked = spark.range(5000).selectExpr("id as node", "id * 2 as k"), spark.range(0, 5000, 7).selectExpr("id as node")
+    wanted = {(i, 2 * i) for i in range(0, 5000, 7)}
+    assert {tuple(r) for r in jaccard._picked(rows, asked).collect()} == wanted
+    monkeypatch.setattr(jaccard, "BITS", 1 << 12)
+    found = jaccard._picked(rows, asked)
+    assert found.columns == rows.columns and wanted < {tuple(r) for r in found.collect()} and found.count() < 2000
+    assert jaccard._picked(rows, asked.limit(0)).count() == 0
